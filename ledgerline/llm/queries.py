@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerline.llm.exact_dedup import exact_dedup
 from ledgerline.llm.mixing import mix
+from ledgerline.llm.packing import pack
+from ledgerline.llm.token_store import token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,13 +22,30 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Where a public tokenizer's file is; executors have it in the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op3_token_store": op3_token_store,
     "op4_exact_dedup": op4_exact_dedup,
+    "op10_packing": op10_packing,
 }
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
@@ -42,9 +61,9 @@ p AS (SELECT *, sum(words) OVER () AS total, sum(w) OVER () AS wall,
              coalesce(sum(words) OVER before, 0) AS b, coalesce(sum(w) OVER before, 0) AS wb FROM s
       WINDOW before AS (ORDER BY words / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT *, 3 * total - 4 * b AS l, wall - wb AS wl FROM p),
-a AS (SELECT *, min(CASE WHEN w * l <= words * wl * 4 THEN {{'b': b, 'l': l, 'wl': wl}} END) OVER () AS at FROM f),
-t AS (SELECT source, words, CASE WHEN words = 0 THEN 0.0 WHEN at IS NULL OR b < at.b THEN words * 2
-             ELSE (w * at.l)::DOUBLE / (at.wl * 2)::DOUBLE END::DOUBLE AS target FROM a),
+a AS (SELECT *, min(CASE WHEN w * l <= words * wl * 4 THEN {{'b': b, 'l': l, 'wl': wl}} END) OVER () AS cut FROM f),
+t AS (SELECT source, words, CASE WHEN words = 0 THEN 0.0 WHEN cut IS NULL OR b < cut.b THEN words * 2
+             ELSE (w * cut.l)::DOUBLE / (cut.wl * 2)::DOUBLE END::DOUBLE AS target FROM a),
 r AS (SELECT *, CASE WHEN words > 0 THEN floor(target / words)::BIGINT ELSE 0 END AS whole FROM t),
 q AS (SELECT d.doc_id, d.size, r.words AS source_size, target, whole, target - whole * r.words AS part,
              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size
