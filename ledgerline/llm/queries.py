@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerline.llm.exact_dedup import exact_dedup
+from ledgerline.llm.lm_scoring import Vocabulary, score_texts
 from ledgerline.llm.mixing import mix
 from ledgerline.llm.packing import pack
 from ledgerline.llm.token_store import token_store
@@ -37,6 +38,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = Vocabulary(vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return score_texts(table(spark, sf_dir, "documents"), ranks)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -45,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_token_store": op3_token_store,
     "op4_exact_dedup": op4_exact_dedup,
+    "op8_lm_scoring": op8_lm_scoring,
     "op10_packing": op10_packing,
 }
 

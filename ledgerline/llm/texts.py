@@ -226,6 +226,7 @@ def rank_encoder(path: str, pattern: str) -> ChunkEncoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         model = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         _encoders[key] = ChunkEncoder(lambda texts: [model.encode_ordinary(t) for t in texts])
+        _encoders[key].model = model
     return _encoders[key]
 
 
