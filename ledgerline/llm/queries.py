@@ -10,6 +10,7 @@ from ledgerline.llm.exact_dedup import exact_dedup
 from ledgerline.llm.lm_scoring import Vocabulary, score_texts
 from ledgerline.llm.mixing import mix
 from ledgerline.llm.packing import pack
+from ledgerline.llm.quality import score_quality
 from ledgerline.llm.token_store import token_store
 
 
@@ -38,6 +39,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_token_store": op3_token_store,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_quality": op7_quality,
     "op8_lm_scoring": op8_lm_scoring,
     "op10_packing": op10_packing,
 }
