@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerline.llm.exact_dedup import exact_dedup
+from ledgerline.llm.language_id import detect_languages
 from ledgerline.llm.lm_scoring import Vocabulary, score_texts
 from ledgerline.llm.mixing import mix
 from ledgerline.llm.packing import pack
@@ -39,6 +40,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_languages(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_token_store": op3_token_store,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_language_id": op5_language_id,
     "op7_quality": op7_quality,
     "op8_lm_scoring": op8_lm_scoring,
     "op10_packing": op10_packing,
