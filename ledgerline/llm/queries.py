@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerline.llm.exact_dedup import exact_dedup
+from ledgerline.llm.jaccard import similarity_classes
 from ledgerline.llm.language_id import detect_languages
 from ledgerline.llm.lm_scoring import Vocabulary, score_texts
 from ledgerline.llm.mixing import mix
@@ -25,6 +26,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_classes(table(spark, sf_dir, "documents"))
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """Where a public tokenizer's file is; executors have it in the same place."""
     import public_tokenizers
@@ -61,6 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_token_store": op3_token_store,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_language_id": op5_language_id,

@@ -241,27 +241,30 @@ def small_batches(batches: Iterable[pa.RecordBatch], column: str, most: int = 4
             low = high
 
 
-def whole_groups(batches: Iterable[pa.RecordBatch], key: list[str], least: int = 2000) -> Iterator[pa.Table]:
+def whole_groups(batches: Iterable[pa.RecordBatch], key: list[str], least: int = 16 << 20) -> Iterator[pa.Table]:
     """Tables of whole groups from batches sorted by ``key``.
 
-    A table holds at least ``least`` rows unless the input ends; memory is that
-    of ``least`` rows, a batch and the largest group.
+    A table holds about ``least`` bytes unless the input ends; memory is that, a
+    batch and the largest group.
     """
     held: list[pa.RecordBatch] = []
-    rows = 0
+    size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
-        rows += batch.num_rows
-        if rows < least:
+        size += batch.get_total_buffer_size()
+        if size < least:
             continue
         table = pa.Table.from_batches(held)
         change = group_starts(table, key)
         if len(change) > 1:
             at = int(change[-1])
             yield table.slice(0, at)
-            held, rows = table.slice(at).combine_chunks().to_batches(), table.num_rows - at
+            # A copy of the rest, so that the buffers of what is done go.
+            rest = table.slice(at).take(pa.array(np.arange(table.num_rows - at)))
+            held = rest.to_batches()
+            size = rest.get_total_buffer_size()
     if held:
         yield pa.Table.from_batches(held)
 
