@@ -11,6 +11,7 @@ from ledgerline.llm.jaccard import similarity_classes
 from ledgerline.llm.language_id import detect_languages
 from ledgerline.llm.lm_scoring import Vocabulary, score_texts
 from ledgerline.llm.mixing import mix
+from ledgerline.llm.nn_descent import embedding_links
 from ledgerline.llm.packing import pack
 from ledgerline.llm.quality import score_quality
 from ledgerline.llm.token_store import token_store
@@ -60,6 +61,10 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), ranks)
 
 
+def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op7_quality": op7_quality,
     "op8_lm_scoring": op8_lm_scoring,
+    "op9_nn_descent": op9_nn_descent,
     "op10_packing": op10_packing,
 }
 
