@@ -15,6 +15,7 @@ from ledgerline.llm.nn_descent import embedding_links
 from ledgerline.llm.packing import pack
 from ledgerline.llm.quality import score_quality
 from ledgerline.llm.token_store import token_store
+from ledgerline.llm.warc import captures, resolve_revisits
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +51,21 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_languages(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = resolve_revisits(captures(table(spark, sf_dir, "pages")))
+    return records.select(
+        "record_id",
+        "canonical_url",
+        "kind",
+        "refers_to",
+        "resolution",
+        "status",
+        F.col("headers")["date"].alias("date_header"),
+        F.col("headers")["content-type"].alias("type_header"),
+        F.sha2(F.col("payload"), 256).alias("payload_sha256"),
+    )
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -75,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_store": op3_token_store,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_language_id": op5_language_id,
+    "op6_warc_revisits": op6_warc_revisits,
     "op7_quality": op7_quality,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_nn_descent": op9_nn_descent,
@@ -105,6 +122,36 @@ q AS (SELECT d.doc_id, d.size, r.words AS source_size, target, whole, target - w
 SELECT doc_id, size::BIGINT AS size, source_size, target,
        (size * least(2, whole + CASE WHEN part > 0 AND before + size / 2 <= part THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM q
+""",
+    "op6_warc_revisits": r"""
+WITH p AS (
+  SELECT *, CASE WHEN page_id % 5 <> 0 THEN '"' || md5(html) || '"' END AS tag,
+         CASE WHEN page_id % 7 <> 0 THEN 'day ' || (page_id % 1000) END AS modified,
+         regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages),
+q AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), ':(80|443)$', ''), '^www\.', '') AS host,
+         regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+         array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'),
+           lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)'))), '&') AS params FROM p),
+c AS (
+  SELECT *, host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN params = '' THEN '' ELSE '?' || params END AS u FROM q),
+f AS (
+  SELECT r.page_id, r.u, r.tag, r.modified, r.html, max(a.page_id) AS found
+  FROM c r LEFT JOIN c a ON a.u = r.u AND a.page_id * 1 < r.page_id + 1000 GROUP BY ALL),
+g AS (
+  SELECT f.*, a.tag AS atag, a.modified AS amodified, a.html AS body,
+         CASE WHEN f.tag IS NOT NULL AND a.tag IS NOT NULL THEN f.tag = a.tag
+              WHEN f.modified IS NOT NULL AND a.modified IS NOT NULL THEN f.modified = a.modified END AS same
+  FROM f JOIN c a ON a.page_id = f.found),
+h AS (
+  SELECT *, CASE WHEN same IS NULL THEN 'unverified' WHEN same THEN 'resolved' ELSE 'mismatch' END AS resolution FROM g)
+SELECT page_id * 2 AS record_id, u AS canonical_url, 'response' AS kind, NULL::BIGINT AS refers_to, 'full' AS resolution,
+       200 AS status, page_id::VARCHAR AS date_header, 'text/html' AS type_header, sha256(html) AS payload_sha256 FROM c
+UNION ALL
+SELECT page_id * 2 + 1, u, 'revisit', CASE WHEN resolution <> 'mismatch' THEN found * 2 END, resolution,
+       CASE WHEN resolution <> 'mismatch' THEN 200 ELSE 304 END, (page_id + 1000)::VARCHAR,
+       CASE WHEN resolution <> 'mismatch' THEN 'text/html' ELSE 'text/plain' END,
+       CASE WHEN resolution <> 'mismatch' THEN sha256(body) END FROM h
 """,
     "op4_exact_dedup": f"""
 WITH t AS (SELECT doc_id, {_NORMAL} AS body FROM documents)
