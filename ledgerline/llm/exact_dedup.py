@@ -28,7 +28,7 @@ MEMTABLE = 500_000
 FILTER_BITS = 10
 #: Rows of a digest range, and rows of one text that share a task.
 SHARD_ROWS = 400_000
-HOT = 4096
+HOT = 512
 #: A list of up to so many ids (8 bytes each) is sent to every executor.
 BROADCAST_IDS = 1_000_000
 #: Arrow rows at once, so that a batch of long texts fits in memory.
