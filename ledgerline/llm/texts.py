@@ -119,44 +119,49 @@ class ChunkEncoder:
     """
 
     _odd = re.compile(r"\s\s|[^\S \n]|<\|")
+    #: What the pattern above finds, to look for in a whole batch at once.
+    _signs = ["  ", "\n\n", " \n", "\n ", "<|", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
 
-    def __init__(self, encode, limit: int = 1_000_000):
+    def __init__(self, encode, limit: int = 800_000):
         self.encode, self.limit = encode, limit
         (self.feed,) = encode(["\n"])[0]
         self._clear()
 
     def _clear(self) -> None:
         self.known = _Numbers()
-        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint16)
-        self.starts = np.zeros(0, np.int64)
+        self.sizes, self.flat = np.zeros(0, np.int32), np.zeros(0, np.uint16)
+        self.starts = np.zeros(0, np.int32)
 
     def _learn(self, chunks: list[str]) -> None:
         """Chunks are "\\nword", or "word" for one after a space."""
         kind = np.array([0 if len(c) < 2 and c in "\n" else 1 if c[0] == "\n" else 2 for c in chunks])
         flat, sizes, order = [], [], []
-        for k, step in ((0, 1), (1, 4000), (2, 4000)):
+        # Some dozens of chunks a text: longer texts leave the encoder's caches.
+        for k, step in ((0, 1), (1, 50), (2, 50)):
             rows = np.flatnonzero(kind == k)
-            for low in range(0, len(rows), step):
-                part = rows[low : low + step]
-                lines = [chunks[i] for i in part]
-                text = (lines[0] or " ") if k == 0 else "".join(lines) if k == 1 else " " + "\n ".join(lines)
-                ids = np.array(self.encode([text])[0], np.uint16)
+            if not len(rows):
+                continue
+            lines = [chunks[i] for i in rows]
+            parts = [lines[i : i + step] for i in range(0, len(lines), step)]
+            texts = ["".join(p) or " " for p in parts] if k < 2 else [" " + "\n ".join(p) for p in parts]
+            for part, got in zip(parts, self.encode(texts), strict=True):
+                ids = np.array(got, np.uint16)
                 feeds = ids == self.feed
                 at = np.flatnonzero(feeds)
-                order.append(part)
-                flat.append(ids[~feeds] if k == 2 else ids)
-                sizes.append(
-                    np.array([len(ids)])
-                    if k == 0
-                    else np.diff(np.append(at, len(ids)))
-                    if k == 1
-                    else np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
-                )
+                if k == 0:
+                    size = np.array([len(ids)])
+                elif k == 1:
+                    size = np.diff(np.append(at, len(ids)))
+                else:
+                    size, ids = np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1, ids[~feeds]
+                if len(size) != len(part):
+                    raise AssertionError("the vocabulary merges over line feeds")
+                flat.append(ids)
+                sizes.append(size)
+            order.append(rows)
         place = np.argsort(np.concatenate(order), kind="stable")
-        size = np.concatenate(sizes)
-        if len(size) != len(chunks):
-            raise AssertionError("the vocabulary merges over line feeds")
-        start = np.cumsum(size) - size + len(self.flat)
+        size = np.concatenate(sizes).astype(np.int32)
+        start = (np.cumsum(size) - size + len(self.flat)).astype(np.int32)
         self.flat = np.concatenate([self.flat, *flat])
         self.sizes = np.concatenate([self.sizes, size[place]])
         self.starts = np.concatenate([self.starts, start[place]])
@@ -167,21 +172,28 @@ class ChunkEncoder:
             return []
         if len(self.known) > self.limit:
             self._clear()
-        odd = [i for i, t in enumerate(texts) if self._odd.search(t)]
+        joined = "\0".join(texts)
+        odd = []
+        if joined.count("\0") >= len(texts) or any(x in joined for x in self._signs):
+            odd = [i for i, t in enumerate(texts) if "\0" in t or self._odd.search(t)]
         if odd:
             whole = self.encode([texts[i] for i in odd])
             texts = list(texts)
             for i in odd:
                 texts[i] = ""
+            joined = "\0".join(texts)
         lengths = np.fromiter((t.count(" ") + t.count("\n") + 1 for t in texts), np.int64, len(texts))
-        chunks = ("\n" + "\r\n".join(t.replace("\n", " \n") for t in texts)).replace("\r", " ").split(" ")
+        chunks = ("\n" + joined.replace("\n", " \n").replace("\0", " \n")).split(" ")
         before = len(self.known)
-        index = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        index = np.fromiter(map(self.known.__getitem__, chunks), np.int32, len(chunks))
         if len(self.known) > before:
             self._learn(list(itertools.islice(reversed(self.known), len(self.known) - before))[::-1])
         sizes = self.sizes[index]
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(self.starts[index] - total[:-1], sizes) + np.arange(total[-1])]
+        total = np.zeros(len(sizes) + 1, np.int32)
+        np.cumsum(sizes, out=total[1:])
+        where = np.repeat(self.starts[index] - total[:-1], sizes)
+        where += np.arange(total[-1], dtype=np.int32)
+        ids = self.flat[where]
         cuts = total[np.concatenate([[0], np.cumsum(lengths)])]
         # Every text's first chunk was given a line feed, which goes again.
         out = [ids[a + 1 : b] for a, b in itertools.pairwise(cuts)]
