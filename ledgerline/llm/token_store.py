@@ -25,10 +25,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerline.llm.texts import bpe_encoder, crc32_of_ids, small_batches
-from ledgerline.session import scratch_path
+from ledgerline.session import cut, scratch_path
 
 MAGIC = b"LLTS0001"
 SAMPLE = 256
@@ -205,35 +205,31 @@ def read_tokens(
 ) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in a folder of files.
 
-    Two reads of the files: the first takes each file's number of ids from the
-    segment heads (one row a file, as the driver lists them anyway), the second
-    decodes documents and adds the ids of all earlier files to their starts.
+    The files are read once: documents come out with their place in their file,
+    and the ids of all earlier files are added then.  The totals that takes are
+    one row a file, as many as the driver lists anyway.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            totals = [sum(s.total for s in segments(c.as_buffer())) for c in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(totals, pa.int64())], names=["path", "n"])
-
-    sizes = sorted(files.mapInArrow(count, "path string, n long").collect())
-    base, before = {}, 0
-    for name, n in sizes:
-        base[name.rsplit("/", 1)[-1]] = before
-        before += n
-    shared = spark.sparkContext.broadcast(base)
-
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                at = shared.value[name.rsplit("/", 1)[-1]]
+                at = 0
                 for segment in segments(content.as_buffer()):
                     rows = [(k, at + a, len(ids), digest(ids)) for k, a, ids in segment.documents()]
                     at += segment.total
-                    columns = zip(*rows, strict=True)
-                    yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return files.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                    columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+                    file = pa.array([name.rsplit("/", 1)[-1]] * len(rows)).dictionary_encode().cast(pa.string())
+                    yield pa.record_batch([file, *columns], names=["file", "doc_id", "start", "n_tokens", "ids_crc32"])
+
+    rows = files.mapInArrow(decode, "file string, doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = cut(rows, "decoded")
+    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(F.col("file").alias("_f"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return rows.join(bases, F.col("file") == F.col("_f")).select(
+        "doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32"
+    )
 
 
 def token_store(docs: DataFrame, vocabulary: str, path: str | None = None, end_id: int = 0) -> DataFrame:
