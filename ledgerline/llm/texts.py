@@ -122,7 +122,7 @@ class ChunkEncoder:
     #: What the pattern above finds, to look for in a whole batch at once.
     _signs = ["  ", "\n\n", " \n", "\n ", "<|", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
 
-    def __init__(self, encode, limit: int = 800_000):
+    def __init__(self, encode, limit: int = 600_000):
         self.encode, self.limit = encode, limit
         (self.feed,) = encode(["\n"])[0]
         self._clear()
