@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerline.functions.money import breakdown_by, normal_currency, plain_amount, totals_by
 from ledgerline.functions.periods import RegistrationWindow, day_range, month_window, period_window
-from ledgerline.operators import registers
+from ledgerline.functions import names
+from ledgerline.functions.names import name_features
+from ledgerline.operators import linkage, registers, search
 from ledgerline.plans.model import CTES, model
 
 NOW = datetime(1999, 6, 15)
@@ -248,3 +250,126 @@ def alias_groups(spark: SparkSession, d: str) -> DataFrame:
         F.col("s_suppkey").alias("funder_id"), F.concat(F.lit(" Alias  of "), F.col("s_nationkey").cast("string")).alias("alias")
     )
     return registers.alias_groups(rows)
+
+
+# ------------------------------------------------------------------ linkage
+
+_OBS = """SELECT p_partkey AS obs_id, 'donor' AS role, lower(p_name) AS name_raw, lower(p_name) AS name_normalized,
+  CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE concat(CAST(p_size AS VARCHAR(20)), ' ', lower(p_type), ' street') END AS address_normalized,
+  CASE WHEN p_partkey % 4 = 0 THEN 'unavailable' ELSE 'numbered_street' END AS address_quality,
+  CASE WHEN p_partkey % 50 = 0 THEN concat('0000', CAST(1000 + p_partkey % 7 AS VARCHAR(20))) END AS company,
+  CASE p_partkey % 3 WHEN 0 THEN 'Individual' WHEN 1 THEN 'Company' END AS donor_kind FROM {part} WHERE p_partkey % 20 < 3"""
+_PAIRS = f"""WITH obs AS ({_OBS.format(part="part")}),
+prof AS (SELECT name_normalized AS name, address_normalized AS address, min(obs_id) AS profile_id, bool_or(company IS NULL) AS needs FROM obs GROUP BY ALL),
+keyed AS (
+  SELECT profile_id, needs, 'n:' || name AS key, true AS ok FROM prof UNION ALL SELECT profile_id, needs, 'a:' || address, true FROM prof WHERE address IS NOT NULL
+  UNION ALL SELECT profile_id, needs, 'p:' || name[1:3], true FROM prof
+  UNION ALL SELECT profile_id, needs, 'i:' || name[1:1] || '|' || regexp_extract(name, '[a-z]*$')[1:2],
+    regexp_extract(name, '[a-z]*$') NOT IN ('limited', 'ltd', 'plc', 'llp', 'company', 'inc', 'and') FROM prof),
+pairs AS (SELECT DISTINCT a.profile_id AS l, b.profile_id AS r FROM keyed a JOIN keyed b ON a.key = b.key AND a.profile_id < b.profile_id AND a.ok AND (a.needs OR b.needs)),
+scored AS (
+  SELECT l, r, x.name AS ln, y.name AS rn, 0.0001::DOUBLE / 0.9999::DOUBLE
+    * CASE WHEN x.name = y.name THEN 0.95::DOUBLE / 0.001::DOUBLE WHEN levenshtein(x.name, y.name) <= 2 THEN 0.04::DOUBLE / 0.009::DOUBLE ELSE 0.01::DOUBLE / 0.99::DOUBLE END
+    * CASE WHEN x.address IS NULL OR y.address IS NULL THEN 1 WHEN x.address = y.address THEN 0.9::DOUBLE / 0.00001::DOUBLE ELSE 0.1::DOUBLE / 0.99999::DOUBLE END AS odds
+  FROM pairs JOIN prof x ON x.profile_id = l JOIN prof y ON y.profile_id = r)
+"""
+
+
+def _observations(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql(_OBS, part=spark.read.parquet(f"{d}/part.parquet"))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    rows = linkage.profiles(_observations(spark, d))
+    return linkage.scored_pairs(rows, linkage.candidate_pairs(linkage.blocking_keys(rows)))
+
+
+@query(_PAIRS + 'SELECT l AS "left", r AS "right", round(odds / (odds + 1), 12) AS probability FROM scored')
+def scored_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).withColumn("probability", F.round("probability", 12))
+
+
+def _classified(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    observations = _observations(spark, d)
+    return linkage.classify(linkage.observation_pairs(observations, _scored(spark, d)), observations), observations
+
+
+@query(
+    _PAIRS
+    + """, own AS (SELECT o.*, p.profile_id, CASE WHEN lower(donor_kind) = 'individual' THEN 'person' WHEN lower(donor_kind) = 'company' THEN 'organisation' ELSE 'unknown' END AS ekind
+  FROM obs o JOIN prof p ON p.name = o.name_normalized AND p.address IS NOT DISTINCT FROM o.address_normalized),
+ob AS (SELECT DISTINCT least(a.obs_id, b.obs_id) AS l, greatest(a.obs_id, b.obs_id) AS r FROM scored s JOIN own a ON a.profile_id = s.l JOIN own b ON b.profile_id = s.r
+  WHERE a.company IS NULL OR b.company IS NULL)
+SELECT ob.l AS "left", ob.r AS "right", CASE
+  WHEN x.ekind <> 'unknown' AND y.ekind <> 'unknown' AND x.ekind <> y.ekind THEN 'person_organisation_conflict'
+  WHEN x.name_normalized = y.name_normalized THEN 'exact_donor_name'
+  WHEN x.address_quality = 'numbered_street' AND y.address_quality = 'numbered_street' AND x.address_normalized <> y.address_normalized THEN 'full_address_disagreement'
+  ELSE 'review' END AS rule
+FROM ob JOIN own x ON x.obs_id = ob.l JOIN own y ON y.obs_id = ob.r"""
+)
+def classified_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _classified(spark, d)[0].select("left", "right", "rule")
+
+
+@query()
+def resolved_identities(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.resolve(*_classified(spark, d))[1]
+
+
+@query(
+    """WITH RECURSIVE links AS (SELECT o_custkey % 50 AS m, o_orderkey AS d, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 10 = 1 THEN o_orderkey + 1
+  WHEN o_orderkey % 10 = 2 AND o_orderkey % 4 = 2 THEN o_orderkey - 1 ELSE o_orderkey + 1 END AS t, o_custkey FROM orders),
+walk(m, d, p, n) AS (SELECT m, d, t, 1 FROM links WHERE t IS NOT NULL UNION ALL
+  SELECT w.m, w.d, l.t, n + 1 FROM walk w JOIN links l ON l.m = w.m AND l.d = w.p WHERE l.t IS NOT NULL AND n < 40)
+SELECT DISTINCT m AS member_id, d AS declaration_id, true AS cycle FROM walk WHERE n = 40"""
+)
+def parent_cycles(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    up = F.when(key % 3 == 0, F.lit(None)).when(key % 10 == 1, key + 1).when((key % 10 == 2) & (key % 4 == 2), key - 1).otherwise(key + 1)
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(
+        (F.col("o_custkey") % 50).alias("member_id"), key.alias("declaration_id"), up.cast("long").alias("parent_id"), key.alias("payment_id")
+    )
+    return linkage.parent_cycles(rows)
+
+
+# ------------------------------------------------------------------- search
+
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/part.parquet")
+    return rows.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_partkey") % 100).alias("group_id"), F.lit(True).alias("is_canonical"))
+
+
+@query()
+def text_search(spark: SparkSession, d: str) -> DataFrame:
+    term = search.check_request(" red widgit ", 10, 0.5)
+    return search.text_matches(_names(spark, d), term, 0.5, 10)
+
+
+@query()
+def phonetic_search(spark: SparkSession, d: str) -> DataFrame:
+    return search.phonetic_matches(_names(spark, d), "rad wadget")
+
+
+@query()
+def merged_search(spark: SparkSession, d: str) -> DataFrame:
+    def top(word: str) -> DataFrame:
+        return search.text_matches(_names(spark, d), word, 0.3, 10).select("id", F.col("name").alias("label"), "similarity")
+
+    return search.merge_ranked(top("red"), top("blue"), top("small"))
+
+
+@query()
+def part_name_features(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat("p_name", F.lit(" Ltd (trading as "), "p_brand", F.lit(")")).alias("name"))
+    return name_features(rows)
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'unavailable' WHEN p_partkey % 2 = 0 THEN 'numbered_street' ELSE 'partial' END AS quality,
+  CASE WHEN p_partkey % 5 <> 0 THEN trim(regexp_replace(lower(concat(p_size, CASE WHEN p_partkey % 2 = 0 THEN ' High Street, ' ELSE ' High, ' END, p_brand)), '[^a-z0-9]+', ' ', 'g')) END AS key FROM part"""
+)
+def address_quality(spark: SparkSession, d: str) -> DataFrame:
+    text = F.lower(F.concat(F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, " High Street, ").otherwise(" High, "), F.col("p_brand")))
+    rows = spark.read.parquet(f"{d}/part.parquet").withColumn("a", F.when(F.col("p_partkey") % 5 != 0, text))
+    return rows.select("p_partkey", names.address_quality(F.col("a")).alias("quality"), names.address_key(F.col("a")).alias("key"))
