@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ledgerline.llm.texts import bpe_encoder, crc32_of_ids, small_batches
 from ledgerline.session import cut
@@ -148,7 +148,7 @@ def best_fit(pieces: DataFrame, capacity: Capacity = Capacity(), task_pieces: in
     kept = cut(pieces, "pieces")
     rows = kept.filter(F.col("length") < capacity.tokens).count()
     tasks = max(1, -(-rows // task_pieces))
-    schema = kept.schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType(list(kept.schema.fields)).add("sequence_id", "long").add("offset", "long")
     names = schema.fieldNames()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
