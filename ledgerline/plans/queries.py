@@ -11,7 +11,7 @@ from ledgerline.functions.money import breakdown_by, normal_currency, plain_amou
 from ledgerline.functions.periods import RegistrationWindow, day_range, month_window, period_window
 from ledgerline.functions import names
 from ledgerline.functions.names import name_features
-from ledgerline.operators import linkage, registers, search
+from ledgerline.operators import linkage, loading, registers, search, trees
 from ledgerline.plans.model import CTES, model
 
 NOW = datetime(1999, 6, 15)
@@ -373,3 +373,73 @@ def address_quality(spark: SparkSession, d: str) -> DataFrame:
     text = F.lower(F.concat(F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, " High Street, ").otherwise(" High, "), F.col("p_brand")))
     rows = spark.read.parquet(f"{d}/part.parquet").withColumn("a", F.when(F.col("p_partkey") % 5 != 0, text))
     return rows.select("p_partkey", names.address_quality(F.col("a")).alias("quality"), names.address_key(F.col("a")).alias("key"))
+
+
+# ---------------------------------------------------------- trees and loads
+
+
+
+@query(
+    """WITH RECURSIVE n AS (SELECT conv_id AS m, turn AS p, CASE WHEN turn = 0 THEN NULL ELSE CAST(floor((turn - 1) / 2) AS BIGINT) END AS up, turn % 3 = 1 AS gone, conv_id, turn FROM conversations),
+w(m, p, a) AS (SELECT m, p, up FROM n WHERE NOT gone UNION ALL SELECT w.m, w.p, n.up FROM w JOIN n ON n.m = w.m AND n.p = w.a WHERE n.gone)
+SELECT DISTINCT w.m AS member_id, w.p AS node_position, w.a AS live_parent FROM w LEFT JOIN n ON n.m = w.m AND n.p = w.a WHERE n.p IS NULL OR NOT n.gone"""
+)
+def live_tree(spark: SparkSession, d: str) -> DataFrame:
+    up = F.when(F.col("turn") != 0, F.floor((F.col("turn") - 1) / 2))
+    nodes = spark.read.parquet(f"{d}/conversations.parquet").select(
+        F.col("conv_id").alias("member_id"), F.col("turn").alias("node_position"), up.alias("parent_position"), F.when(F.col("turn") % 3 == 1, "then").alias("deleted_when")
+    )
+    return trees.live_nodes(nodes, ["member_id"]).select("member_id", "node_position", "live_parent").distinct()
+
+
+@query("SELECT conv_id, count(*)::BIGINT AS n, string_agg(role, ',' ORDER BY turn, role) AS roles FROM conversations GROUP BY conv_id")
+def nested_turns(spark: SparkSession, d: str) -> DataFrame:
+    rows = trees.nested(spark.read.parquet(f"{d}/conversations.parquet"), "conv_id", "turn", ["role"])
+    return rows.select("conv_id", "n", F.array_join(F.transform("children", lambda c: c["role"]), ",").alias("roles"))
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN concat('new ', c_name) ELSE c_name END AS c_name, c_nationkey FROM customer
+UNION ALL SELECT c_custkey + 1000000, concat('new ', c_name), c_nationkey FROM customer WHERE c_custkey % 7 = 0"""
+)
+def upserted_members(spark: SparkSession, d: str) -> DataFrame:
+    stored = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name", "c_nationkey")
+    renamed = stored.withColumn("c_name", F.concat(F.lit("new "), "c_name"))
+    changed = renamed.filter("c_custkey % 3 = 0").unionByName(renamed.filter("c_custkey % 7 = 0").withColumn("c_custkey", F.col("c_custkey") + 1_000_000))
+    return loading.upsert(stored, changed, "c_custkey")
+
+
+@query("SELECT s_suppkey AS funder_id, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 97 = 1)")
+def funders_in_use(spark: SparkSession, d: str) -> DataFrame:
+    entries = spark.read.parquet(f"{d}/lineitem.parquet").filter("l_orderkey % 97 = 1").select(F.col("l_suppkey").alias("funder_id"))
+    return loading.without_orphans(spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("funder_id"), "s_name"), entries)
+
+
+@query(
+    """WITH a AS (SELECT o_orderkey AS payment_id, count(*) AS payments FROM orders GROUP BY 1),
+b AS (SELECT l_orderkey AS payment_id, count(*) AS attributions FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
+SELECT coalesce(a.payment_id, b.payment_id) AS payment_id, coalesce(payments, 0)::BIGINT AS payments, coalesce(attributions, 0)::BIGINT AS attributions
+FROM a FULL JOIN b ON a.payment_id = b.payment_id WHERE coalesce(payments, 0) <> 1 OR coalesce(attributions, 0) <> 1"""
+)
+def uncovered_payments(spark: SparkSession, d: str) -> DataFrame:
+    payments = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("payment_id"))
+    found = spark.read.parquet(f"{d}/lineitem.parquet").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("payment_id"))
+    return loading.uncovered(payments, found)
+
+
+@query(
+    """WITH s AS (SELECT o_custkey % 200 AS id, o_custkey % 7 AS presentation, o_orderkey AS occ FROM orders WHERE o_orderkey < 600),
+a AS (SELECT id, min(presentation) AS presentation, list_sort(list(DISTINCT occ)) AS alls FROM s GROUP BY id),
+b AS (SELECT id + 5000 AS identity, presentation, CASE WHEN id % 4 = 0 THEN list_append(alls, -1) ELSE alls END AS alls FROM a)
+SELECT b.identity, a.id FROM a JOIN b ON list_sort(b.alls) = a.alls AND a.presentation = b.presentation"""
+)
+def kept_identities(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/orders.parquet").filter("o_orderkey < 600").select(
+        (F.col("o_custkey") % 200).alias("id"), (F.col("o_custkey") % 7).alias("presentation"), F.col("o_orderkey").alias("occurrence")
+    )
+    stored = rows.groupBy("id").agg(F.min("presentation").alias("presentation")).withColumn("identity", F.lit(-1).cast("long"))
+    incoming = stored.select((F.col("id") + 5000).alias("identity"), "presentation")
+    old = rows.select(F.col("id").alias("owner"), "occurrence")
+    new = old.select((F.col("owner") + 5000).alias("owner"), "occurrence")
+    extra = new.filter((F.col("owner") % 4) == 0).select("owner", F.lit(-1).cast("long").alias("occurrence"))
+    return loading.continuity(stored, incoming, old, new.unionByName(extra))
