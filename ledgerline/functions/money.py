@@ -18,10 +18,14 @@ def normal_currency(currency: Column) -> Column:
 
 def plain_amount(amount: Column) -> Column:
     """A decimal without trailing zeros or exponent; null stays null."""
-    size = F.abs(amount)
+    size = F.abs(amount.cast(AMOUNT))
+    one, nine = F.lit(1).cast("decimal(1,0)"), F.lit(10**9).cast("decimal(10,0)")
     whole = F.floor(size).cast("decimal(38,0)")
-    rest = ((size - whole).cast("decimal(19,18)") * F.lit(10**18).cast("decimal(19,0)")).cast("decimal(18,0)").cast("string")
-    digits = F.rtrim(F.lpad(rest, 18, "0"), F.lit("0"))
+    # Nine digits at a time: more would exceed a product's 38 digits.
+    high = (size % one) * nine
+    low = (high % one) * nine
+    digits = F.concat(*(F.lpad(F.floor(x).cast("decimal(10,0)").cast("string"), 9, "0") for x in (high, low)))
+    digits = F.rtrim(digits, F.lit("0"))
     text = F.concat(whole.cast("string"), F.when(digits == "", "").otherwise(F.concat(F.lit("."), digits)))
     return F.when(amount < 0, F.concat(F.lit("-"), text)).otherwise(text)
 
