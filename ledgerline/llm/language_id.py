@@ -161,7 +161,8 @@ def cut_windows(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nd
     sizes = np.minimum(size, offsets[owner + 1] - start)
     at = start[None, :] + np.arange(size)[:, None]
     real = np.arange(size)[:, None] < sizes[None, :]
-    x = np.where(real, data[np.minimum(at, max(0, len(data) - 1))] if len(data) else 0, _PAD).astype(np.int32)
+    x = np.full(at.shape, _PAD, np.int32)
+    x[real] = data[at[real]]
     return x, sizes, owner
 
 

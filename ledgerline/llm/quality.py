@@ -24,12 +24,15 @@ FEATURES, RIDGE, BANDWIDTH = 256, 1e-3, 3.0
 ACCEPT = 0.7
 BATCH_ROWS = 500
 
-# Kinds of bytes whose share of a text is a statistic.
-_KINDS = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\r\x0b\x0c", b"\n", b"!", b"|", b".,", b";:'\"?()-")
+# Kinds of bytes whose share of a text's printable bytes is a statistic.  White
+# space is none: copies that differ in it alone have equal statistics.
+_KINDS = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"!", b"|", b".,", b";:'\"?()-")
+_SPACES = list(b" \t\n\r\x0b\x0c")
 _KIND = np.full(256, len(_KINDS) + 1, np.uint8)
 for _number, _members in enumerate(_KINDS):
     _KIND[list(_members)] = _number
 _KIND[128:] = len(_KINDS)  # bytes of other than ASCII characters; the rest are symbols
+_IS_SPACE = np.isin(np.arange(256), _SPACES)
 STATISTICS = len(_KINDS) + 2 + 6
 
 
@@ -39,7 +42,10 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     kinds = len(_KINDS) + 2
     size = np.diff(offsets)
     owner = np.repeat(np.arange(n) * kinds, size)
-    shares = np.bincount(owner + _KIND[data], minlength=n * kinds).reshape(n, kinds) / np.maximum(size, 1)[:, None]
+    shares = np.bincount(owner + _KIND[data], minlength=n * kinds).reshape(n, kinds)
+    spaces = np.bincount(np.repeat(np.arange(n), size), _IS_SPACE[data], n).astype(np.int64)
+    shares[:, -1] -= spaces  # they count as symbols in the table
+    shares = shares / np.maximum(size - spaces, 1)[:, None]
     hashes, at = word_hashes(data, offsets)
     starts, ends, _ = word_spans(data, offsets)
     words = np.diff(at)
@@ -54,7 +60,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     distinct = np.bincount(doc[order], fresh, n)
     # Words that end in something other than a letter or a plain stop.
     tail = _KIND[data[ends - 1]] if len(ends) else np.zeros(0, np.uint8)
-    odd = np.bincount(doc, (tail == 5) | (tail == 6) | (tail == kinds - 1), n) / some
+    odd = np.bincount(doc, (tail == 3) | (tail == 4) | (tail == kinds - 1), n) / some
     caps = np.bincount(doc, (_KIND[data[starts]] == 0) if len(starts) else None, n) / some if len(starts) else np.zeros(n)
     extra = np.stack(
         [np.log1p(words) / 5, np.minimum(length, 30) / 10, np.sqrt(np.bincount(doc, again, n) / some), np.sqrt(odd), np.sqrt(caps),
@@ -162,7 +168,9 @@ def fit_quality(labelled: DataFrame, seed: int = 7, features: int = FEATURES) ->
     total = sum(_sums(fit, normal))
     side = features + 1
     gram, right = total[: side * side].reshape(side, side), total[side * side :]
-    weights = np.linalg.solve(gram + RIDGE * n * np.eye(side) / side, right)
+    ridge = RIDGE * n * np.eye(side) / side
+    ridge[-1, -1] = 0  # texts unlike all others get the mean label
+    weights = np.linalg.solve(gram + ridge, right)
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
