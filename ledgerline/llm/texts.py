@@ -242,7 +242,7 @@ def rank_encoder(path: str, pattern: str) -> ChunkEncoder:
     return _encoders[key]
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterable[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one hold about ``most`` bytes at most."""
     for batch in batches:
         _, offsets = string_bytes(batch.column(column))
