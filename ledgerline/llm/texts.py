@@ -206,7 +206,7 @@ class ChunkEncoder:
 _encoders: dict[tuple[str, str], ChunkEncoder] = {}
 
 
-def bpe_encoder(path: str) -> ChunkEncoder:
+def bpe_encoder(path: str, limit: int = 600_000) -> ChunkEncoder:
     """One encoder a process for a ``tokenizers`` vocabulary file.
 
     Strings of special tokens within a text are ordinary text.
@@ -224,6 +224,7 @@ def bpe_encoder(path: str) -> ChunkEncoder:
         _encoders[key] = ChunkEncoder(
             lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
         )
+    _encoders[key].limit = limit
     return _encoders[key]
 
 

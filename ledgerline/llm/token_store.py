@@ -175,12 +175,12 @@ def write_tokens(
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = bpe_encoder(vocabulary)
+        encode = bpe_encoder(vocabulary, 800_000)
         end = np.array([end_id], np.uint16)
         keys: list[int | None] = []
         ids: list[np.ndarray] = []
         size = 0
-        for batch in small_batches(batches, "t"):
+        for batch in small_batches(batches, "t", 4 << 20):
             keys += batch.column(0).to_pylist()
             for got in encode([t or "" for t in batch.column(1).to_pylist()]):
                 ids.append(np.concatenate([got, end]))
