@@ -3,9 +3,11 @@
 Vectors of one label start with the best neighbours inside bounded blocks, which
 seeded hyperplane codes sort near each other.  Each round joins every vector's
 neighbours (both ways) with each other and keeps the best, until few lists
-change.  A list whose every entry reaches the threshold is saturated: it is
-enlarged to the whole component of the threshold graph, whose members are
-compared in blocks with exact cosines.  An audit compares a sample of queries
+change.  A list whose every entry reaches the threshold is saturated: more links
+may lie beyond its end, in its own component or in another.  Saturated vectors
+are gathered around pivots, and cells of one label are joined wherever angles
+between pivots and the cells' radii leave room for a link.  Members of the
+components that this makes are compared in blocks with exact cosines.  An audit compares a sample of queries
 with all rows in blocks, and a recall below the target starts over with longer
 lists and more codes.
 """
@@ -28,6 +30,8 @@ THRESHOLD, MARGIN = 0.98, 0.01
 NEIGHBOURS, JOINED, CODES, BITS = 12, 8, 3, 14
 BLOCK, ROUNDS, SETTLED = 256, 4, 0.01
 AUDIT, RECALL, ATTEMPTS = 512, 0.98, 3
+#: Most that a cosine of half-precision vectors is off.
+ROUNDING = 0.002
 BATCH_ROWS = 2000
 
 
@@ -222,6 +226,51 @@ def _graph(vectors: DataFrame, total: int, k: int, codes: int, seed: int, dim: i
     return lists
 
 
+def _bridges(lists: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """(id, component) that join cells of saturated vectors which may hold links across.
+
+    A saturated vector belongs to one pivot, the entry of its list (or itself)
+    that a hash puts first.  Two cells have a link only if the angle between
+    their pivots is at most that of the threshold and both radii together, so no
+    link of two saturated vectors is outside the components returned.
+    """
+    full = lists.filter(F.array_min("sims") >= threshold - MARGIN)
+    entry = F.explode(F.concat(F.array(F.struct(F.col("node").alias("ids"), F.lit(1.0).cast("float").alias("sims"))), F.arrays_zip("ids", "sims")))
+    entries = full.select("node", entry.alias("e")).select("node", "e.ids", "e.sims")
+    cells = entries.groupBy("node").agg(F.min_by(F.struct("ids", "sims"), F.struct(F.xxhash64("ids", F.lit(5)), "ids")).alias("e"))
+    pivots = cells.groupBy(F.col("e.ids").alias("pivot")).agg(F.min("e.sims").alias("least"))
+    placed = pivots.join(vectors, F.col("pivot") == F.col("node")).select("label", "node", "vector", F.col("least").cast("double").alias("least"))
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = batch.column(3).to_numpy()
+            radius = np.arccos(np.clip(least - ROUNDING, -1, 1))
+            payload = [v + r.tobytes() for v, r in zip(batch.column(2).to_pylist(), radius, strict=True)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.ones(len(payload), np.int64)), pa.array(payload, pa.binary())], names=["component", "node", "weight", "payload"])
+
+    members = placed.mapInArrow(reach, "component long, node long, weight long, payload binary")
+    joined = linked(members, _reach_links(threshold), 4 * BLOCK)[1]
+    own = cells.select(F.col("node").alias("id"), F.col("e.ids").alias("component"))
+    return own.union(joined.select("id", "component"))
+
+
+def _reach_links(threshold: float):
+    """Pivots (a vector, then its cell's radius) whose cells may hold a link."""
+    angle = np.arccos(threshold)
+
+    def links(left: list[bytes], right: list[bytes]) -> np.ndarray:
+        out = np.zeros((len(left), len(right)), bool)
+        sizes = [np.array([len(b) for b in side]) for side in (left, right)]
+        for size in np.intersect1d(*sizes):
+            a, b = (np.flatnonzero(s == size) for s in sizes)
+            x, y = _unit([left[i][:-8] for i in a]), _unit([right[i][:-8] for i in b])
+            r, t = (np.array([np.frombuffer(side[i][-8:], np.float64)[0] for i in at]) for side, at in ((left, a), (right, b)))
+            out[np.ix_(a, b)] = x @ y.T >= np.cos(np.minimum(np.pi, angle + r[:, None] + t[None, :])) - 1e-9
+        return out
+
+    return links
+
+
 def _audit(vectors: DataFrame, named: DataFrame, threshold: float, size: int) -> float:
     """Recall of links over ``size`` queries at most, against all rows in blocks."""
     n = vectors.count()
@@ -302,7 +351,8 @@ def embedding_links(
         lists = _graph(classes, total, k, tables, seed + 100 * attempt, dim)
         near = lists.select("node", F.explode(F.arrays_zip("ids", "sims")).alias("e"))
         near = near.select("node", F.col("e.ids").alias("other"), F.col("e.sims").alias("sim")).filter(F.col("sim") >= threshold - MARGIN)
-        candidates = connected_components(near, "node", "other")
+        bridges = _bridges(lists, classes, threshold).toDF("node", "other")
+        candidates = connected_components(near.select("node", "other").union(bridges), "node", "other")
         members = candidates.join(classes, F.col("id") == F.col("node")).select("component", "node", F.col("size").alias("weight"), F.col("vector").alias("payload"))
         totals, components = linked(members, cosine_links(threshold), 2 * BLOCK)
         named = (

@@ -160,3 +160,21 @@ def test_embeddings_against_all_pairs(spark):
 
 def test_embeddings_empty(spark):
     assert nn_descent.embedding_links(vectors(spark, [(1, [1.0], 0, "x")]).limit(0)).count() == 0
+
+
+def unit(v):
+    return v / np.linalg.norm(v)
+
+
+def test_embeddings_bridged_groups_larger_than_a_list(spark):
+    """Two tight groups of more vectors than any list holds, every one linked with all of the other group."""
+    rng = np.random.default_rng(3)
+    a, off = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+    b = 0.985 * a + np.sqrt(1 - 0.985**2) * off
+    rows = [(len_, unit(base + rng.normal(size=32) * 0.0008).tolist(), 0, "x") for len_, base in enumerate([a] * 150 + [b] * 150)]
+    x = np.array([np.array(r[1], np.float32).astype(float) for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((x @ x.T >= 0.98).sum(1) - 1).tolist()
+    assert min(want) == 299  # one component; each group alone has 149 links
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nn_descent.embedding_links(vectors(spark, rows)).collect()}
+    assert got == {i: (n, 0) for i, n in enumerate(want)}
