@@ -8,8 +8,9 @@ may lie beyond its end, in its own component or in another.  Saturated vectors
 are gathered around pivots, and cells of one label are joined wherever angles
 between pivots and the cells' radii leave room for a link.  Members of the
 components that this makes are compared in blocks with exact cosines.  An audit compares a sample of queries
-with all rows in blocks, and a recall below the target starts over with longer
-lists and more codes.
+from small and from large components with all rows in blocks; a mean recall below
+the target in either starts over with longer lists and more codes, and after the
+last attempt all vectors of a label are compared in blocks.
 """
 
 from __future__ import annotations
@@ -271,12 +272,21 @@ def _reach_links(threshold: float):
     return links
 
 
-def _audit(vectors: DataFrame, named: DataFrame, threshold: float, size: int) -> float:
-    """Recall of links over ``size`` queries at most, against all rows in blocks."""
-    n = vectors.count()
-    queries = vectors.select("node", "label", "vector").filter(
-        F.pmod(F.xxhash64("node", F.lit(9)), F.lit(1_000_000)) < int(min(1.0, size / max(1, n)) * 1_000_000)
-    ).limit(4 * size).collect()
+def _audit(vectors: DataFrame, named: DataFrame, threshold: float, size: int, small: int) -> float:
+    """The lower of two mean recalls a query, against all rows in blocks.
+
+    ``size`` queries at most, half from components of up to ``small`` nodes and
+    half from larger ones.  Only links to other nodes count (equal vectors need
+    no search), and only queries that have any.
+    """
+    sizes = named.groupBy("component").agg(F.count("*").alias("members")).withColumnRenamed("component", "_c")
+    strata = named.join(sizes, F.col("component") == F.col("_c")).select(F.col("node").alias("_n"), "n_links", (F.col("members") > small).alias("large"))
+    counts = {r["large"]: r["n"] for r in strata.groupBy("large").agg(F.count("*").alias("n")).collect()}
+    queries = []
+    for large, n in counts.items():
+        share = int(min(1.0, size / 2 / n) * 1_000_000) + 1
+        picked = strata.filter((F.col("large") == large) & (F.pmod(F.xxhash64("_n", F.lit(9)), F.lit(1_000_000)) < share))
+        queries += picked.join(vectors, F.col("_n") == F.col("node")).select("label", "vector", "size", "n_links", "large").limit(2 * size).collect()
     if not queries:
         return 1.0
     labels = np.array([q["label"] for q in queries])
@@ -289,14 +299,22 @@ def _audit(vectors: DataFrame, named: DataFrame, threshold: float, size: int) ->
         total = np.zeros(len(blobs), np.int64)
         for batch in batches:
             if batch.num_rows:
-                hit = links(blobs, batch.column(1).to_pylist()) & (labels[:, None] == batch.column(0).to_numpy()[None, :])
+                own, others = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+                hit = links(blobs, others) & (labels[:, None] == own[None, :])
+                at = {key: i for i, key in enumerate(zip(own.tolist(), others, strict=True))}
+                for i, key in enumerate(zip(labels.tolist(), blobs, strict=True)):  # not itself; a vector is one node of a label
+                    if (j := at.get(key)) is not None:
+                        hit[i, j] = False
                 total += hit @ batch.column(2).to_numpy()
         yield pa.record_batch([pa.array(np.arange(len(total))), pa.array(total)], names=["q", "n"])
 
     true = vectors.select("label", "vector", "size").mapInArrow(scan, "q long, n long").groupBy("q").agg(F.sum("n").alias("n")).collect()
-    true_of = {queries[r["q"]]["node"]: r["n"] - 1 for r in true}
-    found = named.filter(F.col("node").isin([q["node"] for q in queries])).select("node", "n_links").collect()
-    return sum(min(r["n_links"], true_of[r["node"]]) for r in found) / max(1, sum(true_of.values())) if sum(true_of.values()) else 1.0
+    recalls: dict[bool, list[float]] = {}
+    for r in true:
+        if r["n"]:
+            query = queries[r["q"]]
+            recalls.setdefault(query["large"], []).append(min(1.0, (query["n_links"] - query["size"] + 1) / r["n"]))
+    return min((float(np.mean(of)) for of in recalls.values()), default=1.0)
 
 
 def embedding_links(
@@ -346,13 +364,8 @@ def embedding_links(
     classes = cut(classes, "nodes")
     total, longest = classes.agg(F.count("*"), F.max(F.length("vector"))).first()
     dim = (longest or 8) // 8
-    for attempt in range(ATTEMPTS):
-        k, tables = neighbours << attempt, codes << attempt
-        lists = _graph(classes, total, k, tables, seed + 100 * attempt, dim)
-        near = lists.select("node", F.explode(F.arrays_zip("ids", "sims")).alias("e"))
-        near = near.select("node", F.col("e.ids").alias("other"), F.col("e.sims").alias("sim")).filter(F.col("sim") >= threshold - MARGIN)
-        bridges = _bridges(lists, classes, threshold).toDF("node", "other")
-        candidates = connected_components(near.select("node", "other").union(bridges), "node", "other")
+
+    def compared(candidates: DataFrame) -> DataFrame:
         members = candidates.join(classes, F.col("id") == F.col("node")).select("component", "node", F.col("size").alias("weight"), F.col("vector").alias("payload"))
         totals, components = linked(members, cosine_links(threshold), 2 * BLOCK)
         named = (
@@ -361,9 +374,19 @@ def embedding_links(
             .join(components, F.col("node") == F.col("id"), "left")
             .select("node", "low", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
         )
-        named = cut(named, "named")
-        if _audit(classes, named, threshold, AUDIT) >= RECALL:
+        return cut(named, "named")
+
+    for attempt in range(ATTEMPTS):
+        k, tables = neighbours << attempt, codes << attempt
+        lists = _graph(classes, total, k, tables, seed + 100 * attempt, dim)
+        near = lists.select("node", F.explode(F.arrays_zip("ids", "sims")).alias("e"))
+        near = near.select("node", F.col("e.ids").alias("other"), F.col("e.sims").alias("sim")).filter(F.col("sim") >= threshold - MARGIN)
+        bridges = _bridges(lists, classes, threshold).toDF("node", "other")
+        named = compared(connected_components(near.select("node", "other").union(bridges), "node", "other"))
+        if _audit(classes, named, threshold, AUDIT, neighbours) >= RECALL:
             break
+    else:  # no graph was good enough: every pair of a label in blocks
+        named = compared(classes.select(F.col("node").alias("id"), F.col("label").alias("component")))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id")).withColumnRenamed("component", "_c")
     named = named.join(lowest, F.col("component") == F.col("_c")).select(F.col("node").alias("_n"), "n_links", "component_id")
     whole = rows.select("id", "node").join(named, F.col("node") == F.col("_n"), "left")

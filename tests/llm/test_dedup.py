@@ -178,3 +178,21 @@ def test_embeddings_bridged_groups_larger_than_a_list(spark):
     assert min(want) == 299  # one component; each group alone has 149 links
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nn_descent.embedding_links(vectors(spark, rows)).collect()}
     assert got == {i: (n, 0) for i, n in enumerate(want)}
+
+
+def test_audit_sees_lost_small_groups_and_falls_back(spark, monkeypatch):
+    """Pairs whose links are all lost weigh as much as one big group; lost links are then found exactly."""
+    rng = np.random.default_rng(4)
+    base = unit(rng.normal(size=32))
+    big = [unit(base + rng.normal(size=32) * 0.0008) for _ in range(100)]
+    pairs = [unit(c + rng.normal(size=32) * 0.0008) for c in rng.normal(size=(20, 32)) / np.sqrt(32) for _ in range(2)]
+    blobs = [np.array(v).tobytes() for v in big + pairs]
+    classes = spark.createDataFrame([(i, 0, bytearray(v), 1) for i, v in enumerate(blobs)], "node long, label long, vector binary, size long")
+    named = spark.createDataFrame([(i, 99 if i < 100 else 0, 0 if i < 100 else i) for i in range(140)], "node long, n_links long, component long")
+    assert nn_descent._audit(classes, named, 0.98, 512, 12) == 0
+
+    empty = spark.createDataFrame([], "node long, ids array<long>, sims array<float>")
+    monkeypatch.setattr(nn_descent, "_graph", lambda *a: empty)
+    rows = [(i, v.tolist(), 0, "x") for i, v in enumerate(pairs)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nn_descent.embedding_links(vectors(spark, rows)).collect()}
+    assert got == {i: (1, i - i % 2) for i in range(40)}
