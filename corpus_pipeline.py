@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerline.llm.exact_dedup import exact_dedup
 from ledgerline.llm.jaccard import similarity_classes
 from ledgerline.llm.mixing import mix, repeat_rows
-from ledgerline.llm.packing import pack
+from ledgerline.llm.packing import PRODUCTION, pack
 from ledgerline.llm.quality import accepted
 from ledgerline.llm.queries import vocabulary
 from ledgerline.session import cut
@@ -64,7 +64,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 2048 tokens."""
-    return pack(docs, vocabulary())
+    return pack(docs, vocabulary(), PRODUCTION)
 
 
 STAGES = [

@@ -40,6 +40,10 @@ class Capacity:
     score: str = "norm"
 
 
+#: What the queries pack to: a sequence of 2048 one-token documents, or one document
+#: of 2048 tokens, is the most that its tokens allow, so neither bound costs sequences.
+PRODUCTION = Capacity(2048, 2048, 2048 * 2048)
+
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -68,11 +72,9 @@ def cut_pieces(docs: DataFrame, vocabulary: str, tokens: int = 2048, end_id: int
 def pack_lengths(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.ndarray, int]:
     """(bin, offset) of every piece, and the number of bins.
 
-    Longest pieces first.  Open bins are kept by residual tokens, and within one
-    residual by the other two capacities that are used; bins of equal state are
-    interchangeable, so the score is computed once a state instead of once a
-    bin.  A piece longer than ``tokens`` or beyond another capacity on its own
-    is an error, never dropped.
+    Longest pieces first.  Every piece is scored against the residual capacities
+    of all open bins where it fits at once.  A piece longer than ``tokens`` or
+    beyond another capacity on its own is an error, never dropped.
     """
     full = capacity.tokens
     most_docs = capacity.documents or 1 << 62
@@ -82,59 +84,36 @@ def pack_lengths(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, n
     order = np.argsort(-lengths, kind="stable")
     bins = np.empty(len(lengths), np.int64)
     offsets = np.empty(len(lengths), np.int64)
-    bounded = capacity.documents is not None or capacity.attention is not None
-    norms = (full, most_docs, most_cost)
-    states: list[dict[tuple[int, int], list[int]]] = [{} for _ in range(full + 1)]
-    occupied = np.zeros(full + 1, bool)  # residuals that have an open bin
-    count = 0
-
-    def take(size: int) -> tuple[int, tuple[int, int]] | None:
-        cost = size * size
-        if not bounded:
-            # One constraint: both scores prefer the tightest bin for norm, the
-            # emptiest for the dot product; the next occupied residual is it.
-            at = size + int(np.argmax(occupied[size:])) if capacity.score == "norm" else full - int(np.argmax(occupied[::-1]))
-            return (at, next(iter(states[at]))) if at >= size and occupied[at] else None
-        best, found = None, None
-        w = capacity.weights
-        for left in (size + np.flatnonzero(occupied[size:])).tolist():
-            if capacity.score == "norm" and best is not None and w[0] * ((left - size) / full) ** 2 >= best:
-                break  # the other terms only add
-            for state in states[left]:
-                docs, spent = state
-                if docs + 1 > most_docs or spent + cost > most_cost:
-                    continue
-                rest = ((left - size) / norms[0], (most_docs - docs - 1) / norms[1], (most_cost - spent - cost) / norms[2])
-                if capacity.score == "norm":
-                    value = sum(k * r * r for k, r in zip(w, rest, strict=True))
-                else:
-                    have = (left / norms[0], (most_docs - docs) / norms[1], (most_cost - spent) / norms[2])
-                    need = (size / norms[0], 1 / norms[1], cost / norms[2])
-                    value = -sum(k * a * b for k, a, b in zip(w, need, have, strict=True))
-                if best is None or value < best:
-                    best, found = value, (left, state)
-        return found
-
+    w = capacity.weights
+    # Open bins: what is left of tokens, documents and attention cost, and the bin's number.
+    left, docs, cost, number = (np.zeros(1024, np.int64) for _ in range(4))
+    used = count = 0
     for i in order.tolist():
         size = int(lengths[i])
-        found = take(size)
-        if found is None:
-            left, docs, spent, number = full, 0, 0, count
-            count += 1
+        square = size * size
+        fits = np.flatnonzero((left[:used] >= size) & (docs[:used] >= 1) & (cost[:used] >= square))
+        if len(fits):
+            have = (left[fits], docs[fits], cost[fits])
+            if capacity.score == "norm":
+                rest = ((have[0] - size) / full, (have[1] - 1) / most_docs, (have[2] - square) / most_cost)
+                value = w[0] * rest[0] ** 2 + w[1] * rest[1] ** 2 + w[2] * rest[2] ** 2
+            else:
+                value = -(w[0] * size / full * (have[0] / full) + w[1] / most_docs * (have[1] / most_docs) + w[2] * square / most_cost * (have[2] / most_cost))
+            at = int(fits[np.argmin(value)])
         else:
-            left, state = found
-            docs, spent = state
-            same = states[left][state]
-            number = same.pop()
-            if not same:
-                del states[left][state]
-                occupied[left] = bool(states[left])
-        bins[i], offsets[i] = number, full - left
-        left -= size
-        if left and docs + 1 < most_docs:
-            state = (docs + 1, spent + size * size) if bounded else (0, 0)
-            states[left].setdefault(state, []).append(number)
-            occupied[left] = True
+            if used == len(left):
+                left, docs, cost, number = (np.concatenate([x, np.zeros_like(x)]) for x in (left, docs, cost, number))
+            at, used = used, used + 1
+            left[at], docs[at], cost[at], number[at] = full, most_docs, most_cost, count
+            count += 1
+        bins[i], offsets[i] = number[at], full - left[at]
+        left[at] -= size
+        docs[at] -= 1
+        cost[at] -= square
+        if not (left[at] and docs[at] and cost[at]):  # closed: the last open bin takes its place
+            used -= 1
+            for x in (left, docs, cost, number):
+                x[at] = x[used]
     return bins, offsets, count
 
 

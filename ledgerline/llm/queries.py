@@ -12,7 +12,7 @@ from ledgerline.llm.language_id import detect_languages
 from ledgerline.llm.lm_scoring import Vocabulary, score_texts
 from ledgerline.llm.mixing import mix
 from ledgerline.llm.nn_descent import embedding_links
-from ledgerline.llm.packing import pack
+from ledgerline.llm.packing import PRODUCTION, pack
 from ledgerline.llm.quality import score_quality
 from ledgerline.llm.token_store import token_store
 from ledgerline.llm.warc import captures, resolve_revisits
@@ -82,7 +82,7 @@ def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), vocabulary())
+    return pack(table(spark, sf_dir, "documents"), vocabulary(), PRODUCTION)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

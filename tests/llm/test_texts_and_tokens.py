@@ -128,3 +128,34 @@ def test_every_constraint_holds(lengths, score, documents, attention):
 def test_too_long_is_an_error():
     with pytest.raises(ValueError):
         packing.pack_lengths(np.array([101]), packing.Capacity(100))
+
+
+def test_queries_pack_by_three_capacities(monkeypatch):
+    """What the query hands over bounds documents and attention, and the score uses them."""
+    import corpus_pipeline
+    from ledgerline.llm import queries
+
+    handed = []
+    for module in (queries, corpus_pipeline):
+        monkeypatch.setattr(module, "pack", lambda docs, vocabulary, capacity=packing.Capacity(): handed.append(capacity))
+    monkeypatch.setattr(queries, "table", lambda *a: None)
+    queries.op10_packing(None, "")
+    corpus_pipeline.packed(None, None, "")
+    assert [(c.tokens, c.documents, c.attention) for c in handed] == [(2048, 2048, 2048 * 2048)] * 2
+    capacity = packing.Capacity(100, 100, 10_000)
+    sizes = np.random.default_rng(2).integers(1, 100, 400)
+    bins, _, count = packing.pack_lengths(sizes, capacity)
+    left: list[list[int]] = []  # brute force: the smallest weighted norm
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        size = int(sizes[i])
+        fits = [b for b in left if b[0] >= size and b[1] >= 1 and b[2] >= size * size]
+        norm = {id(b): ((b[0] - size) / 100) ** 2 + 0.25 * ((b[1] - 1) / 100) ** 2 + 0.25 * ((b[2] - size * size) / 10_000) ** 2 for b in fits}
+        mine = next((b for b in left if b[3] == bins[i]), None)
+        if fits:
+            assert norm[id(mine)] <= min(norm.values()) + 1e-12
+        else:
+            assert mine is None
+            mine = [100, 100, 10_000, bins[i]]
+            left.append(mine)
+        mine[0], mine[1], mine[2] = mine[0] - size, mine[1] - 1, mine[2] - size * size
+    assert count == len(left)
