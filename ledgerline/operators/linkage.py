@@ -38,13 +38,21 @@ def entity_kind(kind: Column) -> Column:
 
 
 def profiles(observations: DataFrame) -> DataFrame:
-    """Distinct (name, address): smallest observation, whether any has no company."""
+    """Distinct (name, address): smallest observation, whether any has no company, members."""
     named = observations.filter(F.col("name_normalized").isNotNull())
     return named.groupBy(F.col("name_normalized").alias("name"), F.col("address_normalized").alias("address")).agg(
-        F.min("obs_id").alias("profile_id"), F.max(F.col("company").isNull()).alias("needs")
+        F.min("obs_id").alias("profile_id"), F.max(F.col("company").isNull()).alias("needs"), F.count("*").alias("members")
     )
 
 
+def twins(rows: DataFrame) -> DataFrame:
+    """Pairs of a profile with itself, whose observations are paired with each other.
+
+    Only profiles of more than one observation, any of them without a company.
+    """
+    return rows.filter(F.col("needs") & (F.col("members") > 1)).select(F.col("profile_id").alias("left"), F.col("profile_id").alias("right"))
+
+
 def blocking_keys(rows: DataFrame, shared: Column | None = None) -> DataFrame:
     """(profile_id, needs, key, left_ok): exact name and address, prefix, initial and surname, shared keys."""
     name = F.col("name")
@@ -110,7 +118,7 @@ def scored_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def observation_pairs(observations: DataFrame, scored: DataFrame) -> DataFrame:
-    """Scores of profiles carried to their observations, and of equal profiles to each other.
+    """Scores of profiles carried to their observations; of ``twins``, to each other.
 
     Ends are in order; pairs with a company on both sides go.
     """

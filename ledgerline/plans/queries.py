@@ -297,19 +297,21 @@ def _observations(spark: SparkSession, d: str, every: bool) -> DataFrame:
     return spark.sql(_OBS.removesuffix(" WHERE p_partkey % 20 < 3") if every else _OBS, part=spark.read.parquet(f"{d}/part.parquet"))
 
 
-def _scored(spark: SparkSession, d: str, every: bool) -> DataFrame:
+def _scored(spark: SparkSession, d: str, every: bool, twins: bool) -> DataFrame:
+    """``twins`` pairs equal observations too, which the SQL of pairs leaves out."""
     rows = linkage.profiles(_observations(spark, d, every))
-    return linkage.scored_pairs(rows, linkage.candidate_pairs(linkage.blocking_keys(rows)))
+    pairs = linkage.candidate_pairs(linkage.blocking_keys(rows))
+    return linkage.scored_pairs(rows, pairs.union(linkage.twins(rows)) if twins else pairs)
 
 
 @query(_PAIRS + 'SELECT l AS "left", r AS "right", round(odds / (odds + 1), 12) AS probability FROM scored', whole_too=True)
 def scored_pairs(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    return _scored(spark, d, every).withColumn("probability", F.round("probability", 12))
+    return _scored(spark, d, every, every).withColumn("probability", F.round("probability", 12))
 
 
-def _classified(spark: SparkSession, d: str, every: bool) -> tuple[DataFrame, DataFrame]:
+def _classified(spark: SparkSession, d: str, every: bool, twins: bool) -> tuple[DataFrame, DataFrame]:
     observations = _observations(spark, d, every)
-    return linkage.classify(linkage.observation_pairs(observations, _scored(spark, d, every)), observations), observations
+    return linkage.classify(linkage.observation_pairs(observations, _scored(spark, d, every, twins)), observations), observations
 
 
 @query(
@@ -327,12 +329,12 @@ FROM ob JOIN own x ON x.obs_id = ob.l JOIN own y ON y.obs_id = ob.r""",
     whole_too=True,
 )
 def classified_pairs(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    return _classified(spark, d, every)[0].select("left", "right", "rule")
+    return _classified(spark, d, every, every)[0].select("left", "right", "rule")
 
 
 @query(whole_too=True)
 def resolved_identities(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    return linkage.resolve(*_classified(spark, d, every))[1]
+    return linkage.resolve(*_classified(spark, d, every, True))[1]
 
 
 @query(
