@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,49 +141,118 @@ def test_recurrent_gradients():
     gradients_agree(lambda: net.step(x, real, goal, weight)[0], net.p, grads)
 
 
+def small_model(size, seed=1):
+    group, slot = np.arange(size) % lm_scoring.CLASSES, np.arange(size)
+    rng = np.random.default_rng(seed)
+    counts = rng.integers(0, 9, size).astype(float)
+    pairs = rng.integers(0, 3, (size, size)).astype(float)
+    return lm_scoring.AttentionModel.fresh(slot, group, *lm_scoring.shares(slot, group, counts, pairs), seed)
+
+
+def plain_scores(model, ids, end):
+    """log10 probability of each id, one position and one key at a time."""
+    p, width, stride = model.p, lm_scoring.WINDOW, lm_scoring.STRIDE
+    line = [end] * width + list(ids)
+    out = []
+    for i, target in enumerate(ids):
+        low, last = i // stride * stride + stride - 1, width + i - 1
+        here = model.slot[line[last]]
+        scores = [p["x"][here] @ p["q"] @ (p["x"][model.slot[line[j]]] @ p["k"]) / math.sqrt(lm_scoring.WIDTH) + p["near"][last - j] for j in range(low, last + 1)]
+        weights = np.exp(np.array(scores) - max(scores))
+        o = sum(w * (p["x"][model.slot[line[j]]] @ p["v"]) for w, j in zip(weights, range(low, last + 1), strict=True)) / weights.sum()
+        logits = np.tanh(o @ p["oh"] + p["xh"][here]) @ p["hc"] + p["c"]
+        of_class = logits[model.group[target]] - np.log(np.exp(logits).sum())
+        out.append((of_class + model.share[here, model.slot[target]] + model.within[target]) / math.log(10))
+    return np.array(out)
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     size = 60
-    model = lm_scoring.AttentionModel.fresh(np.arange(size), np.arange(size) % lm_scoring.CLASSES, np.zeros((lm_scoring.CLASSES, size), np.float32), 1)
-    ids = rng.integers(0, size, (6, lm_scoring.WINDOW + 1))
-    args = ids[:, :-1], ids[:, lm_scoring.WINDOW - lm_scoring.STRIDE + 1 :]
-    _, grads = model.step(*args)
-    gradients_agree(lambda: model.step(*args)[0], model.p, grads)
+    model = small_model(size)
+    windows = rng.integers(0, size, (6, lm_scoring.WINDOW + 1))
+    windows[0, -5:] = -1  # beyond the text
+    _, grads = model.step(windows)
+    gradients_agree(lambda: model.step(windows)[0], model.p, grads)
 
 
 def test_windows_score_each_id_once_and_causally():
     rng = np.random.default_rng(0)
     size = 50
-    group, slot = np.arange(size) % lm_scoring.CLASSES, np.arange(size)
-    model = lm_scoring.AttentionModel.fresh(slot, group, np.zeros((lm_scoring.CLASSES, size), np.float32), 1)
+    model = small_model(size)
     texts = [np.append(rng.integers(0, size - 1, n), size - 1) for n in (0, 1, 31, 32, 33, 150)]
-    got = lm_scoring.score_ids(model, texts, size - 1, at_once=3)
+
+    def score(*some, **more):
+        return lm_scoring.score_ids(model, np.concatenate(some), np.array([len(t) for t in some]), size - 1, **more)
+
+    got = score(*texts, at_once=3)
     assert len(got) == sum(map(len, texts))
-    assert np.allclose(np.concatenate([lm_scoring.score_ids(model, [t], size - 1) for t in texts]), got, atol=1e-4)
+    assert np.allclose(np.concatenate([plain_scores(model, t, size - 1) for t in texts]), got, atol=1e-4)
     changed = texts[-1].copy()
     changed[100] = (changed[100] + 1) % (size - 1)
-    a, b = (lm_scoring.score_ids(model, [t], size - 1) for t in (texts[-1], changed))
+    a, b = score(texts[-1]), score(changed)
     assert np.allclose(a[:100], b[:100], atol=1e-5) and not np.allclose(a[101:], b[101:], atol=1e-5)
 
 
+def test_runs_have_each_target_once():
+    ids = np.arange(200)
+    for begins, ends in ((True, True), (True, False), (False, True), (False, False)):
+        windows = lm_scoring.windows_of(ids, begins, ends, 999)
+        goals = windows[:, lm_scoring.WINDOW - lm_scoring.STRIDE + 1 :].ravel()
+        first = 0 if begins else lm_scoring.WINDOW - lm_scoring.STRIDE + 1
+        assert goals[goals >= 0].tolist() == [*range(first, 200), *([999] if ends else [])]
+
+
+def test_blocks_cover_every_word_once():
+    rng = np.random.default_rng(3)
+    texts = [" ".join("w" * int(n) for n in rng.integers(1, 12, k)) for k in (0, 1, 40, 3000)] + ["x" * 9000, None]
+    data, offsets = lm_scoring.lowered(pa.array(texts))
+    keys = np.arange(len(texts)).astype(np.uint64)
+    got = Counter()
+    firsts = lasts = 0
+    for number in range(5):
+        some, at, begins, ends = lm_scoring._picked_runs(keys, data, offsets, (number, number + 1), 5, 8)
+        firsts, lasts = firsts + begins.sum(), lasts + ends.sum()
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            got.update(some[a:b].tobytes().decode().split())
+    assert got == Counter(w for t in texts for w in (t or "").split())
+    assert firsts >= len(texts) and lasts >= len(texts)
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     size = 300
-    windows = rng.integers(0, size, (40, lm_scoring.WINDOW + 1))
-    model = lm_scoring.fit_model(windows, np.bincount(windows.ravel(), minlength=size).astype(float), np.arange(size) % 3 == 0, steps=3)
+    group = np.arange(size) % lm_scoring.CLASSES
+    slot = np.where(np.arange(size) < 200, np.arange(size), 200 + group)  # ids without a slot of their own share their class's
+    counts, pairs = rng.integers(0, 9, size).astype(float), rng.integers(0, 3, (slot.max() + 1, slot.max() + 1)).astype(float)
+    pairs[:, ~np.isin(np.arange(len(pairs)), slot)] = 0  # no id is there to be counted
+    model = lm_scoring.AttentionModel.fresh(slot, group, *lm_scoring.shares(slot, group, counts, pairs), 1)
+    windows = rng.integers(0, size, (1, lm_scoring.WINDOW + 1))
     ids = np.repeat(windows[:1, :-1], size, 0)
     targets = np.tile(windows[0, lm_scoring.WINDOW - lm_scoring.STRIDE + 1 :], (size, 1))
     targets[:, -1] = np.arange(size)
     assert np.exp(model.log_probability(ids, targets, model.tables())[:, -1]).sum() == pytest.approx(1, abs=1e-3)
 
 
+def vocabulary():
+    return lm_scoring.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def test_words_are_encoded_as_with_their_space():
+    model = vocabulary().model()
+    strings = ["the", "é", "x\u00a0", "\u2003y", "it's", "1234", "a" * 300, "<|endoftext|>"]
+    flat, sizes = lm_scoring.encode_words(model, strings)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [model.encode_ordinary(" " + s) for s in strings]
+
+
+TEXTS = [(i, f"The Cat{i % 4} sat\non é{i} mat") for i in range(60)] + [(7, "The Cat3 sat\non é7 mat"), (None, "no key"), (70, None), (71, ""), (72, "only here"), (73, "long " * 4000)]
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def test_base_scores(spark):
-    rows = [(i, f"The Cat{i % 4} sat\non é{i} mat") for i in range(60)] + [(7, "The Cat3 sat\non é7 mat"), (None, "no key"), (70, None), (71, ""), (72, "only here"), (73, "long " * 4000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("clash"))
-    ranks = lm_scoring.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    got = lm_scoring.score_texts(docs.repartition(3), ranks, steps=20).collect()
-    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    tokens = [(k, words((t or "").translate(low)) + [None]) for k, t in rows]
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string").withColumn("row", F.lit("clash"))
+    got = lm_scoring.score_texts(docs.repartition(3), vocabulary(), first_steps=5, least_windows=200).collect()
+    tokens = [(k, words((t or "").translate(LOW)) + [None]) for k, t in TEXTS]
     counts = Counter(w for k, ws in tokens if fold(k, 5) != 1 for w in ws)
     total, distinct = sum(counts.values()), len(counts)
     want = Counter()
@@ -191,7 +261,39 @@ def test_base_scores(spark):
         want[k, fold(k, 5) == 1, len(ws), sum(counts[w] > 0 for w in ws), total, round(base, 4)] += 1
     assert Counter((*tuple(r)[:5], round(r["base_score"], 4)) for r in got) == want
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
-    assert lm_scoring.score_texts(docs.limit(0), ranks, steps=1).count() == 0
+    same = [r["score"] for r in got if r["doc_id"] == 7]
+    assert len(same) == 2 and lm_scoring.score_texts(docs.limit(0), vocabulary(), first_steps=1, least_windows=1).count() == 0
+
+
+def test_scores_against_brute_force(spark, monkeypatch):
+    """All words, few of them frequent, counted and scored one by one; the network is as it starts."""
+    monkeypatch.setattr(lm_scoring, "FREQUENT", 5)
+    docs = spark.createDataFrame(TEXTS[:64], "doc_id long, text string")
+    ranks = vocabulary()
+    got = Counter((r["doc_id"], round(r["score"], 2)) for r in lm_scoring.score_texts(docs.repartition(3), ranks, first_steps=0, least_windows=0).collect())
+    encoder, end = ranks.model(), ranks.end
+    texts = [(k, [i for w in words((t or "").translate(LOW)) for i in encoder.encode_ordinary(" " + w)] + [end]) for k, t in TEXTS[:64]]
+    learnt = [ids for k, ids in texts if fold(k, 5) != 1]
+    model = lm_scoring.train(docs.selectExpr("doc_id as k", "text as t").filter(lm_scoring._is_training(F.col("k"))), 64, ranks, 4000, 0, 0, 8)[0]
+    counts, pairs = np.zeros(ranks.size), np.zeros((model.slot.max() + 1,) * 2)
+    for ids in learnt:
+        for before, i in zip([end, *ids], ids, strict=False):
+            counts[i] += 1
+            pairs[model.slot[before], model.slot[i]] += 1
+    model.share, model.within = lm_scoring.shares(model.slot, model.group, counts, pairs)
+    assert got == Counter((k, round(float(plain_scores(model, ids, end).sum()), 2)) for k, ids in texts)
+
+
+def test_rounds_of_training_lower_the_loss(spark):
+    docs = spark.createDataFrame([(i, " ".join(["red green blue", "one two three four"][i % 2] for _ in range(60))) for i in range(40)], "k long, t string").repartition(4)
+    ranks = vocabulary()
+
+    def loss(least):
+        model = lm_scoring.train(docs, 40, ranks, 10, 0, least, 8)[0]
+        ids = ranks.model().encode_ordinary(" one two three four" * 20)
+        return -lm_scoring.score_ids(model, np.array(ids), np.array([len(ids)]), ranks.end).mean()
+
+    assert loss(3000) < loss(0)
 
 
 def test_languages(spark):
