@@ -30,8 +30,8 @@ def plain_amount(amount: Column) -> Column:
     return F.when(amount < 0, F.concat(F.lit("-"), text)).otherwise(text)
 
 
-def totals_by(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """GBP totals per ``keys`` of rows (declaration_id, entry_id, amount, currency).
+def totals_by(rows: DataFrame, keys: list[str], labels: list[str] = ()) -> DataFrame:
+    """GBP totals per ``keys`` of rows (declaration_id, entry_id, amount, currency), with the smallest of each label.
 
     A declaration without entries (entry_id null) counts as a declaration.  The
     total of no known amount is null, never 0, and other currencies are never
@@ -45,12 +45,14 @@ def totals_by(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.sum((has & F.col("currency").isNull()).cast("long")).alias("unknown_currency"),
         F.sum((has & F.coalesce(gbp, F.lit(False)) & F.col("amount").isNull()).cast("long")).alias("unknown_amount"),
         F.count("entry_id").alias("entries"),
+        *(F.min(c).alias(c) for c in labels),
     )
     return one.groupBy(*keys).agg(
         F.sum("total").alias("total"),
         F.count("*").alias("declarations"),
         F.sum("entries").alias("entries"),
         ((F.sum("unknown_currency") > 0) | (F.sum("unknown_amount") > 0)).alias("incomplete"),
+        *(F.min(c).alias(c) for c in labels),
     )
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 # Fixed values.
 WITHHELD = ["confidential", "withheld", "name withheld", "anonymous", "not disclosed"]
 TITLES = ["mr", "mrs", "ms", "miss", "mx", "dr", "prof", "professor", "sir", "dame", "lord", "baron", "lady", "rev", "reverend", "rt", "hon"]
+PEERAGE_TITLES = ["lord", "baron"]
 LEGAL_SUFFIXES = ["public limited company", "community interest company", "limited liability partnership", "limited partnership", "limited", "ltd", "plc", "llp", "lp", "cic"]
 CONNECTIVES = ["a", "an", "and", "for", "in", "of", "on", "the", "to"]
 NOT_NAMES = ["and", "or", "trading", "as", "trustee", "ceo", "director", "representative", "representing", "behalf"]
@@ -177,6 +178,47 @@ def person(name: str) -> tuple[list[str], str | None, str]:
     return titles, rest or None, " ".join(core)
 
 
+def peerage(raw: str | None) -> dict | None:
+    """The spelling of a person's name, and what a peer's "style of place (person)" joins.
+
+    Null for what is no plain name and no complete bridge: one peerage title, a
+    personal name of two full words at least that ends with the style's own.
+    """
+    if raw is None:
+        return None
+    titles, rest, _ = person(normal(raw))
+    peer = len(titles) == 1 and titles[0] in PEERAGE_TITLES
+    if not rest or (" of " in rest and not peer):
+        return None
+    none = dict.fromkeys(("style", "full_style", "personal"))
+    if name_like(rest):
+        return {"spelling": rest, **none}
+    found = re.fullmatch(r"(?P<stem>.+?) of (?P<place>[^(]+?) \((?P<personal>[^()]+)\)", rest)
+    if not peer or not found:
+        return None
+    stem, place, whole = (found[k].strip(SPACE) for k in ("stem", "place", "personal"))
+    given = words(whole)
+    if not all(map(name_like, (stem, place, whole))) or len(given) < 2 or min(map(len, given)) < 2 or not whole.endswith(f" {stem}"):
+        return None
+    return {"spelling": f"{stem} of {place} ({whole})", "style": f"{stem} of {place}", "full_style": f"{whole} of {place}", "personal": whole}
+
+
+_PEERAGE = T.StructType([T.StructField(n, T.StringType()) for n in ("spelling", "style", "full_style", "personal")])
+
+
+@F.pandas_udf(_PEERAGE)
+def _peerage_batch(raw: pd.Series) -> pd.DataFrame:
+    known = {name: peerage(name) for name in raw.dropna().unique()}
+    empty = dict.fromkeys(_PEERAGE.fieldNames())
+    return pd.DataFrame([known.get(name) or empty for name in raw], columns=list(empty), dtype=object)
+
+
+def peerage_name(raw):
+    """``peerage`` as a struct column, null where it is (Column)."""
+    found = _peerage_batch(raw)
+    return F.when(found["spelling"].isNotNull(), found)
+
+
 def features(raw: str | None) -> dict:
     """All features of one name; what needs a usable name is null without one."""
     name = None if raw is None else normal(raw)
@@ -193,7 +235,7 @@ def features(raw: str | None) -> dict:
     also = aliases(raw)
     return out | {
         "name_normalized": name, "name_accent_folded": unaccented(name), "name_tokens": plain, "token_key": " ".join(sorted(plain.split())),
-        "has_and": "and" in plain.split(), "primary_name": normal(primary_name(raw)), "organisation_core": core, "organisation_initials": initials(core),
+        "has_and": "and" in plain.split(), "primary_name": normal(primary_name(raw)), "organisation_core": core, "organisation_initials": initials(core, False),
         "titles": titles, "person_name": person_name, "person_core": person_core, "person_initials": initials(person_core),
         "acronym": short and short[0], "acronym_expansion": short and short[1], "aliases": also, "alias_normalized": [normal(a) for a in also],
     }

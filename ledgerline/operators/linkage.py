@@ -9,9 +9,9 @@ grows with different values instead of repeats.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ledgerline.functions.names import address_key
+from ledgerline.functions.names import address_key, peerage_name
 from ledgerline.operators.graph import connected_components
 from ledgerline.session import cut
 
@@ -37,12 +37,72 @@ def entity_kind(kind: Column) -> Column:
     return F.when(text.isin(PERSON_KINDS), "person").when(text.isin(ORGANISATION_KINDS), "organisation").otherwise("unknown")
 
 
+def plain_words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+EVIDENCE = {
+    "name_raw": "string", "alias_normalized": "array<string>", "organisation_core": "string", "person_name": "string", "donor_kind": "string", "peerage": "string",
+}
+
+
+def _with_evidence(observations: DataFrame) -> DataFrame:
+    for name, kind in EVIDENCE.items():
+        if name not in observations.columns:
+            observations = observations.withColumn(name, F.lit(None).cast(kind))
+    return observations
+
+
+def is_person_donor() -> Column:
+    return (F.col("role") == "donor") & (entity_kind(F.col("donor_kind")) == "person")
+
+
+def peerage_people(observations: DataFrame) -> DataFrame:
+    """(obs_id, peerage): the personal name that an individual donor's spelling stands for.
+
+    A spelling such as "Lord Vale of Mere (Alice Vale)" bridges a style and a
+    personal name; its styles, its spelling and the personal name are aliases of
+    that name.  An alias of several personal names stands for none, and so do
+    the styles and spellings of a style that several people bear.
+    """
+    named = observations.filter(is_person_donor() & F.col("name_raw").isNotNull())
+    parsed = named.select("obs_id", peerage_name(F.col("name_raw")).alias("p")).filter(F.col("p").isNotNull()).select("obs_id", "p.*")
+    bridges = parsed.filter(F.col("style").isNotNull()).select("spelling", "style", "full_style", "personal").distinct()
+    contested = bridges.groupBy("style").agg((F.min("personal") != F.max("personal")).alias("c")).filter("c").select("style")
+    barred = bridges.join(contested, "style", "left_semi").select(F.explode(F.array("style", "full_style", "spelling")).alias("spelling")).distinct()
+    aliases = bridges.select("personal", F.explode(F.array("style", "full_style", "spelling", "personal")).alias("spelling"))
+    targets = aliases.groupBy("spelling").agg(F.min("personal").alias("peerage"), F.max("personal").alias("_other")).filter("peerage = _other").drop("_other")
+    return parsed.select("obs_id", "spelling").join(targets, "spelling").join(barred, "spelling", "left_anti").select("obs_id", "peerage")
+
+
+def with_peerage(observations: DataFrame) -> DataFrame:
+    """``observations`` with their peerage's personal name (null for most)."""
+    have = _with_evidence(observations).drop("peerage")
+    return have.join(peerage_people(have), "obs_id", "left")
+
+
+def shared_keys() -> Column:
+    """Keys that observations share beyond their profile: names and aliases, donors' personal names, peers, one union."""
+    names = F.concat(F.array("name_normalized"), F.coalesce("alias_normalized", F.array().cast("array<string>")))
+    union = (F.lower(F.trim("donor_kind")) == "trade union") & F.array_contains(plain_words(F.col("name_raw")), "unite")
+    keys = F.concat(
+        F.transform(names, lambda n: F.concat(F.lit("funder-name:"), n)),
+        F.array(
+            F.when(is_person_donor(), F.concat(F.lit("individual-donor-name:"), F.col("person_name"))),
+            F.concat(F.lit("peerage-person:"), F.col("peerage")),
+            F.when(F.coalesce(union, F.lit(False)), F.lit("trade-union:unite")),
+        ),
+    )
+    return F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))
+
+
 def profiles(observations: DataFrame) -> DataFrame:
-    """Distinct (name, address): smallest observation, whether any has no company, members."""
-    named = observations.filter(F.col("name_normalized").isNotNull())
+    """Distinct (name, address): smallest observation, whether any has no company, members, those with a company, shared keys."""
+    named = _with_evidence(observations).filter(F.col("name_normalized").isNotNull())
     return named.groupBy(F.col("name_normalized").alias("name"), F.col("address_normalized").alias("address")).agg(
-        F.min("obs_id").alias("profile_id"), F.max(F.col("company").isNull()).alias("needs"), F.count("*").alias("members")
-    )
+        F.min("obs_id").alias("profile_id"), F.max(F.col("company").isNull()).alias("needs"), F.count("*").alias("members"),
+        F.count("company").alias("anchored"), F.array_distinct(F.flatten(F.collect_set(shared_keys()))).alias("shared"),
+    )
 
 
 def twins(rows: DataFrame) -> DataFrame:
@@ -53,7 +113,7 @@ def twins(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("needs") & (F.col("members") > 1)).select(F.col("profile_id").alias("left"), F.col("profile_id").alias("right"))
 
 
-def blocking_keys(rows: DataFrame, shared: Column | None = None) -> DataFrame:
+def blocking_keys(rows: DataFrame) -> DataFrame:
     """(profile_id, needs, key, left_ok): exact name and address, prefix, initial and surname, shared keys."""
     name = F.col("name")
     last = F.regexp_extract(name, "[a-z]*$", 0)
@@ -64,8 +124,8 @@ def blocking_keys(rows: DataFrame, shared: Column | None = None) -> DataFrame:
         F.struct(F.concat(F.lit("i:"), F.substring(name, 1, 1), F.lit("\0"), F.substring(last, 1, 2)).alias("key"), (~last.isin(EXCLUDED_SUFFIXES)).alias("left_ok")),
     ]
     every = F.array(*keys)
-    if shared is not None:
-        every = F.concat(every, F.transform(shared, lambda k: F.struct(F.concat(F.lit("k:"), k).alias("key"), F.lit(True).alias("left_ok"))))
+    if "shared" in rows.columns:
+        every = F.concat(every, F.transform("shared", lambda k: F.struct(F.concat(F.lit("k:"), k).alias("key"), F.lit(True).alias("left_ok"))))
     out = rows.select("profile_id", "needs", F.explode(every).alias("k")).select("profile_id", "needs", "k.key", "k.left_ok")
     return out.filter(F.col("key").isNotNull())
 
@@ -73,20 +133,30 @@ def blocking_keys(rows: DataFrame, shared: Column | None = None) -> DataFrame:
 def candidate_pairs(keyed: DataFrame, budget: int = CANDIDATE_BUDGET) -> DataFrame:
     """Pairs (left < right) that share a key, with a profile that needs a link.
 
-    Keys where nothing needs one go before the join.  The pairs that the join
-    would make are counted first, from one row per key; beyond the budget that
-    is an error, so a frequent key can neither be cut nor flood the cluster.
+    Keys where nothing needs one go before the join.  Under one rule a profile
+    has one key (several shared ones), so the pairs of a rule, over the most keys
+    that a profile has there, are a lower bound of all distinct pairs; it is
+    counted first, from one row per key.  If it passes the budget that is an
+    error before any pair is made; what is made is then bounded by the rules, and
+    more distinct pairs than the budget are an error too.  Pairs are never cut.
     """
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("needs").cast("long")).alias("open"))
+    rule = F.substring("key", 1, 1).alias("rule")
+    ok = F.col("left_ok")
+    sizes = keyed.groupBy(rule, "key").agg(
+        F.count("*").alias("n"), F.sum(F.col("needs").cast("long")).alias("open"), F.sum(ok.cast("long")).alias("m"), F.sum((ok & F.col("needs")).cast("long")).alias("k")
+    )
     live = sizes.filter((F.col("open") > 0) & (F.col("n") > 1))
-    made = live.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2 - (F.col("n") - F.col("open")) * (F.col("n") - F.col("open") - 1) / 2)).first()[0] or 0
-    if made > 5 * budget:
-        raise BudgetExceeded(f"{made:.0f} pairs by key, {budget} are allowed in all")
+    made = live.groupBy("rule").agg(F.sum(F.expr("m * (m - 1) / 2 - (m - k) * (m - k - 1) / 2")).alias("made"))
+    most = keyed.groupBy("profile_id", rule).agg(F.count("*").alias("keys")).groupBy("rule").agg(F.max("keys").alias("keys"))
+    least = max((r["made"] / r["keys"] for r in made.join(most, "rule").collect()), default=0)  # five rules
+    if least > budget:
+        raise BudgetExceeded(f"at least {least:.0f} pairs, {budget} are allowed")
     some = keyed.join(live.select("key"), "key", "left_semi")
     a = some.filter("left_ok").select("key", F.col("profile_id").alias("left"), F.col("needs").alias("ln"))
     b = some.select("key", F.col("profile_id").alias("right"), F.col("needs").alias("rn"))
     pairs = a.join(b, "key").filter((F.col("left") < F.col("right")) & (F.col("ln") | F.col("rn"))).select("left", "right").distinct()
-    if pairs.limit(budget + 1).count() > budget:
+    pairs = cut(pairs, "pairs")
+    if pairs.count() > budget:
         raise BudgetExceeded(f"more than {budget} pairs")
     return pairs
 
@@ -110,39 +180,57 @@ def match_probability(name_a: Column, name_b: Column, address_a: Column, address
     return odds / (odds + 1)
 
 
+def levels(name_a: Column, name_b: Column, address_a: Column, address_b: Column) -> tuple[Column, Column]:
+    """Comparison levels of names (2 equal, 1 near, 0) and addresses (1 equal, 0, -1 missing)."""
+    by_name = F.when(name_a == name_b, 2).when(bytes_distance(name_a, name_b, 2) >= 0, 1).otherwise(0)
+    by_address = F.when(address_a.isNull() | address_b.isNull(), -1).when(address_a == address_b, 1).otherwise(0)
+    return by_name, by_address
+
+
 def scored_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` with probability, name_level and address_level."""
     a = rows.select(F.col("profile_id").alias("left"), F.col("name").alias("ln"), F.col("address").alias("la"))
     b = rows.select(F.col("profile_id").alias("right"), F.col("name").alias("rn"), F.col("address").alias("ra"))
     joined = pairs.join(a, "left").join(b, "right")
-    return joined.withColumn("probability", match_probability(F.col("ln"), F.col("rn"), F.col("la"), F.col("ra"))).drop("ln", "la", "rn", "ra")
+    sides = [F.col(c) for c in ("ln", "rn", "la", "ra")]
+    by_name, by_address = levels(*sides)
+    scored = joined.withColumn("probability", match_probability(*sides)).withColumn("name_level", by_name).withColumn("address_level", by_address)
+    return scored.drop("ln", "la", "rn", "ra")
 
 
-def observation_pairs(observations: DataFrame, scored: DataFrame) -> DataFrame:
+def observation_pairs(observations: DataFrame, scored: DataFrame, budget: int = CANDIDATE_BUDGET) -> DataFrame:
     """Scores of profiles carried to their observations; of ``twins``, to each other.
 
-    Ends are in order; pairs with a company on both sides go.
+    Ends are in order; pairs with a company on both sides go.  The pairs are
+    counted from the profiles' sizes first: beyond the budget that is an error.
     """
+    rows = profiles(observations)
+    sizes = rows.select("profile_id", "members", "anchored")
+    a, b = (sizes.toDF(end, f"m{end}", f"c{end}") for end in ("left", "right"))
+    across = F.expr("mleft * mright - cleft * cright")
+    within = F.expr("mleft * (mleft - 1) / 2 - cleft * (cleft - 1) / 2")
+    made = scored.select("left", "right").join(a, "left").join(b, "right").agg(F.sum(F.when(F.col("left") == F.col("right"), within).otherwise(across))).first()[0] or 0
+    if made > budget:
+        raise BudgetExceeded(f"{made:.0f} pairs of observations, {budget} are allowed")
     members = observations.filter(F.col("name_normalized").isNotNull()).select(
         "obs_id", F.col("name_normalized").alias("name"), F.col("address_normalized").alias("address"), "company"
     )
-    rows = profiles(observations).select(F.col("name").alias("_n"), F.col("address").alias("_a"), "profile_id")
-    owned = members.join(rows, F.col("address").eqNullSafe(F.col("_a")) & (F.col("name") == F.col("_n"))).select("obs_id", "company", "profile_id")
+    keys = rows.select(F.col("name").alias("_n"), F.col("address").alias("_a"), "profile_id")
+    owned = members.join(keys, F.col("address").eqNullSafe(F.col("_a")) & (F.col("name") == F.col("_n"))).select("obs_id", "company", "profile_id")
     left = owned.select(F.col("obs_id").alias("a"), F.col("company").alias("ca"), F.col("profile_id").alias("left"))
     right = owned.select(F.col("obs_id").alias("b"), F.col("company").alias("cb"), F.col("profile_id").alias("right"))
     out = scored.join(left, "left").join(right, "right").filter(F.col("ca").isNull() | F.col("cb").isNull()).filter(F.col("a") != F.col("b"))
-    return out.select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"), "probability").dropDuplicates(["left", "right"])
+    more = [c for c in ("probability", "name_level", "address_level") if c in scored.columns]
+    return out.select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"), *more).dropDuplicates(["left", "right"])
 
 
 def classify(pairs: DataFrame, observations: DataFrame) -> DataFrame:
     """Each pair's evidence: the first rule that holds, in this order.
 
-    ``observations`` may have name_raw, aliases (normalised), organisation_core
-    and person_name; missing ones are no evidence.
+    ``observations`` may have the columns of ``EVIDENCE``; missing ones are no
+    evidence.
     """
-    have = observations
-    for name, kind in (("name_raw", "string"), ("alias_normalized", "array<string>"), ("organisation_core", "string"), ("person_name", "string"), ("donor_kind", "string"), ("peerage", "string")):
-        if name not in have.columns:
-            have = have.withColumn(name, F.lit(None).cast(kind))
+    have = _with_evidence(observations)
     columns = ["role", "donor_kind", "name_normalized", "address_normalized", "address_quality", "company", "name_raw", "alias_normalized", "organisation_core", "person_name", "peerage"]
     a = have.select(F.col("obs_id").alias("left"), F.struct(*columns).alias("a"))
     b = have.select(F.col("obs_id").alias("right"), F.struct(*columns).alias("b"))
@@ -154,9 +242,6 @@ def classify(pairs: DataFrame, observations: DataFrame) -> DataFrame:
     def sure(c: Column) -> Column:
         return F.coalesce(c, no)
 
-    def plain_words(text: Column) -> Column:
-        return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
     conflict = (kx != "unknown") & (ky != "unknown") & (kx != ky)
     same_name = sure(x["name_normalized"] == y["name_normalized"])
     full = sure((x["address_quality"] == "numbered_street") & (y["address_quality"] == "numbered_street") & x["address_normalized"].isNotNull() & y["address_normalized"].isNotNull())
@@ -186,7 +271,8 @@ def classify(pairs: DataFrame, observations: DataFrame) -> DataFrame:
         .when(full & ~agree, "full_address_disagreement")
         .otherwise("review")
     )
-    return joined.select("left", "right", "probability", rule.alias("rule"))
+    more = [c for c in ("probability", "name_level", "address_level") if c in pairs.columns]
+    return joined.select("left", "right", *more, rule.alias("rule"))
 
 
 LINKS = ["trade_union_family", "exact_name_full_address_threshold", "exact_donor_name", "extracted_name_evidence"]
@@ -197,10 +283,14 @@ def resolve(classified: DataFrame, observations: DataFrame) -> tuple[DataFrame,
     """(pair decisions, identities) under the constraints of company and kind.
 
     Links and equal company numbers make plain components; constraints only look
-    inside one, so each is resolved on its own, links in (left, right) order.  A
-    company-less component that links reach from several companies attaches to
-    none of them.  An identity is named by its smallest observation.
+    inside one.  A component of one company at most that doesn't mix persons and
+    organisations keeps all of its links: no order matters there, and it is never
+    gathered.  In the others links are taken in (left, right) order, ids as
+    their own type compares; a company-less component that links reach from
+    several companies attaches to none of them.  ``identity`` is the smallest
+    observation.
     """
+    kind_of_id = observations.schema["obs_id"].dataType
     slim = observations.select("obs_id", "company", entity_kind(F.col("donor_kind")).alias("kind"))
     links = classified.filter(F.col("rule").isin(LINKS))
     seeds = slim.filter("company is not null")
@@ -208,43 +298,43 @@ def resolve(classified: DataFrame, observations: DataFrame) -> tuple[DataFrame,
     seed_edges = seeds.join(first, "company").select(F.col("obs_id").alias("left"), F.col("low").alias("right"))
     components = connected_components(links.select("left", "right").union(seed_edges), "left", "right").select(F.col("id").alias("obs_id"), "component")
     grouped = slim.join(components, "obs_id")
-    facts = grouped.select("component", F.lit(0).alias("sort"), F.col("obs_id").alias("left"), F.lit(None).cast("string").alias("right"), "company", "kind", F.lit(None).cast("string").alias("rule"))
-    edges = links.join(components.withColumnRenamed("obs_id", "left"), "left").select(
-        "component", F.lit(1).alias("sort"), "left", F.col("right").cast("string").alias("right"), F.lit(None).cast("string").alias("company"), F.lit(None).cast("string").alias("kind"), "rule"
+    mixed = grouped.groupBy("component").agg(
+        (F.min("company") != F.max("company")).alias("companies"), (F.max(F.col("kind") == "person") & F.max(F.col("kind") == "organisation")).alias("kinds")
     )
-
-    def cluster(part: pd.DataFrame) -> pd.DataFrame:
-        return _cluster(part)
-
-    schema = "left string, right string, disposition string, reason string, identity string"
-    both = facts.withColumn("left", F.col("left").cast("string")).unionByName(edges.withColumn("left", F.col("left").cast("string")))
-    done = both.groupBy("component").applyInPandas(cluster, schema)
-    decided = done.filter("right is not null").select("left", "right", "disposition", "reason")
+    mixed = mixed.filter("coalesce(companies, false) or kinds").select("component")
+    edges = links.join(components.withColumnRenamed("obs_id", "left"), "left").select("component", "left", "right", "rule")
+    plain = edges.join(mixed, "component", "left_anti").select("left", "right", F.lit("accepted").alias("disposition"), F.col("rule").alias("reason"))
+
+    schema = T.StructType().add("left", kind_of_id).add("right", kind_of_id).add("disposition", "string").add("reason", "string").add("identity", kind_of_id)
+    facts = grouped.join(mixed, "component", "left_semi").groupBy("component")
+    bound = edges.join(mixed, "component", "left_semi").withColumnRenamed("component", "_c").groupBy("_c")
+    hard = cut(facts.cogroup(bound).applyInPandas(_cluster, schema), "clusters")
+    decided = plain.unionByName(hard.filter("right is not null").select("left", "right", "disposition", "reason"))
     others = classified.filter(~F.col("rule").isin(LINKS)).select(
-        F.col("left").cast("string").alias("left"), F.col("right").cast("string").alias("right"),
-        F.when(F.col("rule") == "review", "review").otherwise("rejected").alias("disposition"), F.col("rule").alias("reason"),
-    )
-    named = done.filter("right is null").select(F.col("left").alias("obs_id"), "identity")
-    alone = slim.join(components, "obs_id", "left_anti").select(F.col("obs_id").cast("string").alias("obs_id"), F.col("obs_id").cast("string").alias("identity"))
-    return decided.unionByName(others), named.unionByName(alone)
+        "left", "right", F.when(F.col("rule") == "review", "review").otherwise("rejected").alias("disposition"), F.col("rule").alias("reason")
+    )
+    others = others.withColumn("reason", F.when(F.col("reason") == "review", "insufficient_exact_evidence").otherwise(F.col("reason")))
+    named = hard.filter("right is null").select(F.col("left").alias("obs_id"), "identity")
+    easy = components.join(mixed, "component", "left_anti").select("obs_id", F.col("component").alias("identity"))
+    alone = slim.join(components, "obs_id", "left_anti").select("obs_id", F.col("obs_id").alias("identity"))
+    return decided.unionByName(others), named.unionByName(easy).unionByName(alone)
 
 
-def _cluster(part: pd.DataFrame) -> pd.DataFrame:
+def _cluster(facts: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
     """Greedy merging of one component, see ``resolve``."""
-    facts = part[part["sort"] == 0]
-    links = part[part["sort"] == 1].sort_values(["left", "right"])
-    company = {o: c for o, c in zip(facts["left"], facts["company"], strict=True) if isinstance(c, str)}
-    kind = dict(zip(facts["left"], facts["kind"], strict=True))
+    links = links.sort_values(["left", "right"])
+    company = {o: c for o, c in zip(facts["obs_id"], facts["company"], strict=True) if isinstance(c, str)}
+    kind = dict(zip(facts["obs_id"], facts["kind"], strict=True))
 
     class Sets(dict):
         """Disjoint sets by smallest member."""
 
-        def find(self, x: str) -> str:
+        def find(self, x):
             while self.setdefault(x, x) != x:
                 self[x] = x = self[self[x]]
             return x
 
-        def join(self, a: str, b: str) -> str:
+        def join(self, a, b):
             a, b = sorted((self.find(a), self.find(b)))
             self[b] = a
             return a
@@ -254,13 +344,13 @@ def _cluster(part: pd.DataFrame) -> pd.DataFrame:
     for a, b, _ in pairs:
         if a not in company and b not in company:
             free.join(a, b)
-    reach: dict[str, set[str]] = {}
+    reach: dict = {}
     for a, b, _ in pairs:
         for unknown, known in ((a, b), (b, a)):
             if unknown not in company and known in company:
                 reach.setdefault(free.find(unknown), set()).add(company[known])
     sets = Sets()
-    owner: dict[str, str] = {}
+    owner: dict = {}
     for o, c in sorted(company.items()):
         owner[c] = sets.join(owner.get(c, o), o)
     companies = {o: {company[o]} if o in company else set() for o in kind}
@@ -284,7 +374,52 @@ def _cluster(part: pd.DataFrame) -> pd.DataFrame:
         companies[root], kinds[root] = all_companies, all_kinds
         rows.append((a, b, "accepted", rule, None))
     rows += [(o, None, None, None, sets.find(o)) for o in kind]
-    return pd.DataFrame(rows, columns=["left", "right", "disposition", "reason", "identity"])
+    out = pd.DataFrame(rows, columns=["left", "right", "disposition", "reason", "identity"], dtype=object)
+    return out
+
+
+def outcomes(observations: DataFrame, decided: DataFrame, identities: DataFrame, run: str) -> DataFrame:
+    """(obs_id, identity_id, basis): how each observation is named, and on what evidence.
+
+    A group with a company is named by its number, one without by its smallest
+    observation, and an observation without name or company by nothing.  The
+    basis of a group is statistical if statistical links alone (and equal
+    companies) connect it, else it names the kinds of links that do.
+    """
+    accepted = decided.filter("disposition = 'accepted'")
+    seeds = observations.filter("company is not null").select("obs_id", "company")
+    low = seeds.groupBy("company").agg(F.min("obs_id").alias("low"))
+    joined = accepted.filter("reason = 'exact_name_full_address_threshold'").select("left", "right")
+    joined = joined.union(seeds.join(low, "company").select("obs_id", "low"))
+    parts = connected_components(joined, "left", "right").select(F.col("id").alias("obs_id"), F.col("component").alias("part"))
+    evidence = accepted.join(identities.withColumnRenamed("obs_id", "left"), "left").groupBy("identity").agg(
+        *(F.max(F.col("reason") == r).alias(n) for n, r in (("stat", "exact_name_full_address_threshold"), ("extracted", "extracted_name_evidence"), ("union", "trade_union_family")))
+    )
+    rows = observations.select("obs_id", "company", "name_normalized").join(identities, "obs_id").join(parts, "obs_id", "left").withColumn("part", F.coalesce("part", "obs_id"))
+    groups = rows.groupBy("identity").agg(F.count("*").alias("size"), F.min("company").alias("number"), (F.min("part") == F.max("part")).alias("connected"))
+    groups = groups.join(evidence, "identity", "left").fillna(False, ["stat", "extracted", "union"])
+    support = F.col("union") | F.col("extracted")
+    basis = (
+        F.when(F.col("connected"), "statistical_link")
+        .when(F.col("stat"), F.when(support, "statistical_and_supporting_name_link").otherwise("statistical_and_donor_name_link"))
+        .when(F.col("union"), "trade_union_family_link").when(F.col("extracted"), "extracted_name_link").otherwise("donor_name_link")
+    )
+    out = rows.drop("part").join(groups.withColumn("basis", basis), "identity")
+    local = F.concat(F.lit(f"run-local:{run}:"), F.col("identity").cast("string"))
+    unnamed = F.col("number").isNull() & F.col("name_normalized").isNull()
+    return out.select(
+        "obs_id",
+        F.when(F.col("number").isNotNull(), F.concat(F.lit("source-reported:companies-house:"), "number")).when(~unnamed, local).alias("identity_id"),
+        F.when(unnamed, "unresolved").when(F.col("company").isNotNull(), "source_reported_company").when(F.col("number").isNull() & (F.col("size") == 1), "provisional_singleton")
+        .otherwise(F.col("basis")).alias("basis"),
+    )
+
+
+def decision_counts(decided: DataFrame) -> DataFrame:
+    """One row: all pair decisions, those accepted and those to review."""
+    return decided.agg(
+        F.count("*").alias("pair_decisions"), F.count_if(F.col("disposition") == "accepted").alias("accepted_pairs"), F.count_if(F.col("disposition") == "review").alias("review_pairs")
+    )
 
 
 def attribute(payments: DataFrame, observations: DataFrame) -> DataFrame:

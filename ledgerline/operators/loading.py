@@ -7,9 +7,15 @@ and renames it; readers see the old run or the new one.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from ledgerline.functions.money import plain_amount
 
 
 class LoadError(ValueError):
@@ -47,7 +53,7 @@ def replace_declarations(stored: DataFrame, new: DataFrame, entries: DataFrame,
 
 
 def without_orphans(funders: DataFrame, entries: DataFrame) -> DataFrame:
-    """Funders that an entry still names."""
+    """Funders (or their aliases) that an entry still names."""
     return funders.join(entries.select("funder_id").distinct(), "funder_id", "left_semi")
 
 
@@ -97,22 +103,221 @@ def continuity(stored: DataFrame, incoming: DataFrame, occurrences: DataFrame, n
     return single.join(back, "id", "left_semi").select("identity", "id")
 
 
-def publish(spark: SparkSession, tables: dict[str, DataFrame], folder: str) -> None:
-    """Write tables into a staging folder and rename it to ``folder``, never over one."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path
-    target, staging = path(folder), path(f"{folder.rstrip('/')}.staging-{uuid.uuid4().hex}")
-    fs = target.getFileSystem(conf)
-    if fs.exists(target):
-        raise LoadError(f"{folder} exists")
+def _files(spark: SparkSession, folder: str):
+    """(file system, path) of a folder, whatever Hadoop file system it is on."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/"))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _sibling(spark: SparkSession, path, name: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.getParent(), name)
+
+
+@contextmanager
+def writer_lock(spark: SparkSession, folder: str) -> Iterator[None]:
+    """Only one writer of ``folder`` at a time: a lock file that is created or fails, never replaced."""
+    fs, path = _files(spark, folder)
+    lock = _sibling(spark, path, f".{path.getName()}.lock")
+    if not fs.createNewFile(lock):
+        raise LoadError(f"{folder} has another writer")
     try:
-        for name, table in tables.items():
-            table.write.mode("errorifexists").parquet(f"{staging}/{name}.parquet")
-        if fs.exists(target) or not fs.rename(staging, target):
-            raise LoadError(f"{folder} cannot be published")
+        yield
     finally:
-        if fs.exists(staging):
-            fs.delete(staging, True)
+        fs.delete(lock, False)
+
+
+def write_table(table: DataFrame, path: str, schema: T.StructType | None = None) -> None:
+    """A new Parquet table of exactly these columns and types; one that exists is an error."""
+    if schema is not None:
+        missing = [f.name for f in schema.fields if f.name not in table.columns or table.schema[f.name].dataType != f.dataType]
+        if missing:
+            raise LoadError(f"columns missing or of another type: {', '.join(missing)}")
+        table = table.select(*schema.fieldNames())
+    table.write.mode("errorifexists").parquet(path)
+
+
+def publish(spark: SparkSession, tables: dict[str, DataFrame], folder: str, manifest: dict | None = None) -> None:
+    """Write tables, and a manifest.json if given, into a staging folder and rename it to ``folder``, never over one.
+
+    A writer lock keeps two publications of a folder apart, so that between the
+    look and the rename nothing can take its place; a failure leaves nothing.
+    """
+    fs, target = _files(spark, folder)
+    staging = _sibling(spark, target, f".{target.getName()}-{uuid.uuid4().hex}")
+    with writer_lock(spark, folder):
+        if fs.exists(target):
+            raise LoadError(f"{folder} exists")
+        try:
+            fs.mkdirs(staging)
+            for name, table in tables.items():
+                write_table(table, f"{staging}/{name}.parquet")
+            if manifest is not None:
+                _write_bytes(spark, fs, f"{staging}/manifest.json", json.dumps(manifest, indent=2, sort_keys=True).encode())
+            if not fs.rename(staging, target):
+                raise LoadError(f"{folder} cannot be published")
+        finally:
+            if fs.exists(staging):
+                fs.delete(staging, True)
+
+
+def _write_bytes(spark: SparkSession, fs, path: str, content: bytes) -> None:
+    out = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), False)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
+def publish_pages(spark: SparkSession, pages: list[bytes], folder: str, manifest: dict) -> None:
+    """A capture's pages as they were received, page-1.json and on, with their manifest, renamed as one folder."""
+    fs, target = _files(spark, folder)
+    staging = _sibling(spark, target, f".{target.getName()}-{uuid.uuid4().hex}")
+    with writer_lock(spark, folder):
+        if fs.exists(target):
+            raise LoadError(f"{folder} exists")
+        try:
+            fs.mkdirs(staging)
+            for number, content in enumerate(pages, 1):
+                _write_bytes(spark, fs, f"{staging}/page-{number}.json", content)
+            _write_bytes(spark, fs, f"{staging}/manifest.json", json.dumps(manifest, indent=2).encode())
+            if not fs.rename(staging, target):
+                raise LoadError(f"{folder} cannot be published")
+        finally:
+            if fs.exists(staging):
+                fs.delete(staging, True)
+
+
+def copy_latest_raw(spark: SparkSession, root: str, key: str) -> str | None:
+    """The raw folder of the latest run as that of a new run ``key``; returns the run copied, or None for none.
+
+    Links and special files are errors, and a failed copy leaves no run.
+    """
+    source = latest_run(spark, root)
+    if source is None:
+        return None
+    fs, top = _files(spark, root)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target, staging = path(top, key), path(top, f".raw-copy-{uuid.uuid4().hex}")
+    raw = path(path(top, source), "raw")
+
+    def special(at) -> bool:
+        """Links and devices, which only local file systems have."""
+        if at.toUri().getScheme() != "file":
+            return False
+        name = at.toUri().getPath()
+        return os.path.islink(name) or not (os.path.isfile(name) or os.path.isdir(name))
+
+    def check(at) -> None:
+        for status in fs.listStatus(at):
+            if special(status.getPath()):
+                raise LoadError(f"{status.getPath()} is a link or a special file")
+            if status.isDirectory():
+                check(status.getPath())
+
+    raw = fs.makeQualified(raw)
+    if special(raw) or not fs.getFileStatus(raw).isDirectory():
+        raise LoadError(f"{raw} is no folder")
+    check(raw)
+    with writer_lock(spark, f"{root.rstrip('/')}/{key}"):
+        if fs.exists(target):
+            raise LoadError(f"{target} exists")
+        try:
+            conf = spark.sparkContext._jsc.hadoopConfiguration()
+            fs.mkdirs(staging)
+            if not spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, raw, fs, path(staging, "raw"), False, conf) or not fs.rename(staging, target):
+                raise LoadError(f"{target} cannot be written")
+        finally:
+            if fs.exists(staging):
+                fs.delete(staging, True)
+    return source
+
+
+def raw_rows(declarations: DataFrame, entries: DataFrame, key: str = "declaration_id") -> DataFrame:
+    """A row per entry of each declaration, and one with empty entry columns for a declaration without any."""
+    return declarations.join(entries.withColumnRenamed(key, f"_{key}"), F.col(key) == F.col(f"_{key}"), "left").drop(f"_{key}")
+
+
+def write_raw(rows: DataFrame, folder: str, member: str = "parliament_member_id") -> None:
+    """Raw rows as one folder per member, ``<member>.parquet``, which must not exist before.
+
+    Rows are dealt by member, so a member's files are written by one task, and
+    named by a rename of the partition folders on the driver: as many as members.
+    """
+    spark = rows.sparkSession
+    fs, target = _files(spark, folder)
+    if fs.exists(target):
+        raise LoadError(f"{folder} exists")
+    rows.withColumn("_m", F.col(member)).repartition(member).write.partitionBy("_m").mode("errorifexists").parquet(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for status in fs.listStatus(target):
+        name = status.getPath().getName()
+        if name.startswith("_m="):
+            fs.rename(status.getPath(), path(target, f"{name[3:]}.parquet"))
+
+
+def replace_aliases(stored: DataFrame, loaded: DataFrame) -> DataFrame:
+    """Aliases (funder_id, alias) with those of loaded funders (funder_id, funder_name, aliases) replaced.
+
+    A loaded funder's aliases are the ones it brings and its own name.
+    """
+    new = loaded.select("funder_id", F.explode(F.array_union("aliases", F.array("funder_name"))).alias("alias"))
+    return stored.join(loaded.select("funder_id"), "funder_id", "left_anti").unionByName(new.distinct())
+
+
+def insert_entries(entries: DataFrame, funders: DataFrame) -> DataFrame:
+    """``entries`` with the funder_id of their identity; an identity that no funder has stops the job."""
+    known = funders.select(F.col("identity").alias("_i"), "funder_id")
+    out = entries.join(known, F.col("identity") == F.col("_i"), "left")
+    lost = F.raise_error(F.concat(F.lit("resolved identity was not inserted: "), "identity"))
+    return out.withColumn("funder_id", F.when(F.col("identity").isNotNull() & F.col("_i").isNull(), lost).otherwise(F.col("funder_id"))).drop("_i")
+
+
+def touched(stored: DataFrame, new: DataFrame, key: str, now: Column, stamp: str = "updated_at") -> DataFrame:
+    """``stored`` with rows of ``new`` over them, and a fresh stamp only where a value differs (null equals null)."""
+    columns = [c for c in stored.columns if c not in (key, stamp)]
+    b = new.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_n_{c}") for c in columns])
+    both = stored.join(b, F.col(key) == F.col("_k"), "left")
+    there = F.col("_k").isNotNull()
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_n_{c}"))
+    values = [F.when(there, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) for c in columns]
+    return both.select(F.col(key), *values, F.when(there & ~same, now).otherwise(F.col(stamp)).alias(stamp))
+
+
+def replace_trees(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Tree rows with those of every member in ``new`` replaced as a whole."""
+    return stored.join(new.select("member_id").distinct(), "member_id", "left_anti").unionByName(new)
+
+
+def load(spark: SparkSession, runs: DataFrame, key: str, mark: str, write, refresh) -> str:
+    """Run a load once: ``write()`` for a new key, only ``refresh()`` of the groups for one that is there with this mark.
+
+    ``runs`` has ingestion_key and fingerprint; another mark under a key is an
+    error.  Returns "loaded" or "already_loaded".
+    """
+    found = {r["ingestion_key"]: r["fingerprint"] for r in runs.filter(F.col("ingestion_key") == key).select("ingestion_key", "fingerprint").limit(2).collect()}
+    outcome = check_run(found, key, mark)
+    if outcome == "load":
+        write()
+        outcome = "loaded"
+    refresh()
+    return outcome
+
+
+def wire(rows: DataFrame, ids: list[str], amounts: list[str], times: list[str] = ()) -> DataFrame:
+    """Rows as JSON objects, one column ``json``: ids as texts, amounts as plain decimals, times in UTC with a Z, nulls kept."""
+    columns = []
+    for name in rows.columns:
+        c = F.col(name)
+        if name in ids:
+            c = c.cast("string")
+        elif name in amounts:
+            c = plain_amount(c.cast("decimal(38,18)"))
+        elif name in times:
+            c = F.date_format(c.cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        columns.append(c.alias(name))
+    return rows.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def latest_run(spark: SparkSession, folder: str) -> str | None:
@@ -140,11 +345,3 @@ def uncovered(payments: DataFrame, attributions: DataFrame, key: str = "payment_
     b = attributions.groupBy(key).agg(F.count("*").alias("attributions"))
     both = a.join(b, key, "full").fillna(0, ["payments", "attributions"])
     return both.filter((F.col("payments") != 1) | (F.col("attributions") != 1))
-
-
-def page_faults(pages: DataFrame) -> DataFrame:
-    """Captured pages (skip, take, total, items) that do not follow each other."""
-    order = Window.orderBy("skip")
-    out = pages.withColumn("_due", F.coalesce(F.lag(F.col("skip") + F.col("items")).over(order), F.lit(0))).withColumn("_total", F.first("total").over(order))
-    short = (F.col("items") < F.col("take")) & (F.col("skip") + F.col("items") < F.col("total"))
-    return out.filter((F.col("skip") != F.col("_due")) | (F.col("total") != F.col("_total")) | short).drop("_due", "_total")

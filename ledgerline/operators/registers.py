@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerline.functions.money import breakdown_by, totals_by
 from ledgerline.functions.periods import RegistrationWindow
 from ledgerline.operators.graph import connected_components
+from ledgerline.session import cut
 
 
 def canonical_funders(funders: DataFrame, groups: DataFrame, names: DataFrame) -> DataFrame:
@@ -55,23 +56,33 @@ def joined(declarations: DataFrame, members: DataFrame, entries: DataFrame, cano
     return base.join(entries, "declaration_id", "left").join(canonical, "funder_id", "left")
 
 
+def positions(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows`` with their position in a total order, from 1, without one task that has them all.
+
+    Rows are dealt to ranges of the order and written; a window numbers each
+    range, and the sizes of the ranges before it (a row a range) are added.
+    """
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.broadcast(sizes.select(F.col("_range").alias("_r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start")))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    out = dealt.withColumn("position", inside).join(starts, F.col("_range") == F.col("_r"))
+    return out.withColumn("position", (F.col("position") + F.col("_start")).cast("long")).drop("_range", "_r", "_start")
+
+
 def board(totals: DataFrame, key: str) -> DataFrame:
     """Ranks by total, largest first and unknown last, then by key, null first."""
-    order = Window.orderBy(F.col("total").desc_nulls_last(), F.col(key).asc_nulls_first())
-    return totals.withColumn("position", F.row_number().over(order).cast("long"))
+    return positions(totals, [F.col("total").desc_nulls_last(), F.col(key).asc_nulls_first()])
 
 
 def member_board(rows: DataFrame) -> DataFrame:
-    totals = totals_by(rows, ["member_id"])
-    return board(totals.join(rows.select("member_id", "member_name").distinct(), "member_id"), "member_id")
+    return board(totals_by(rows, ["member_id"], ["member_name"]), "member_id")
 
 
 def party_board(rows: DataFrame) -> DataFrame:
     """Parties by id, labelled with the smallest of their names."""
-    labels = rows.groupBy("party_id").agg(F.min("party_name").alias("party_name"))
-    totals = totals_by(rows, ["party_id"])
-    out = totals.join(labels, totals["party_id"].eqNullSafe(labels["party_id"])).drop(labels["party_id"])
-    return board(out, "party_id")
+    return board(totals_by(rows, ["party_id"], ["party_name"]), "party_id")
 
 
 def funder_board(rows: DataFrame, individuals: bool) -> DataFrame:
@@ -91,8 +102,7 @@ def month_updates(rows: DataFrame) -> DataFrame:
     known = rows.filter(F.col("canonical_id").isNotNull() & (F.col("canonical_kind") != "Individual"))
     one = known.groupBy("canonical_id", "canonical_name", "declaration_id").agg(F.max("registered").alias("registered"))
     out = one.groupBy("canonical_id", "canonical_name").agg(F.count("*").alias("declarations"), F.max("registered").alias("latest"))
-    order = Window.orderBy(F.col("latest").desc_nulls_last(), "canonical_name", "canonical_id")
-    return out.withColumn("position", F.row_number().over(order).cast("long"))
+    return positions(out, [F.col("latest").desc_nulls_last(), F.col("canonical_name").asc(), F.col("canonical_id").asc()])
 
 
 def headlines(rows: DataFrame, windows: dict[str, RegistrationWindow]) -> DataFrame:

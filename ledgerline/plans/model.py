@@ -12,9 +12,10 @@ BASE = {
     "FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey",
     "declarations": "SELECT o_orderkey AS declaration_id, o_custkey AS member_id, CAST(substr(o_orderpriority, 1, 1) AS INT) AS category_id, "
     "substr(o_orderpriority, 3) AS category_name, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_orderdate END AS registered FROM {orders}",
-    "entries": "SELECT l_orderkey AS declaration_id, l_orderkey * 10 + l_linenumber AS entry_id, l_suppkey AS funder_id, "
+    # Entries of every 11th order are the order's before it: declarations without entries, and no row less.
+    "entries": "SELECT l_orderkey - CASE WHEN l_orderkey % 11 = 0 AND l_orderkey > 0 THEN 1 ELSE 0 END AS declaration_id, l_orderkey * 10 + l_linenumber AS entry_id, l_suppkey AS funder_id, "
     "CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_extendedprice AS DECIMAL(12, 2)) END AS amount, "
-    "CASE l_returnflag WHEN 'N' THEN ' GBP' WHEN 'A' THEN 'EUR' ELSE '  ' END AS currency_raw FROM {lineitem} WHERE l_orderkey % 11 <> 0",
+    "CASE l_returnflag WHEN 'N' THEN ' GBP' WHEN 'A' THEN 'EUR' ELSE '  ' END AS currency_raw FROM {lineitem}",
     "funders": "SELECT s_suppkey AS funder_id, s_name AS funder_name, "
     "CASE s_suppkey % 3 WHEN 0 THEN 'Individual' WHEN 1 THEN 'Company' END AS funder_kind FROM {supplier}",
     "groups": "SELECT s_suppkey AS funder_id, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS group_id FROM {supplier} WHERE s_nationkey % 2 = 0",
@@ -26,14 +27,9 @@ TABLES = {
 }
 
 
-#: Entries of all declarations; the SQL's model leaves out those of every 11th.
-ALL_ENTRIES = BASE["entries"].removesuffix(" WHERE l_orderkey % 11 <> 0")
-
-
 def model(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    text, name = (ALL_ENTRIES, "entries") if name == "all_entries" else (BASE[name], name)
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES[name]}
-    return spark.sql(text, **tables)
+    return spark.sql(BASE[name], **tables)
 
 
 #: The same tables as common table expressions for DuckDB, and their join.

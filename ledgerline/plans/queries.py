@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerline.functions.money import breakdown_by, normal_currency, plain_amount, totals_by
 from ledgerline.functions.periods import RegistrationWindow, day_range, month_window, period_window
 from ledgerline.functions import names
-from ledgerline.functions.names import name_features
 from ledgerline.operators import linkage, loading, registers, search, trees
 from ledgerline.plans.model import CTES, model
+from ledgerline.session import cut
 
 NOW = datetime(1999, 6, 15)
 TERM = datetime(1998, 1, 1)
@@ -24,14 +23,14 @@ def canonical(spark: SparkSession, d: str) -> DataFrame:
     return registers.canonical_funders(model(spark, d, "funders"), model(spark, d, "groups"), model(spark, d, "names"))
 
 
-def whole(spark: SparkSession, d: str, window: RegistrationWindow = RegistrationWindow(), every: bool = False) -> DataFrame:
-    """The joined model; ``every`` keeps the entries that the SQL's model leaves out."""
-    entries = model(spark, d, "all_entries" if every else "entries").withColumn("currency", normal_currency(F.col("currency_raw"))).drop("currency_raw")
+def whole(spark: SparkSession, d: str, window: RegistrationWindow = RegistrationWindow()) -> DataFrame:
+    """The joined model."""
+    entries = model(spark, d, "entries").withColumn("currency", normal_currency(F.col("currency_raw"))).drop("currency_raw")
     return registers.joined(model(spark, d, "declarations"), model(spark, d, "members"), entries, canonical(spark, d), window)
 
 
-def term(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    return whole(spark, d, period_window("current-term", NOW, TERM), every)
+def term(spark: SparkSession, d: str) -> DataFrame:
+    return whole(spark, d, period_window("current-term", NOW, TERM))
 
 
 def _money(df: DataFrame, *names: str) -> DataFrame:
@@ -42,13 +41,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, whole_too: bool = False):
-    """Register a query and its SQL; ``whole_too`` adds all_NAME over whole tables, which has no SQL."""
+def query(sql: str | None = None):
+    """Register a query and its SQL."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
-        if whole_too:
-            QUERIES[f"all_{f.__name__}"] = partial(f, every=True)
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f
@@ -68,28 +65,27 @@ def _board_sql(keys: str, key: str, where: str) -> str:
 SELECT *, row_number() OVER (ORDER BY total DESC NULLS LAST, {key} NULLS FIRST) AS position FROM t"""
 
 
-@query(_board_sql("member_id, member_name", "member_id", _TERM), whole_too=True)
-def member_board(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    return _money(registers.member_board(term(spark, d, every=every)))
+@query(_board_sql("member_id, member_name", "member_id", _TERM))
+def member_board(spark: SparkSession, d: str) -> DataFrame:
+    return _money(registers.member_board(term(spark, d)))
 
 
 @query(
     f"""{CTES}, t AS ({_totals_sql("party_id", _TERM, ", min(party_name) AS party_name")})
 SELECT *, row_number() OVER (ORDER BY total DESC NULLS LAST, party_id NULLS FIRST) AS position FROM t""",
-    whole_too=True,
 )
-def party_board(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    return _money(registers.party_board(term(spark, d, every=every)))
+def party_board(spark: SparkSession, d: str) -> DataFrame:
+    return _money(registers.party_board(term(spark, d)))
 
 
-@query(_board_sql("canonical_id, canonical_name", "canonical_id", f"{_TERM} AND canonical_kind = 'Individual'"), whole_too=True)
-def individual_board(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    return _money(registers.funder_board(term(spark, d, every=every), True))
+@query(_board_sql("canonical_id, canonical_name", "canonical_id", f"{_TERM} AND canonical_kind = 'Individual'"))
+def individual_board(spark: SparkSession, d: str) -> DataFrame:
+    return _money(registers.funder_board(term(spark, d), True))
 
 
-@query(_board_sql("canonical_id, canonical_name", "canonical_id", f"{_TERM} AND canonical_kind <> 'Individual'"), whole_too=True)
-def company_board(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    return _money(registers.funder_board(term(spark, d, every=every), False))
+@query(_board_sql("canonical_id, canonical_name", "canonical_id", f"{_TERM} AND canonical_kind <> 'Individual'"))
+def company_board(spark: SparkSession, d: str) -> DataFrame:
+    return _money(registers.funder_board(term(spark, d), False))
 
 
 @query(
@@ -97,10 +93,9 @@ def company_board(spark: SparkSession, d: str, every: bool = False) -> DataFrame
   row_number() OVER (ORDER BY max(registered) DESC NULLS LAST, canonical_name, canonical_id) AS position
 FROM whole WHERE registered >= TIMESTAMP '1999-06-01' AND registered < TIMESTAMP '1999-07-01' AND canonical_kind <> 'Individual'
 GROUP BY canonical_id, canonical_name""",
-    whole_too=True,
 )
-def month_updates(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    return registers.month_updates(whole(spark, d, month_window(1999, 6), every=every))
+def month_updates(spark: SparkSession, d: str) -> DataFrame:
+    return registers.month_updates(whole(spark, d, month_window(1999, 6)))
 
 
 def _window_sql(name: str, where: str) -> str:
@@ -114,21 +109,19 @@ def _window_sql(name: str, where: str) -> str:
 SELECT member_id, {_window_sql("all", "true")}, {_window_sql("term", _TERM)},
   {_window_sql("year", "registered >= TIMESTAMP '1999-01-01' AND registered < TIMESTAMP '2000-01-01'")},
   min(registered) AS first, max(registered) AS last, sum(CASE WHEN registered IS NULL THEN 1 ELSE 0 END)::BIGINT AS undated FROM one GROUP BY member_id""",
-    whole_too=True,
 )
-def member_headlines(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+def member_headlines(spark: SparkSession, d: str) -> DataFrame:
     windows = {name: period_window(p, NOW, TERM) for name, p in (("all", "historical"), ("term", None), ("year", "current-year"))}
-    return _money(registers.headlines(whole(spark, d, every=every), windows), "all_total", "term_total", "year_total")
+    return _money(registers.headlines(whole(spark, d), windows), "all_total", "term_total", "year_total")
 
 
 @query(
     f"""{CTES} SELECT currency, category_id, category_name, sum(amount)::DECIMAL(38, 2) AS amount, count(*)::BIGINT AS entries,
   sum(CASE WHEN amount IS NULL THEN 1 ELSE 0 END)::BIGINT AS unknown_amounts, category_id = 3 AS donation
 FROM whole WHERE entry_id IS NOT NULL AND currency IS NOT NULL GROUP BY ALL""",
-    whole_too=True,
 )
-def category_breakdown(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    out = breakdown_by(whole(spark, d, every=every), ["category_id", "category_name"])
+def category_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    out = breakdown_by(whole(spark, d), ["category_id", "category_name"])
     return _money(out, "amount").withColumn("donation", F.col("category_id") == 3)
 
 
@@ -137,10 +130,9 @@ def category_breakdown(spark: SparkSession, d: str, every: bool = False) -> Data
   sum(CASE WHEN amount IS NULL THEN 1 ELSE 0 END)::BIGINT AS unknown_amounts,
   row_number() OVER (PARTITION BY canonical_id, currency ORDER BY sum(amount) DESC NULLS LAST, member_id, member_name) AS position
 FROM whole WHERE canonical_id IS NOT NULL AND currency IS NOT NULL GROUP BY canonical_id, member_id, member_name, currency QUALIFY position <= 10""",
-    whole_too=True,
 )
-def top_recipients(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    return _money(registers.recipients(whole(spark, d, every=every)), "amount")
+def top_recipients(spark: SparkSession, d: str) -> DataFrame:
+    return _money(registers.recipients(whole(spark, d)), "amount")
 
 
 @query(
@@ -148,10 +140,9 @@ def top_recipients(spark: SparkSession, d: str, every: bool = False) -> DataFram
   sum(CASE WHEN amount IS NULL THEN 1 ELSE 0 END)::BIGINT AS unknown_amounts,
   row_number() OVER (PARTITION BY canonical_id, currency ORDER BY sum(amount) DESC NULLS LAST, party_name, party_id) AS position
 FROM whole WHERE canonical_id IS NOT NULL AND currency IS NOT NULL GROUP BY canonical_id, party_id, party_name, currency""",
-    whole_too=True,
 )
-def funder_parties(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    return _money(registers.party_shares(whole(spark, d, every=every)), "amount")
+def funder_parties(spark: SparkSession, d: str) -> DataFrame:
+    return _money(registers.party_shares(whole(spark, d)), "amount")
 
 
 @query(
@@ -160,10 +151,9 @@ def funder_parties(spark: SparkSession, d: str, every: bool = False) -> DataFram
   sum(CASE WHEN currency IS NULL THEN 1 ELSE 0 END)::BIGINT AS unknown_currency,
   sum(CASE WHEN currency <> 'GBP' THEN 1 ELSE 0 END)::BIGINT AS foreign_currency
 FROM whole WHERE member_id = 7 AND entry_id IS NOT NULL GROUP BY funder_id""",
-    whole_too=True,
 )
-def member_sources(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    return _money(registers.sources_of(whole(spark, d, every=every), 7), "amount")
+def member_sources(spark: SparkSession, d: str) -> DataFrame:
+    return _money(registers.sources_of(whole(spark, d), 7), "amount")
 
 
 @query(
@@ -173,30 +163,27 @@ by_month AS (SELECT month, sum(amount) AS amount, bool_or(unknown) AS incomplete
 months AS (SELECT unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH))::TIMESTAMP AS month FROM by_month)
 SELECT m.month, coalesce(b.amount, 0)::DECIMAL(38, 2) AS amount, coalesce(b.incomplete, false) AS incomplete FROM months m LEFT JOIN by_month b ON b.month = m.month
 UNION ALL SELECT month, coalesce(amount, 0)::DECIMAL(38, 2), incomplete FROM by_month WHERE month IS NULL""",
-    whole_too=True,
 )
-def monthly_timeline(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    return _money(registers.timeline(whole(spark, d, every=every)), "amount")
+def monthly_timeline(spark: SparkSession, d: str) -> DataFrame:
+    return _money(registers.timeline(whole(spark, d)), "amount")
 
 
 @query(
     f"""{CTES}, t AS (SELECT CASE party_name WHEN 'NATION_1' THEN 'NATION_2' ELSE party_name END AS label, sum(amount) AS amount
   FROM whole WHERE currency = 'GBP' GROUP BY 1), u AS (SELECT label, greatest(amount, 0)::DECIMAL(38, 2) AS amount FROM t)
 SELECT *, floor(amount::DOUBLE * 1000000 / (sum(amount) OVER ())::DOUBLE) / 1000000 AS share FROM u""",
-    whole_too=True,
 )
-def party_chart(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    rows = whole(spark, d, every=every).filter("currency = 'GBP'").groupBy("party_name").agg(F.sum("amount").alias("amount"))
+def party_chart(spark: SparkSession, d: str) -> DataFrame:
+    rows = whole(spark, d).filter("currency = 'GBP'").groupBy("party_name").agg(F.sum("amount").alias("amount"))
     return registers.share_bars(_money(rows, "amount"), {"NATION_1": "NATION_2"})
 
 
 @query(
     f"""{CTES} SELECT declaration_id, entry_id, registered, row_number() OVER (ORDER BY registered DESC NULLS LAST, declaration_id DESC, entry_id NULLS FIRST) AS place
 FROM whole WHERE member_id = 7 ORDER BY place LIMIT 10 OFFSET 10""",
-    whole_too=True,
 )
-def history_page(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    rows = whole(spark, d, every=every).filter("member_id = 7").select("declaration_id", "entry_id", "registered")
+def history_page(spark: SparkSession, d: str) -> DataFrame:
+    rows = whole(spark, d).filter("member_id = 7").select("declaration_id", "entry_id", "registered")
     from pyspark.sql import Window
 
     page = registers.history(rows, 2)
@@ -231,21 +218,19 @@ def eligible_members(spark: SparkSession, d: str) -> DataFrame:
     f"""{CTES}, c AS (SELECT canonical_id, member_name, count(*) AS n FROM whole WHERE canonical_id IS NOT NULL GROUP BY ALL)
 SELECT canonical_id, member_name, n FROM c
 QUALIFY row_number() OVER (PARTITION BY canonical_id ORDER BY n DESC, contains(member_name, '('), member_name) = 1""",
-    whole_too=True,
 )
-def usual_names(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    rows = whole(spark, d, every=every).filter(F.col("canonical_id").isNotNull())
+def usual_names(spark: SparkSession, d: str) -> DataFrame:
+    rows = whole(spark, d).filter(F.col("canonical_id").isNotNull())
     return registers.usual_name(rows, "canonical_id", "member_name")
 
 
 @query(
-    f"""{CTES}, t AS (SELECT canonical_id, CASE WHEN min(party_name) = max(party_name) THEN min(party_name) END AS party_name
-FROM whole WHERE canonical_id IS NOT NULL AND member_id < 40 GROUP BY canonical_id) SELECT * FROM t""",
-    whole_too=True,
+    f"""{CTES} SELECT declaration_id, CASE WHEN min(canonical_name) = max(canonical_name) THEN min(canonical_name) END AS canonical_name
+FROM whole WHERE canonical_id IS NOT NULL GROUP BY declaration_id"""
 )
-def sole_parties(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    rows = whole(spark, d, every=every).filter("canonical_id IS NOT NULL" if every else "canonical_id IS NOT NULL AND member_id < 40")
-    return registers.sole_company(rows, "canonical_id", "party_name")
+def sole_funders(spark: SparkSession, d: str) -> DataFrame:
+    """The one funder of a declaration, or none."""
+    return registers.sole_company(whole(spark, d).filter("canonical_id IS NOT NULL"), "declaration_id", "canonical_name")
 
 
 @query(
@@ -272,19 +257,23 @@ def alias_groups(spark: SparkSession, d: str) -> DataFrame:
 
 # ------------------------------------------------------------------ linkage
 
-_OBS = """SELECT p_partkey AS obs_id, 'donor' AS role, lower(p_name) AS name_raw, lower(p_name) AS name_normalized,
-  CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE concat(CAST(p_size AS VARCHAR(20)), ' ', lower(p_type), ' street') END AS address_normalized,
+# Names repeat and some are one letter off; their words are letters of a digest, so that prefixes are many.
+_WORD = "translate(md5(CAST(p_partkey % 690 AS VARCHAR(20))), '0123456789', 'ghijklmnop')"
+_OBS = f"""SELECT p_partkey AS obs_id, 'donor' AS role, name AS name_raw, name AS name_normalized,
+  CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE concat(CAST(p_partkey % 690 % 40 + p_partkey % 2 AS VARCHAR(20)), ' ', lower(p_type), ' street') END AS address_normalized,
   CASE WHEN p_partkey % 4 = 0 THEN 'unavailable' ELSE 'numbered_street' END AS address_quality,
   CASE WHEN p_partkey % 50 = 0 THEN concat('0000', CAST(1000 + p_partkey % 7 AS VARCHAR(20))) END AS company,
-  CASE p_partkey % 3 WHEN 0 THEN 'Individual' WHEN 1 THEN 'Company' END AS donor_kind FROM {part} WHERE p_partkey % 20 < 3"""
+  CASE WHEN p_partkey % 50 = 0 THEN 'Company' WHEN p_partkey % 690 % 3 = 0 THEN 'Individual' WHEN p_partkey % 7 = 1 THEN 'Company' END AS donor_kind
+FROM (SELECT *, concat(substr({_WORD}, 1, 5), ' ', substr({_WORD}, 6, 5), CASE WHEN p_partkey % 10 = 3 THEN 'x' ELSE '' END) AS name FROM {{part}}) AS named"""
 _PAIRS = f"""WITH obs AS ({_OBS.format(part="part")}),
-prof AS (SELECT name_normalized AS name, address_normalized AS address, min(obs_id) AS profile_id, bool_or(company IS NULL) AS needs FROM obs GROUP BY ALL),
+prof AS (SELECT name_normalized AS name, address_normalized AS address, min(obs_id) AS profile_id, bool_or(company IS NULL) AS needs, count(*) AS members FROM obs GROUP BY ALL),
 keyed AS (
   SELECT profile_id, needs, 'n:' || name AS key, true AS ok FROM prof UNION ALL SELECT profile_id, needs, 'a:' || address, true FROM prof WHERE address IS NOT NULL
   UNION ALL SELECT profile_id, needs, 'p:' || name[1:3], true FROM prof
   UNION ALL SELECT profile_id, needs, 'i:' || name[1:1] || '|' || regexp_extract(name, '[a-z]*$')[1:2],
     regexp_extract(name, '[a-z]*$') NOT IN ('limited', 'ltd', 'plc', 'llp', 'company', 'inc', 'and') FROM prof),
-pairs AS (SELECT DISTINCT a.profile_id AS l, b.profile_id AS r FROM keyed a JOIN keyed b ON a.key = b.key AND a.profile_id < b.profile_id AND a.ok AND (a.needs OR b.needs)),
+pairs AS (SELECT DISTINCT a.profile_id AS l, b.profile_id AS r FROM keyed a JOIN keyed b ON a.key = b.key AND a.profile_id < b.profile_id AND a.ok AND (a.needs OR b.needs)
+  UNION ALL SELECT profile_id, profile_id FROM prof WHERE needs AND members > 1),
 scored AS (
   SELECT l, r, x.name AS ln, y.name AS rn, 0.0001::DOUBLE / 0.9999::DOUBLE
     * CASE WHEN x.name = y.name THEN 0.95::DOUBLE / 0.001::DOUBLE WHEN levenshtein(x.name, y.name) <= 2 THEN 0.04::DOUBLE / 0.009::DOUBLE ELSE 0.01::DOUBLE / 0.99::DOUBLE END
@@ -293,48 +282,55 @@ scored AS (
 """
 
 
-def _observations(spark: SparkSession, d: str, every: bool) -> DataFrame:
-    return spark.sql(_OBS.removesuffix(" WHERE p_partkey % 20 < 3") if every else _OBS, part=spark.read.parquet(f"{d}/part.parquet"))
+def _observations(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql(_OBS, part=spark.read.parquet(f"{d}/part.parquet"))
 
 
-def _scored(spark: SparkSession, d: str, every: bool, twins: bool) -> DataFrame:
-    """``twins`` pairs equal observations too, which the SQL of pairs leaves out."""
-    rows = linkage.profiles(_observations(spark, d, every))
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    rows = cut(linkage.profiles(_observations(spark, d)), "profiles")
     pairs = linkage.candidate_pairs(linkage.blocking_keys(rows))
-    return linkage.scored_pairs(rows, pairs.union(linkage.twins(rows)) if twins else pairs)
+    return linkage.scored_pairs(rows, pairs.union(linkage.twins(rows)))
 
 
-@query(_PAIRS + 'SELECT l AS "left", r AS "right", round(odds / (odds + 1), 12) AS probability FROM scored', whole_too=True)
-def scored_pairs(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    return _scored(spark, d, every, every).withColumn("probability", F.round("probability", 12))
+@query(
+    _PAIRS
+    + """SELECT l AS "left", r AS "right", round(odds / (odds + 1), 12) AS probability, CASE WHEN ln = rn THEN 2 WHEN levenshtein(ln, rn) <= 2 THEN 1 ELSE 0 END::INTEGER AS name_level
+FROM scored"""
+)
+def scored_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).withColumn("probability", F.round("probability", 12)).drop("address_level")
 
 
-def _classified(spark: SparkSession, d: str, every: bool, twins: bool) -> tuple[DataFrame, DataFrame]:
-    observations = _observations(spark, d, every)
-    return linkage.classify(linkage.observation_pairs(observations, _scored(spark, d, every, twins)), observations), observations
+def _classified(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    observations = _observations(spark, d)
+    return linkage.classify(linkage.observation_pairs(observations, _scored(spark, d)), observations), observations
 
 
 @query(
     _PAIRS
     + """, own AS (SELECT o.*, p.profile_id, CASE WHEN lower(donor_kind) = 'individual' THEN 'person' WHEN lower(donor_kind) = 'company' THEN 'organisation' ELSE 'unknown' END AS ekind
   FROM obs o JOIN prof p ON p.name = o.name_normalized AND p.address IS NOT DISTINCT FROM o.address_normalized),
-ob AS (SELECT DISTINCT least(a.obs_id, b.obs_id) AS l, greatest(a.obs_id, b.obs_id) AS r FROM scored s JOIN own a ON a.profile_id = s.l JOIN own b ON b.profile_id = s.r
-  WHERE a.company IS NULL OR b.company IS NULL)
+ob AS (SELECT least(a.obs_id, b.obs_id) AS l, greatest(a.obs_id, b.obs_id) AS r, any_value(odds / (odds + 1)) AS p FROM scored s JOIN own a ON a.profile_id = s.l JOIN own b ON b.profile_id = s.r
+  WHERE (a.company IS NULL OR b.company IS NULL) AND a.obs_id <> b.obs_id GROUP BY ALL)
 SELECT ob.l AS "left", ob.r AS "right", CASE
   WHEN x.ekind <> 'unknown' AND y.ekind <> 'unknown' AND x.ekind <> y.ekind THEN 'person_organisation_conflict'
+  WHEN x.name_normalized = y.name_normalized AND x.address_quality = 'numbered_street' AND y.address_quality = 'numbered_street'
+    AND x.address_normalized = y.address_normalized AND p >= 0.999 THEN 'exact_name_full_address_threshold'
   WHEN x.name_normalized = y.name_normalized THEN 'exact_donor_name'
   WHEN x.address_quality = 'numbered_street' AND y.address_quality = 'numbered_street' AND x.address_normalized <> y.address_normalized THEN 'full_address_disagreement'
   ELSE 'review' END AS rule
-FROM ob JOIN own x ON x.obs_id = ob.l JOIN own y ON y.obs_id = ob.r""",
-    whole_too=True,
+FROM ob JOIN own x ON x.obs_id = ob.l JOIN own y ON y.obs_id = ob.r"""
 )
-def classified_pairs(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    return _classified(spark, d, every, every)[0].select("left", "right", "rule")
+def classified_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _classified(spark, d)[0].select("left", "right", "rule")
 
 
-@query(whole_too=True)
-def resolved_identities(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    return linkage.resolve(*_classified(spark, d, every, True))[1]
+@query()
+def resolved_identities(spark: SparkSession, d: str) -> DataFrame:
+    """Every observation's identity and its basis."""
+    classified, observations = _classified(spark, d)
+    decided, identities = linkage.resolve(cut(classified, "classified"), observations)
+    return linkage.outcomes(observations, cut(decided, "decided"), cut(identities, "identities"), "run")
 
 
 @query(
@@ -380,12 +376,6 @@ def merged_search(spark: SparkSession, d: str) -> DataFrame:
     return search.merge_ranked(top("red"), top("blue"), top("small"))
 
 
-@query()
-def part_name_features(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat("p_name", F.lit(" Ltd (trading as "), "p_brand", F.lit(")")).alias("name"))
-    return name_features(rows)
-
-
 @query(
     """SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'unavailable' WHEN p_partkey % 2 = 0 THEN 'numbered_street' ELSE 'partial' END AS quality,
   CASE WHEN p_partkey % 5 <> 0 THEN trim(regexp_replace(lower(concat(p_size, CASE WHEN p_partkey % 2 = 0 THEN ' High Street, ' ELSE ' High, ' END, p_brand)), '[^a-z0-9]+', ' ', 'g')) END AS key FROM part"""
@@ -430,13 +420,10 @@ def upserted_members(spark: SparkSession, d: str) -> DataFrame:
     return loading.upsert(stored, changed, "c_custkey")
 
 
-@query("SELECT s_suppkey AS funder_id, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 97 = 1)", whole_too=True)
-def funders_in_use(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    entries = spark.read.parquet(f"{d}/lineitem.parquet")
-    if every:  # orphans come from a column: entries of every 7th funder name none
-        entries = entries.select(F.when(F.col("l_suppkey") % 7 != 0, F.col("l_suppkey")).alias("funder_id"))
-    else:
-        entries = entries.filter("l_orderkey % 97 = 1").select(F.col("l_suppkey").alias("funder_id"))
+@query("SELECT s_suppkey AS funder_id, s_name FROM supplier WHERE s_suppkey IN (SELECT CASE WHEN l_suppkey % 7 <> 0 THEN l_suppkey END FROM lineitem)")
+def funders_in_use(spark: SparkSession, d: str) -> DataFrame:
+    """Funders without orphans: entries of every 7th funder name none."""
+    entries = spark.read.parquet(f"{d}/lineitem.parquet").select(F.when(F.col("l_suppkey") % 7 != 0, F.col("l_suppkey")).alias("funder_id"))
     return loading.without_orphans(spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("funder_id"), "s_name"), entries)
 
 
@@ -453,14 +440,13 @@ def uncovered_payments(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT o_custkey % 200 AS id, o_custkey % 7 AS presentation, o_orderkey AS occ FROM orders WHERE o_orderkey < 600),
+    """WITH s AS (SELECT o_custkey % 200 AS id, o_custkey % 7 AS presentation, o_orderkey AS occ FROM orders),
 a AS (SELECT id, min(presentation) AS presentation, list_sort(list(DISTINCT occ)) AS alls FROM s GROUP BY id),
 b AS (SELECT id + 5000 AS identity, presentation, CASE WHEN id % 4 = 0 THEN list_append(alls, -1) ELSE alls END AS alls FROM a)
 SELECT b.identity, a.id FROM a JOIN b ON list_sort(b.alls) = a.alls AND a.presentation = b.presentation""",
-    whole_too=True,
 )
-def kept_identities(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/orders.parquet").filter("true" if every else "o_orderkey < 600").select(
+def kept_identities(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(
         (F.col("o_custkey") % 200).alias("id"), (F.col("o_custkey") % 7).alias("presentation"), F.col("o_orderkey").alias("occurrence")
     )
     stored = rows.groupBy("id").agg(F.min("presentation").alias("presentation")).withColumn("identity", F.lit(-1).cast("long"))

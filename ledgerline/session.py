@@ -35,9 +35,12 @@ def build_session(master: str = "local[8]", app: str = "ledgerline", **conf: str
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared scratch folder; a temporary one only where none is set."""
+    """The shared scratch folder; a temporary one only where none is set and all tasks run in this process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "ledgerline-scratch")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

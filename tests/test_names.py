@@ -74,3 +74,20 @@ def test_company_numbers_and_addresses(spark):
     qualities = spark.createDataFrame([("1 london",), ("sw1a 1aa",), ("12b high street",), ("high street",), (None,)], "a string")
     got = [r[0] for r in qualities.select(n.address_quality(F.col("a"))).collect()]
     assert got == ["partial", "partial", "numbered_street", "partial", "unavailable"]
+
+
+def test_peerages():
+    for raw in ("Baron Vale of Mere (Alice Vale)", "Lord Vale of Mere (Alice Vale )", "BARON  Vale of Mere ( Alice Vale )", "Lord D’Arcy of Île (Élodie D’Arcy)", "Baron Smith-Jones of Mere (Anne Smith-Jones)"):
+        assert n.peerage(raw)["style"], raw
+    inside = ["Alice Other", "Vale", "A Vale", "A. Vale", "Alice Vale 2", "Alice and Vale", "director Alice Vale", "on behalf of Alice Vale", "trading as Alice Vale", "(Alice Vale)", ""]
+    bad = [f"Baron Vale of Mere ({x})" for x in inside]
+    bad += ["Baron Vale of Mere (Alice Vale) (Alice Vale)", "Baron Vale of Mere (Alice Vale) annotation", "Baron Vale of Mere (Alice Vale", "Baron Vale of Mere Alice Vale)", "Baron Vale (Alice Vale)"]
+    bad += [f"{t} Vale of Mere (Alice Vale)" for t in ("Lady", "Dame", "Baroness")] + ["Lady Vale of Mere", "Dame Alice Vale of Mere", "Vale of Mere", "Alice Vale of Mere"]
+    for raw in bad:
+        assert n.peerage(raw) is None, raw
+    assert n.peerage("Baron Vale of Mere (Alice Vale )")["spelling"] == "vale of mere (alice vale)"
+
+
+def test_organisation_initials_leave_connectives_out():
+    assert features("Bank of England")["organisation_initials"] == "be"
+    assert features("Jane of the Hill")["person_initials"] == "joth"

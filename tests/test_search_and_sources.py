@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import loading, search, trees
-from ledgerline.sources import declarations as source
+from ledgerline.sources import captures, declarations as source
 
 
 def test_word_similarity():
@@ -149,5 +149,5 @@ def test_stale_declarations(spark):
 
 def test_pages(spark):
     good = [(0, 2, 5, 2), (2, 2, 5, 2), (4, 2, 5, 1)]
-    for bad, faults in ((good, 0), ([good[0], (3, 2, 5, 2)], 1), ([(0, 2, 5, 1), (1, 2, 5, 2)], 1)):
-        assert loading.page_faults(spark.createDataFrame(bad, "skip int, take int, total int, items int")).count() == faults
+    for bad, faults in ((good, 0), ([good[0], (3, 2, 5, 2)], 1), ([(0, 2, 5, 1), (1, 2, 5, 2)], 2), (good[:2], 1), ([(0, 2, 2, 3)], 1), ([(0, 0, 0, 0)], 1), ([(0, 2, 0, 0)], 0)):
+        assert captures.page_faults(spark.createDataFrame(bad, "skip int, take int, total int, items int")).count() == faults
