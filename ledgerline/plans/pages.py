@@ -131,7 +131,7 @@ def funder_history(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("requested").alias("canonical_id"), "entry_id", "declaration_id", "member_id", "member_name", "membership_kind", "registered")
 
 
-_FACTS = """SELECT (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS obs_id, l_suppkey AS identity, CASE l_linenumber % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN concat('Name ', CAST(l_suppkey AS VARCHAR(20)))
+_FACTS = """SELECT DISTINCT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS obs_id, l_suppkey AS identity, CASE l_linenumber % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN concat('Name ', CAST(l_suppkey AS VARCHAR(20)))
   ELSE concat('Name (', CAST(l_partkey % 5 AS VARCHAR(20)), ')') END AS name_raw,
   CASE WHEN l_suppkey % 5 = 0 THEN NULL WHEN l_linenumber = 3 THEN 'Company' WHEN l_linenumber > 3 THEN 'Trust' END AS donor_kind,
   CASE WHEN l_partkey % 7 = 0 THEN concat('0000', CAST(1000 + l_partkey % 1000 AS VARCHAR(20))) END AS company_number FROM {lineitem}"""
