@@ -7,12 +7,15 @@ Elias-Fano code: about ``2 + log2(universe / n)`` bits an entry instead of 64.
 Sampled select structures (the bit position of every 256th one) give the k-th
 entry without decoding the others, so one document is read in constant time.
 
-The files are written by Spark's own committed writer and read with its binary
-file source, so any Hadoop file system will do and a lost executor's task is
-written anew.  Segment layout, little-endian::
+Segments are rows of Parquet files (uncompressed, a binary column), written by
+Spark's committed writer and read by its reader, so any Hadoop file system will
+do, a lost executor's task is written anew and no byte depends on a text codec.
+Beside a segment stand its file's number, its own number there, its documents and
+ids and its smallest and largest key, by which a reader prunes.  Segment layout,
+little-endian::
 
     magic "LLTS0001" | u64 documents | u64 null keys | i64 smallest key
-    | u64 ids | u64 bytes an id | boundaries | keys | ids | line feed
+    | u64 ids | u64 bytes an id | boundaries | keys | ids
 
 where boundaries and keys are Elias-Fano blocks ``u64 n | u64 low bits | u64
 bytes of low part | u64 bytes of high part | u64 samples | low | high | samples``.
@@ -20,21 +23,25 @@ bytes of low part | u64 bytes of high part | u64 samples | low | high | samples`
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerline.llm.texts import bpe_encoder, crc32_of_ids, small_batches
-from ledgerline.session import cut, scratch_path
+from ledgerline.session import scratch_path
 
 MAGIC = b"LLTS0001"
 SAMPLE = 256
 #: Ids of a segment: a file of about 8 MB.
 SEGMENT_IDS = 4 << 20
-#: Arrow rows at once, and bytes of text that make up a sorted partition.
+#: A list of up to so many segments (20 bytes each) is sent to every executor.
+BROADCAST_SEGMENTS = 500_000
+#: Arrow rows at once.
 BATCH_ROWS = 500
 
 
@@ -99,9 +106,16 @@ class EliasFano:
             byte += len(bits) >> 3
             bits = np.unpackbits(self.high[byte : byte + 64], bitorder="little")
 
-    def decode(self) -> np.ndarray:
-        ups = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
-        return (ups.astype(np.uint64) << np.uint64(self.width)) | self._lows(0, self.n)
+    def block(self, number: int) -> np.ndarray:
+        """Entries ``SAMPLE * number`` and on, ``SAMPLE`` at most, by selecting from one sample."""
+        first = number * SAMPLE
+        count = min(SAMPLE, self.n - first)
+        at = int(self.samples[number])
+        byte, stop = at >> 3, len(self.high) if number + 1 == len(self.samples) else (int(self.samples[number + 1]) >> 3) + 1
+        bits = np.unpackbits(self.high[byte:stop], bitorder="little")
+        bits[: at & 7] = 0
+        ups = byte * 8 + np.flatnonzero(bits)[:count] - np.arange(first, first + count)
+        return (ups.astype(np.uint64) << np.uint64(self.width)) | self._lows(first, count)
 
 
 def pack_segment(keys: list[int | None], ids: list[np.ndarray], wide: bool = False) -> bytes:
@@ -115,22 +129,19 @@ def pack_segment(keys: list[int | None], ids: list[np.ndarray], wide: bool = Fal
     kind = "<u4" if wide else "<u2"
     head = MAGIC + struct.pack("<QQqQQ", len(keys), nulls, least, total, 4 if wide else 2)
     body = np.concatenate(ids).astype(kind).tobytes() if ids else b""
-    return b"".join(
-        [head, EliasFano.encode(starts).to_bytes(), EliasFano.encode((some - least).astype(np.uint64)).to_bytes(), body, b"\n"]
-    )
+    return b"".join([head, EliasFano.encode(starts).to_bytes(), EliasFano.encode((some - least).astype(np.uint64)).to_bytes(), body])
 
 
 class Segment:
     """A segment read in place: ``document(k)`` decodes only what it needs."""
 
-    def __init__(self, blob: memoryview, at: int = 0):
-        if bytes(blob[at : at + 8]) != MAGIC:
+    def __init__(self, blob: memoryview):
+        if bytes(blob[:8]) != MAGIC:
             raise ValueError("not a token segment")
-        self.n, self.nulls, self.least, self.total, wide = struct.unpack_from("<QQqQQ", blob, at + 8)
-        self.starts, at = EliasFano.from_bytes(blob, at + 48)
+        self.n, self.nulls, self.least, self.total, wide = struct.unpack_from("<QQqQQ", blob, 8)
+        self.starts, at = EliasFano.from_bytes(blob, 48)
         self.keys, at = EliasFano.from_bytes(blob, at)
         self.ids = np.frombuffer(blob, "<u4" if wide == 4 else "<u2", self.total, at)
-        self.end = at + self.total * wide + 1
 
     def document(self, k: int) -> tuple[int | None, int, np.ndarray]:
         """Key, start and ids of the k-th document, through select."""
@@ -139,19 +150,32 @@ class Segment:
         key = None if k < self.nulls else self.keys.select(k - self.nulls) + self.least
         return key, start, self.ids[start:end]
 
+    def find(self, key: int | None) -> Iterator[int]:
+        """Numbers of the documents with this key, by bisection through select."""
+        if key is None:
+            yield from range(self.nulls)
+            return
+        low, high = 0, self.keys.n
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (middle + 1, high) if self.keys.select(middle) + self.least < key else (low, middle)
+        while low < self.keys.n and self.keys.select(low) + self.least == key:
+            yield self.nulls + low
+            low += 1
+
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        starts = np.append(self.starts.decode().astype(np.int64), self.total)
-        keys = [None] * self.nulls + (self.keys.decode().astype(np.int64) + self.least).tolist()
-        for key, a, b in zip(keys, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        """All documents in order; boundaries are selected a sample's entries at a time, never as one table."""
+        keys = itertools.chain(itertools.repeat(None, self.nulls), self._entries(self.keys, self.least))
+        for key, (a, b) in zip(keys, itertools.pairwise(itertools.chain(self._entries(self.starts, 0), [self.total])), strict=True):
             yield key, a, self.ids[a:b]
 
+    @staticmethod
+    def _entries(code: EliasFano, more: int) -> Iterator[int]:
+        for number in range(len(code.samples)):
+            yield from (code.block(number).astype(np.int64) + more).tolist()
 
-def segments(blob: bytes) -> Iterator[Segment]:
-    view, at = memoryview(blob), 0
-    while at < len(view):
-        segment = Segment(view, at)
-        yield segment
-        at = segment.end
+
+SEGMENTS = "file int, number int, documents long, ids long, low long, high long, segment binary"
 
 
 def write_tokens(
@@ -162,14 +186,16 @@ def write_tokens(
     key: str = "doc_id",
     text: str = "text",
     rows_per_file: int = 20_000,
+    bytes_per_file: int = 64 << 20,
 ) -> None:
     """Encode every whole text, append ``end_id``, and write segment files.
 
-    Files follow each other in ascending key order by name.  Null texts are
+    Files follow each other in ascending key order by number.  Null texts are
     empty (their ids are the end id alone), null keys come first, rows with
     equal keys follow each other in any order, other columns are ignored and an
-    empty table writes files without documents.  A file holds one range of keys;
-    its segments bound a writer's memory.
+    empty table writes files without documents.  A file holds one range of keys,
+    of about as many rows or text bytes as given; its segments bound a writer's
+    and a reader's memory, whatever the texts' lengths.
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
@@ -177,27 +203,33 @@ def write_tokens(
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = bpe_encoder(vocabulary, 800_000)
         end = np.array([end_id], np.uint16)
+        file, number = TaskContext.get().partitionId(), itertools.count()
         keys: list[int | None] = []
         ids: list[np.ndarray] = []
         size = 0
+
+        def segment() -> pa.RecordBatch:
+            some = [k for k in keys if k is not None] or [None]
+            row = (file, next(number), len(keys), sum(map(len, ids)), some[0], some[-1], pack_segment(keys, ids))
+            kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary()]
+            return pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in SEGMENTS.split(", ")])
+
         for batch in small_batches(batches, "t", 4 << 20):
             keys += batch.column(0).to_pylist()
             for got in encode([t or "" for t in batch.column(1).to_pylist()]):
                 ids.append(np.concatenate([got, end]))
                 size += len(got) + 1
             if size >= SEGMENT_IDS:
-                yield pa.record_batch([pa.array([pack_segment(keys, ids)], pa.binary())], names=["blob"])
+                yield segment()
                 keys, ids, size = [], [], 0
         if keys:
-            yield pa.record_batch([pa.array([pack_segment(keys, ids)], pa.binary())], names=["blob"])
+            yield segment()
 
     picked = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    files = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // rows_per_file))
+    rows, size = picked.agg(F.count("*"), F.sum(F.octet_length("t"))).first()
+    files = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_file), -(-(size or 0) // bytes_per_file))
     dealt = picked.repartitionByRange(files, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first())
-    # The text writer copies a string's bytes as they are and adds a line feed,
-    # the last byte of a segment.
-    blobs = dealt.mapInArrow(scan, "blob binary")
-    blobs.select(F.expr("substring(blob, 1, length(blob) - 1)").cast("string").alias("value")).write.text(path)
+    dealt.mapInArrow(scan, SEGMENTS).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_tokens(
@@ -205,31 +237,49 @@ def read_tokens(
 ) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in a folder of files.
 
-    The files are read once: documents come out with their place in their file,
-    and the ids of all earlier files are added then.  The totals that takes are
-    one row a file, as many as the driver lists anyway.
+    Where a segment starts comes from the counts beside it: files are summed,
+    and segments within their file, so no window holds more than a file's
+    segments or one row a file.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    stored = spark.read.schema(SEGMENTS).parquet(path)
+    counts = stored.select("file", "number", "ids")
+    totals = counts.groupBy("file").agg(F.sum("ids").alias("n"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = totals.select(F.col("file").alias("_f"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("file").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("_before", F.coalesce(F.sum("ids").over(inside), F.lit(0))).join(files, F.col("file") == F.col("_f"))
+    placed = placed.select(F.col("file").alias("_f"), F.col("number").alias("_s"), (F.col("_base") + F.col("_before")).alias("base"))
+    # One row a segment of some megabytes, a few bytes each: sent to all if that is little.
+    if placed.count() <= BROADCAST_SEGMENTS:
+        placed = F.broadcast(placed)
+    whole = stored.join(placed, (F.col("file") == F.col("_f")) & (F.col("number") == F.col("_s"))).select("base", "segment")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                at = 0
-                for segment in segments(content.as_buffer()):
-                    rows = [(k, at + a, len(ids), digest(ids)) for k, a, ids in segment.documents()]
-                    at += segment.total
-                    columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                    file = pa.array([name.rsplit("/", 1)[-1]] * len(rows)).dictionary_encode().cast(pa.string())
-                    yield pa.record_batch([file, *columns], names=["file", "doc_id", "start", "n_tokens", "ids_crc32"])
-
-    rows = files.mapInArrow(decode, "file string, doc_id long, start long, n_tokens long, ids_crc32 long")
-    rows = cut(rows, "decoded")
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(F.col("file").alias("_f"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return rows.join(bases, F.col("file") == F.col("_f")).select(
-        "doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32"
-    )
+            for base, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = [(k, base + a, len(ids), digest(ids)) for k, a, ids in Segment(memoryview(content.as_buffer())).documents()]
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return whole.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def read_documents(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
+    """(doc_id, token_ids) of the documents with these keys: only segments whose range holds one are read, only through select."""
+    wanted = sorted(set(keys))
+    held = None
+    for k in wanted:
+        inside = F.col("low").isNotNull() & (F.col("low") <= k) & (F.col("high") >= k)
+        held = inside if held is None else held | inside
+    stored = spark.read.schema(SEGMENTS).parquet(path).filter(F.lit(False) if held is None else held).select("segment")
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                segment = Segment(memoryview(content.as_buffer()))
+                rows = [segment.document(i) for k in wanted for i in segment.find(k)]
+                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2].tolist() for r in rows], pa.list_(pa.int32()))], names=["doc_id", "token_ids"])
+
+    return stored.mapInArrow(pick, "doc_id long, token_ids array<int>")
 
 
 def token_store(docs: DataFrame, vocabulary: str, path: str | None = None, end_id: int = 0) -> DataFrame:

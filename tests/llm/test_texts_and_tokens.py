@@ -58,7 +58,7 @@ def test_hashes_do_not_depend_on_blocks(monkeypatch):
 def test_elias_fano_round_trip(values):
     code = token_store.EliasFano.encode(np.array(values, np.uint64))
     back, _ = token_store.EliasFano.from_bytes(memoryview(code.to_bytes()), 0)
-    assert back.decode().tolist() == values
+    assert [x for b in range(len(back.samples)) for x in back.block(b).tolist()] == values
     assert [back.select(k) for k in range(0, len(values), 37)] == values[::37]
 
 
@@ -69,7 +69,9 @@ def test_elias_fano_is_small():
 
 def test_segments_give_single_documents():
     ids = [np.array(x, np.uint16) for x in ([5, 0], [0], [7] * 300 + [0])]
-    (segment,) = token_store.segments(token_store.pack_segment([None, -4, 9], ids))
+    segment = token_store.Segment(memoryview(token_store.pack_segment([None, -4, 9], ids)))
+    assert [(k, a, x.tolist()) for k, a, x in segment.documents()] == [(None, 0, [5, 0]), (-4, 2, [0]), (9, 3, ids[2].tolist())]
+    assert list(segment.find(9)) == [2] and list(segment.find(None)) == [0] and list(segment.find(4)) == []
     for k, key in enumerate((None, -4, 9)):
         name, start, got = segment.document(k)
         assert name == key and got.tolist() == ids[k].tolist() and start == sum(map(len, ids[:k]))
@@ -92,6 +94,21 @@ def test_token_files(spark, tmp_path):
     assert all(tuple(r[2:]) in want[r[0]] for r in rows)
     assert any(name.startswith("part-") for name in os.listdir(tmp_path / "out"))
     assert token_store.token_store(docs.limit(0), VOCABULARY).count() == 0
+    some = sorted((r["doc_id"], len(r["token_ids"])) for r in token_store.read_documents(spark, path, [2, 9, 77]).collect())
+    assert some == sorted((k, n) for k in (2, 9) for n, _ in want[k]) and token_store.read_documents(spark, path, []).count() == 0
+
+
+def test_many_segments_a_file(spark, tmp_path, monkeypatch):
+    """Texts longer than a segment, clashing column names and a broadcast that is too long."""
+    monkeypatch.setattr(token_store, "SEGMENT_IDS", 50)
+    rows = [(i, f"word{i} " * (i % 40), "x", 1, 2) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, segment string, file int, ids int").repartition(3)
+    for limit in (500_000, 1):
+        monkeypatch.setattr(token_store, "BROADCAST_SEGMENTS", limit)
+        got = sorted(map(tuple, token_store.token_store(docs, VOCABULARY, f"file://{tmp_path}/s{limit}").collect()))
+        ids = [[*reference().encode(t, add_special_tokens=False).ids, 0] for _, t, *_ in rows]
+        starts = np.cumsum([0, *map(len, ids)])[:-1].tolist()
+        assert got == [(i, a, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, (a, x) in enumerate(zip(starts, ids, strict=True))]
 
 
 def test_packing_covers_every_document(spark):
