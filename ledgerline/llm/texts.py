@@ -74,10 +74,9 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 _BLOCK = 1 << 20
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit polynomial hash of every word, and word offsets of documents."""
-    starts, ends, docs = word_spans(data, offsets)
-    out = np.empty(len(starts), np.uint64)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, also: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit polynomial hash of every span of bytes, and a sum of ``also``'s numbers of its bytes (0 without)."""
+    out, sums_of = np.empty(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
     low = 0
     while low < len(starts):
         base = starts[low]
@@ -88,8 +87,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         np.cumsum((data[base:stop].astype(np.uint64) + np.uint64(1)) * up[: stop - base], out=sums[1:])
         s, e = starts[low:high] - base, ends[low:high] - base
         out[low:high] = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        if also is not None:
+            np.cumsum(also[data[base:stop]], out=sums[1:])
+            sums_of[low:high] = sums[e] - sums[s]
         low = high
-    return out, docs
+    return out, sums_of
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit polynomial hash of every word, and word offsets of documents."""
+    starts, ends, docs = word_spans(data, offsets)
+    return span_hashes(data, starts, ends)[0], docs
 
 
 def crc32_of_ids(ids: np.ndarray) -> int:
@@ -97,12 +105,50 @@ def crc32_of_ids(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
 
 
-class _Numbers(dict):
-    """Numbers keys in the order in which they are first asked for."""
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
+class Remembered:
+    """Numbers of 64-bit keys in the order in which they came: open addressing, a whole array at once."""
+
+    def __init__(self):
+        self.keys = np.zeros(0, np.uint64)
+        self._grow(12)
+
+    def _grow(self, bits: int) -> None:
+        self.bits = bits
+        self.slots = np.full((1 << bits) + 256, -1, np.int32)
+        self._place(np.arange(len(self.keys)))
+
+    def _place(self, rows: np.ndarray) -> None:
+        at = (self.keys[rows] >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(rows):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = rows[free]  # of several for one slot, one stays
+            lost = self.slots[at] != rows
+            rows, at = rows[lost], at[lost] + 1
+            if len(at) and int(at.max()) >= len(self.slots):
+                self._grow(self.bits + 1)
+                return
+
+    def add(self, keys: np.ndarray) -> None:
+        """Distinct keys that are not there."""
+        first = len(self.keys)
+        self.keys = np.concatenate([self.keys, keys])
+        if 2 * len(self.keys) > 1 << self.bits:
+            self._grow(int(4 * len(self.keys)).bit_length())
+        else:
+            self._place(np.arange(first, len(self.keys)))
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The number of every key, or -1."""
+        at = (x >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = self.slots[at]
+        rows = np.flatnonzero((out >= 0) & (self.keys[np.maximum(out, 0)] != x)) if len(self.keys) else np.zeros(0, np.int64)
+        at = at[rows] + 1
+        while len(rows):
+            got = self.slots[at]
+            out[rows] = got
+            go = (got >= 0) & (self.keys[np.maximum(got, 0)] != x[rows])
+            rows, at = rows[go], at[go] + 1
+        return out
 
 
 class ChunkEncoder:
@@ -113,44 +159,50 @@ class ChunkEncoder:
     merges never cross pieces.  So a text whose white space is single spaces and
     line feeds has the ids of its chunks, where each chunk is a word with the
     one character before it; all other texts go to the library whole.  New
-    chunks are encoded as the lines of one text.  ``encode`` maps a list of
-    strings to lists of ids; ``limit`` bounds the chunks that are remembered
-    (about 200 bytes each).
+    chunks are encoded as the lines of one text.
+
+    Chunks are remembered by a 64-bit hash and told apart by a second one, so
+    two chunks would have to agree in 128 bits to be taken for each other; one
+    that agrees in the first alone is encoded anew each time.  ``encode`` maps a
+    list of strings to lists of ids; ``limit`` bounds the chunks that are
+    remembered (about 50 bytes each): beyond it all are forgotten.
     """
 
-    _odd = re.compile(r"\s\s|[^\S \n]|<\|")
-    #: What the pattern above finds, to look for in a whole batch at once.
-    _signs = ["  ", "\n\n", " \n", "\n ", "<|", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
+    # What may be white space, or no text for the chunks: bytes to look at closely.
+    _look = np.zeros(256, bool)
+    _look[[0x00, 0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+    _odd = re.compile(r"[^\S \n]|\0")
+    _second = np.random.default_rng(17).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+    _LINE = np.uint64(0x9D39247E33776D41)  # sets "\nword" apart from " word"
 
-    def __init__(self, encode, limit: int = 600_000):
+    def __init__(self, encode, limit: int = 2_000_000):
         self.encode, self.limit = encode, limit
         (self.feed,) = encode(["\n"])[0]
         self._clear()
 
     def _clear(self) -> None:
-        self.known = _Numbers()
-        self.sizes, self.flat = np.zeros(0, np.int32), np.zeros(0, np.uint16)
-        self.starts = np.zeros(0, np.int32)
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Chunks are "\\nword", or "word" for one after a space."""
-        kind = np.array([0 if len(c) < 2 and c in "\n" else 1 if c[0] == "\n" else 2 for c in chunks])
-        flat, sizes, order = [], [], []
+        """Two chunks are always known: a lone space and a lone line feed, which end texts."""
+        space = np.array(self.encode([" "])[0], np.uint16)
+        self.known = Remembered()
+        self.known.add(np.array([1, 2], np.uint64))
+        self.checks = np.zeros(2, np.uint64)
+        self.flat = np.concatenate([space, [self.feed]]).astype(np.uint16)
+        self.sizes, self.starts = np.array([len(space), 1], np.int32), np.array([0, len(space)], np.int32)
+
+    def _new_ids(self, words: list[str], line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, size and start of each) of words after a line feed (which is theirs) or a space."""
+        flat, sizes, order = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         # Some dozens of chunks a text: longer texts leave the encoder's caches.
-        for k, step in ((0, 1), (1, 50), (2, 50)):
-            rows = np.flatnonzero(kind == k)
-            if not len(rows):
-                continue
-            lines = [chunks[i] for i in rows]
-            parts = [lines[i : i + step] for i in range(0, len(lines), step)]
-            texts = ["".join(p) or " " for p in parts] if k < 2 else [" " + "\n ".join(p) for p in parts]
-            for part, got in zip(parts, self.encode(texts), strict=True):
+        for kind in (True, False):
+            rows = np.flatnonzero(line == kind)
+            lines = [words[i] for i in rows.tolist()]
+            parts = [lines[i : i + 50] for i in range(0, len(lines), 50)]
+            texts = ["\n" + "\n".join(p) if kind else " " + "\n ".join(p) for p in parts]
+            for part, got in zip(parts, self.encode(texts) if texts else [], strict=True):
                 ids = np.array(got, np.uint16)
                 feeds = ids == self.feed
                 at = np.flatnonzero(feeds)
-                if k == 0:
-                    size = np.array([len(ids)])
-                elif k == 1:
+                if kind:
                     size = np.diff(np.append(at, len(ids)))
                 else:
                     size, ids = np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1, ids[~feeds]
@@ -159,54 +211,101 @@ class ChunkEncoder:
                 flat.append(ids)
                 sizes.append(size)
             order.append(rows)
-        place = np.argsort(np.concatenate(order), kind="stable")
-        size = np.concatenate(sizes).astype(np.int32)
-        start = (np.cumsum(size) - size + len(self.flat)).astype(np.int32)
-        self.flat = np.concatenate([self.flat, *flat])
-        self.sizes = np.concatenate([self.sizes, size[place]])
-        self.starts = np.concatenate([self.starts, start[place]])
+        size, place = np.concatenate(sizes), np.argsort(np.concatenate(order), kind="stable")
+        return np.concatenate(flat), size[place], (np.cumsum(size) - size)[place]
+
+    def _numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, line: np.ndarray) -> np.ndarray:
+        """The number of every chunk; new ones are learnt, and get numbers after all known ones."""
+        keys, checks = span_hashes(data, starts, ends, self._second)
+        keys = np.where(line, mix64(keys ^ self._LINE), keys)
+        number = self.known.find(keys)
+        own = (number >= 0) & (self.checks[np.maximum(number, 0)] == checks)
+        missing = np.flatnonzero(~own)
+        if len(missing):
+            pairs = np.stack([keys[missing], checks[missing]], 1)
+            order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+            pairs = pairs[order]
+            fresh = np.ones(len(pairs), bool)
+            fresh[1:] = (pairs[1:] != pairs[:-1]).any(1)
+            first = missing[order[fresh]]
+            spans = zip(starts[first].tolist(), ends[first].tolist(), strict=True)
+            raw = data.tobytes()
+            flat, sizes, begin = self._new_ids([raw[a:b].decode("utf-8", "replace") for a, b in spans], line[first])
+            base = len(self.sizes)
+            number[missing[order]] = base + np.cumsum(fresh) - 1
+            self.starts = np.concatenate([self.starts, (begin + len(self.flat)).astype(np.int32)])
+            self.flat = np.concatenate([self.flat, flat])
+            self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
+            self.checks = np.concatenate([self.checks, checks[first]])
+            # A key that another chunk has already stays with that one; this one's row gets a key that nothing has.
+            mine = keys[first].copy()
+            taken = self.known.find(mine) >= 0
+            taken[1:] |= mine[1:] == mine[:-1]
+            mine[taken] = mix64(mine[taken] ^ checks[first][taken])
+            self.known.add(mine)
+        return number
+
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Numbers of the texts that the library must see whole."""
+        space = (data == 0x20) | (data == 0x0A)
+        pairs = np.flatnonzero(space[1:] & space[:-1]) + 1 if len(data) else np.zeros(0, np.int64)
+        marks = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C)) if len(data) else np.zeros(0, np.int64)
+        # A pair over the border of two texts is none.
+        pairs = pairs[offsets[np.searchsorted(offsets, pairs, "right") - 1] != pairs]
+        found = [np.searchsorted(offsets, np.concatenate([pairs, marks]), "right") - 1]
+        close = np.flatnonzero(self._look[data])
+        if len(close):
+            texts = np.unique(np.searchsorted(offsets, close, "right") - 1)
+            raw = data.tobytes()
+            found.append(np.array([i for i in texts.tolist() if self._odd.search(raw[offsets[i] : offsets[i + 1]].decode("utf-8", "replace"))], np.int64))
+        return np.unique(np.concatenate(found))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (unsigned 16-bit) of every text."""
         if not texts:
             return []
-        if len(self.known) > self.limit:
+        if len(self.sizes) > self.limit:
             self._clear()
-        joined = "\0".join(texts)
-        odd = []
-        if joined.count("\0") >= len(texts) or any(x in joined for x in self._signs):
-            odd = [i for i, t in enumerate(texts) if "\0" in t or self._odd.search(t)]
-        if odd:
-            whole = self.encode([texts[i] for i in odd])
-            texts = list(texts)
-            for i in odd:
-                texts[i] = ""
-            joined = "\0".join(texts)
-        lengths = np.fromiter((t.count(" ") + t.count("\n") + 1 for t in texts), np.int64, len(texts))
-        chunks = ("\n" + joined.replace("\n", " \n").replace("\0", " \n")).split(" ")
-        before = len(self.known)
-        index = np.fromiter(map(self.known.__getitem__, chunks), np.int32, len(chunks))
-        if len(self.known) > before:
-            self._learn(list(itertools.islice(reversed(self.known), len(self.known) - before))[::-1])
-        sizes = self.sizes[index]
-        total = np.zeros(len(sizes) + 1, np.int32)
+        data, offsets = string_bytes(pa.array(texts, pa.large_string()))
+        odd = self._whole(data, offsets)
+        if len(odd):
+            out: list = [None] * len(texts)
+            for i, got in zip(odd.tolist(), self.encode([texts[i] for i in odd.tolist()]), strict=True):
+                out[i] = np.asarray(got, np.uint16)
+            rest = [i for i, done in enumerate(out) if done is None]
+            for i, got in zip(rest, self([texts[i] for i in rest]), strict=True):
+                out[i] = got
+            return out
+        starts, ends, at = word_spans(data, offsets)
+        begins = np.zeros(len(starts), bool)  # words that begin their text
+        heads = at[:-1][np.diff(at) > 0]
+        begins[heads] = starts[heads] == offsets[:-1][np.diff(at) > 0]
+        line = begins | (data[np.maximum(starts - 1, 0)] == 0x0A)
+        number = self._numbers(data, starts, ends, line)
+        sizes, first = self.sizes[number], self.starts[number]
+        # A text's first word was given a line feed, which goes again.
+        sizes, first = sizes - begins, first + begins
+        last = np.zeros(len(texts), np.uint8)
+        some = np.diff(offsets) > 0
+        last[some] = data[offsets[1:][some] - 1]
+        tails = np.flatnonzero((last == 0x20) | (last == 0x0A))
+        if len(tails):
+            lone = (last[tails] == 0x0A).astype(np.int64)
+            sizes, first = np.insert(sizes, at[1:][tails], self.sizes[lone]), np.insert(first, at[1:][tails], self.starts[lone])
+            more = np.zeros(len(texts) + 1, np.int64)
+            more[tails + 1] = 1
+            at = at + np.cumsum(more)
+        total = np.zeros(len(sizes) + 1, np.int64)
         np.cumsum(sizes, out=total[1:])
-        where = np.repeat(self.starts[index] - total[:-1], sizes)
-        where += np.arange(total[-1], dtype=np.int32)
+        where = np.repeat(first - total[:-1], sizes) + np.arange(total[-1])
         ids = self.flat[where]
-        cuts = total[np.concatenate([[0], np.cumsum(lengths)])]
-        # Every text's first chunk was given a line feed, which goes again.
-        out = [ids[a + 1 : b] for a, b in itertools.pairwise(cuts)]
-        if odd:
-            for i, got in zip(odd, whole, strict=True):
-                out[i] = np.asarray(got, np.uint16)
-        return out
+        return [ids[a:b] for a, b in itertools.pairwise(total[at].tolist())]
 
 
 _encoders: dict[tuple[str, str], ChunkEncoder] = {}
 
 
-def bpe_encoder(path: str, limit: int = 600_000) -> ChunkEncoder:
+def bpe_encoder(path: str, limit: int = 2_000_000) -> ChunkEncoder:
     """One encoder a process for a ``tokenizers`` vocabulary file.
 
     Strings of special tokens within a text are ordinary text.
