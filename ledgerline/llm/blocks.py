@@ -20,6 +20,9 @@ from ledgerline.llm.texts import group_starts, whole_groups
 from ledgerline.operators.graph import connected_components
 from ledgerline.session import cut
 
+#: A list of up to so many large components (16 bytes each) is sent to every executor.
+BROADCAST_COMPONENTS = 500_000
+
 #: links(left, right) of two lists of payloads: a boolean matrix.
 Links = Callable[[list[bytes], list[bytes]], np.ndarray]
 
@@ -54,16 +57,24 @@ def _compare(group: pa.Table, links: Links) -> tuple[np.ndarray, np.ndarray, np.
     return nodes, matrix @ weight, nodes[_roots(matrix)]
 
 
-def linked(members: DataFrame, links: Links, block: int, known: int | None = None) -> tuple[DataFrame, DataFrame]:
+def linked(members: DataFrame, links: Links, block: int) -> tuple[DataFrame, DataFrame]:
     """Links and true components of ``(component, node, weight, payload)`` rows.
 
     Returns ``(node, n)``, the summed weights of the nodes that each is linked
     with, and ``(id, component)`` of those linked with any, by smallest node.  A
     node may come twice with equal payloads.  Rows never leave as pairs.
+
+    A component of n nodes has n / block blocks, and its members are sent to as
+    many pairs of blocks: that is the blocked product that counting all links of
+    n different members takes.  Only components of several blocks are named to
+    all tasks, by a list of at most nodes / block rows, so no join is dealt by
+    component.
     """
-    sizes = members.groupBy("component").agg(F.ceil(F.approx_count_distinct("node") / block).cast("int").alias("blocks"))
-    sizes = sizes.withColumnRenamed("component", "_c")
-    dealt = members.join(sizes, F.col("component") == F.col("_c")).drop("_c")
+    sizes = members.groupBy(F.col("component").alias("_c")).agg(F.ceil(F.approx_count_distinct("node") / block).cast("int").alias("blocks"))
+    sizes = cut(sizes.filter("blocks > 1"), "large")
+    if sizes.count() <= BROADCAST_COMPONENTS:
+        sizes = F.broadcast(sizes)
+    dealt = members.join(sizes, F.col("component") == F.col("_c"), "left").drop("_c").fillna(1, ["blocks"])
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(

@@ -1,10 +1,13 @@
 """N-gram Jaccard join by MinHash banding, verified on full n-gram sets.
 
 Bands and rows are chosen for a target recall at the threshold.  Texts with
-equal n-gram sets are one node; nodes that share a band's hash become the star
+equal n-gram sets are one node, by 128 bits of two independent hashes of the set
+(under 64 bits of which nodes are named; rows that agree in the first hash alone
+are told apart).  Nodes that share a band's hash become the star
 of that bucket's smallest node, never all its pairs.  The stars' components are
 candidates, and every pair of nodes within one is verified on the nodes' whole
-n-gram sets, in blocks (see ``blocks``).
+n-gram sets, in blocks (see ``blocks``).  A node's set is read again from the row
+with its smallest key, or, where no row has a key, from any of its rows.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ledgerline.llm.blocks import linked
 from ledgerline.llm.texts import mix64, small_batches, string_bytes, word_hashes
@@ -94,12 +97,18 @@ def band_hashes(grams: np.ndarray, cuts: np.ndarray, bands: int, rows: int, seed
     return out
 
 
-def _sets(grams: np.ndarray, cuts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Each text's distinct n-grams, sorted, and a hash of that set."""
+def _sets(grams: np.ndarray, cuts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Each text's distinct n-grams, sorted, and two hashes of that set."""
     sets = [np.unique(grams[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-    with np.errstate(over="ignore"):
-        keys = np.array([mix64(mix64(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0] if len(s) else 0 for s in sets], np.uint64)
-    return sets, keys
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    some = sizes > 0
+    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+    starts = (np.cumsum(sizes) - sizes)[some]
+    out = np.zeros((2, len(sets)), np.uint64)
+    for k, salt in enumerate((0, 0xA24BAED4963EE407)):
+        if len(starts):
+            out[k, some] = mix64(np.add.reduceat(mix64(flat ^ np.uint64(salt)), starts) + sizes[some].astype(np.uint64))
+    return sets, out[0], out[1]
 
 
 def jaccard_links(threshold: float):
@@ -146,8 +155,9 @@ def similarity_classes(
     recall: float = RECALL,
     block: int = BLOCK,
     broadcast_rows: int = BROADCAST_ROWS,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per row of ``docs``: key, class_id, n_links and kept.
+    """One row per row of ``docs``: key, class_id, n_links and kept, with the columns to ``carry``.
 
     Two rows are linked if their sets of word n-grams have a Jaccard similarity
     of ``threshold`` or more; ``n_links`` counts the rows that a row is linked
@@ -155,54 +165,82 @@ def similarity_classes(
     included.  One row of each class is kept: the one with that key, and one of
     them if several have it.  Texts of fewer than ``n`` words are one n-gram; a
     text without words (null too) is linked with nothing, its class is itself
-    and it is kept.  A row with a null key joins the class of its n-gram set, but
-    comes last: a class of null keys alone has class_id null, one of its rows is
-    kept and it links with no other set.  Other columns are ignored; an empty
-    table gives an empty result.
+    and it is kept.  Rows with a null key are linked like all others, but come
+    last: a class of null keys alone has class_id null and one of its rows is
+    kept.  Other columns are ignored, whatever their names; an empty table gives
+    an empty result.
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     bands, rows = choose_bands(threshold, recall, HASHES)
     picked = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
+    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"), *carry)
+    signature = T.StructType().add("id", "long").add("node", "long").add("check", "long").add("bands", T.ArrayType(T.LongType()))
+    for name in carry:
+        signature = signature.add(source.schema[name])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "t"):
             grams, cuts = ngrams(*string_bytes(batch.column(1)), n)
-            _, keys = _sets(grams, cuts)
+            _, keys, others = _sets(grams, cuts)
             empty = np.diff(cuts) == 0
             hashes = band_hashes(grams, cuts, bands, rows).view(np.int64)
             ends = np.zeros(len(keys) + 1, np.int32)
             np.cumsum(~empty * bands, out=ends[1:])
             yield pa.record_batch(
-                [batch.column(0), pa.array(keys.view(np.int64), mask=empty), pa.ListArray.from_arrays(ends, pa.array(hashes.ravel()))],
-                names=["id", "node", "bands"],
+                [batch.column(0), pa.array(keys.view(np.int64), mask=empty), pa.array(others.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(hashes.ravel())), *batch.columns[2:]],
+                names=["id", "node", "check", "bands", *carry],
             )
 
-    signed = cut(picked.mapInArrow(sign, "id long, node long, bands array<long>"), "signed")
-    classes = signed.filter("node is not null").groupBy("node").agg(
-        F.min("id").alias("low"), F.count("*").alias("size"), F.first("bands").alias("bands")
-    )
-    classes = cut(classes, "classes")
+    signed = cut(source.mapInArrow(sign, signature), "signed")
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.filter("node is not null").groupBy("node").agg(
+            F.min("id").alias("low"), F.count("*").alias("size"), F.first("bands").alias("bands"), F.min("check").alias("check"), F.max("check").alias("_last")
+        )
+
+    classes = cut(grouped(signed), "classes")
+    if not (split := classes.filter("check <> _last").select(F.col("node").alias("_s"))).isEmpty():
+        # Different sets under one hash: these rows are named by both hashes.
+        named = signed.join(split, F.col("node") == F.col("_s"), "left")
+        signed = cut(named.withColumn("node", F.when(F.col("_s").isNull(), F.col("node")).otherwise(F.xxhash64("node", "check"))).drop("_s"), "signed")
+        classes = cut(grouped(signed), "classes")
     # A bucket's star: each node with the bucket's smallest.
     buckets = classes.select("node", F.explode("bands").alias("band"))
     stars = buckets.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot <> last")
     edges = buckets.join(stars.select(F.col("band").alias("_b"), "pivot"), F.col("band") == F.col("_b")).select("node", "pivot")
     candidates = connected_components(edges, "node", "pivot")
 
-    chosen = classes.select("node", "low", "size").join(candidates, F.col("node") == F.col("id")).drop("id").filter("low is not null")
+    chosen = classes.select("node", "low", "size", "check").join(candidates, F.col("node") == F.col("id")).drop("id")
     chosen = cut(chosen, "candidates")
-    side = F.broadcast(chosen) if chosen.count() <= broadcast_rows else chosen
-    read = picked.join(side, F.col("id") == F.col("low")).select("component", "node", "size", "t")
+
+    def sent(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if rows.count() <= broadcast_rows else rows
+
+    keyed = chosen.filter("low is not null")
+    read = picked.join(sent(keyed), F.col("id") == F.col("low")).select("component", "node", "size", "check", "t")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "t"):
-            sets, keys = _sets(*ngrams(*string_bytes(batch.column(3)), n))
+            sets, _, others = _sets(*ngrams(*string_bytes(batch.column(4)), n))
             # A key that occurs twice may bring another row's text.
-            same = keys.view(np.int64) == batch.column(1).to_numpy()
+            same = others.view(np.int64) == batch.column(3).to_numpy()
             payload = pa.array([s.tobytes() for s in sets], pa.large_binary())
             yield pa.record_batch([*batch.columns[:3], payload], names=["component", "node", "weight", "payload"]).filter(pa.array(same))
 
-    members = read.mapInArrow(collect, "component long, node long, weight long, payload binary")
+    schema = "component long, node long, weight long, payload binary"
+    members = read.mapInArrow(collect, schema)
+    unnamed = cut(chosen.filter("low is null"), "unnamed")
+    if not unnamed.isEmpty():  # sets that only rows without a key have
+
+        def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in small_batches(batches, "t"):
+                sets, _, others = _sets(*ngrams(*string_bytes(batch.column(0)), n))
+                yield pa.record_batch([pa.array(others.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.large_binary())], names=["_check", "payload"])
+
+        texts = picked.filter("id is null").select("t").mapInArrow(again, "_check long, payload binary")
+        met = texts.join(sent(unnamed), F.col("_check") == F.col("check")).dropDuplicates(["node"])
+        members = members.unionByName(met.select("component", "node", F.col("size").alias("weight"), "payload"))
     totals, components = linked(members, jaccard_links(threshold), block)
     named = (
         classes.select("node", "low", "size")
@@ -213,16 +251,17 @@ def similarity_classes(
     named = cut(named, "named")
     lowest = named.groupBy("component").agg(F.min("low").alias("class_id")).withColumnRenamed("component", "_c")
     named = named.join(lowest, F.col("component") == F.col("_c")).select(F.col("node").alias("_n"), "n_links", "class_id", "component")
-    whole = signed.select("id", "node").join(named, F.col("node") == F.col("_n"), "left")
+    whole = signed.select("id", "node", *carry).join(named, F.col("node") == F.col("_n"), "left")
     whole = whole.select(
         "id",
         F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         "component",
+        *carry,
     )
     first = F.col("component").isNotNull() & F.col("id").eqNullSafe(F.col("class_id"))
     # Usually one row a class, so the window below is over single rows.
     place = F.row_number().over(Window.partitionBy("component").orderBy(F.lit(0)))
     stays = whole.filter(first).withColumn("kept", place == 1)
     others = whole.filter(~first).withColumn("kept", F.col("component").isNull())
-    return stays.unionByName(others).select(F.col("id").alias(key), "class_id", "n_links", "kept")
+    return stays.unionByName(others).select(F.col("id").alias(key), "class_id", "n_links", "kept", *carry)
