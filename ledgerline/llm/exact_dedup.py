@@ -2,9 +2,9 @@
 
 Scan tasks fill bounded memtables with (digest, smallest id, rows) and flush
 each as sorted digest runs, one per digest range ("shard"), together with a
-Bloom filter.  Compaction merges the runs of a shard: a digest that no other
-run's filter may hold is unique and passes without a merge; the others are
-merged keeping the smallest identifier and the summed rows.  A memtable holds a
+Bloom filter.  Compaction merges the runs of a shard level by level, a few at a
+time: a digest that no other filter of its batch may hold passes without a merge;
+the others are merged keeping the smallest identifier and the summed rows.  A memtable holds a
 digest once, so a text that is copied millions of times reaches compaction as
 one entry per flush.  Hits (digests of two rows or more) then receive byte
 verification: members are compared with the text that stays, and the members of
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ledgerline.llm.texts import string_bytes
 from ledgerline.session import cut, task_count
@@ -31,6 +31,9 @@ SHARD_ROWS = 400_000
 HOT = 512
 #: A list of up to so many ids (8 bytes each) is sent to every executor.
 BROADCAST_IDS = 1_000_000
+#: Up to so many hot texts (50 bytes each) are sent to every executor; beyond, rows
+#: are dealt by text and one of so many salts.
+HOT_TEXTS, SALTS = 100_000, 16
 #: Arrow rows at once, so that a batch of long texts fits in memory.
 BATCH_ROWS = 1000
 
@@ -51,21 +54,23 @@ def _normalised_column(column: pa.Array) -> list[bytes]:
     return [normalised(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", digest_bits: int = 256) -> DataFrame:
-    """(id, sha, digest) of every row; the digest is the SHA-256's first bits."""
+def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", digest_bits: int = 256, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, sha, digest) of every row, and the columns to carry; the digest is the SHA-256's first bits."""
     size = digest_bits // 8
+    picked = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"), *carry)
+    schema = T.StructType().add("id", "long").add("sha", "string").add("digest", "binary")
+    for name in carry:
+        schema = schema.add(picked.schema[name])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             full = [hashlib.sha256(t).digest() for t in _normalised_column(batch.column(1))]
             yield pa.record_batch(
-                [batch.column(0), pa.array([d.hex() for d in full]), pa.array([d[:size] for d in full], pa.binary())],
-                names=["id", "sha", "digest"],
+                [batch.column(0), pa.array([d.hex() for d in full]), pa.array([d[:size] for d in full], pa.binary()), *batch.columns[2:]],
+                names=["id", "sha", "digest", *carry],
             )
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(
-        scan, "id long, sha string, digest binary"
-    )
+    return picked.mapInArrow(scan, schema)
 
 
 def _lanes(blob: bytes | np.ndarray, n: int, size: int) -> np.ndarray:
@@ -160,44 +165,45 @@ def flush_runs(keyed: DataFrame, shards: int, memtable: int = MEMTABLE) -> DataF
     return keyed.select("id", "digest").mapInArrow(scan, _RUN)
 
 
+def _level(batch: list[tuple], last: bool) -> tuple:
+    """One run, and its filter unless it is the ``last``, of a batch of (columns, filter)."""
+    if len(batch) == 1:
+        return batch[0]
+    shared, rest = [], []
+    for i, (run, _) in enumerate(batch):
+        met = np.zeros(len(run[0]), bool)
+        for j, (_, other) in enumerate(batch):
+            if i != j and not met.all():
+                open_ = np.flatnonzero(~met)
+                met[open_] = may_hold(other, run[0][open_])
+        shared.append(tuple(x[met] for x in run))
+        rest.append(tuple(x[~met] for x in run))
+    merged = _merge(*(np.concatenate(x) for x in zip(*shared, strict=True)))
+    out = tuple(np.concatenate(x) for x in zip(merged, *rest, strict=True))
+    return out, None if last else bloom(out[0])
+
+
 def compact(runs: DataFrame, size: int, fan_in: int = 16) -> DataFrame:
     """Hits of the index: (digest, keep_id, group_size, ties), two rows or more.
 
     ``fan_in`` runs of a shard are merged at a time, the result is a run of the
-    next level.  Entries that no other run's filter may hold skip the merges.
+    next level, so work is in proportion to entries and levels, not to pairs of
+    runs.  Entries that no other filter of a batch may hold skip its merge.
     """
 
-    def level(parts: list) -> tuple:
-        return _merge(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-
-    def hits(parts: list) -> Iterator[tuple]:
-        while len(parts) > 1:
-            parts = [level(parts[i : i + fan_in]) for i in range(0, len(parts), fan_in)]
-        for lanes, low, rows, ties in parts:
-            more = np.flatnonzero(rows > 1)
-            wide = lanes[more].astype(">u8").tobytes()
-            yield from (
-                (wide[32 * i : 32 * i + size], None if low[j] == _NO_ID else int(low[j]), int(rows[j]), int(ties[j]))
-                for i, j in enumerate(more)
-            )
-
     def shard(rows: list[dict]) -> Iterator[tuple]:
-        runs = [
-            (
-                np.frombuffer(r["digests"], np.uint64).reshape(-1, 4),
-                *(np.frombuffer(r[k], np.int64) for k in ("low", "n", "ties")),
-            )
+        level = [
+            ((np.frombuffer(r["digests"], np.uint64).reshape(-1, 4), *(np.frombuffer(r[k], np.int64) for k in ("low", "n", "ties"))), r["filter"])
             for r in rows
         ]
-        rest = []
-        for i, run in enumerate(runs):
-            shared = run[2] > 1  # already a hit within its memtable
-            for j, other in enumerate(rows):
-                if i != j and not shared.all():
-                    open_ = np.flatnonzero(~shared)
-                    shared[open_] = may_hold(other["filter"], run[0][open_])
-            rest.append(tuple(x[shared] for x in run))
-        yield from hits(rest)
+        while len(level) > 1:
+            level = [_level(level[i : i + fan_in], len(level) <= fan_in) for i in range(0, len(level), fan_in)]
+        lanes, low, n, ties = level[0][0]
+        more = np.flatnonzero(n > 1)
+        wide = lanes[more].astype(">u8").tobytes()
+        yield from (
+            (wide[32 * i : 32 * i + size], None if low[j] == _NO_ID else int(low[j]), int(n[j]), int(ties[j])) for i, j in enumerate(more)
+        )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -234,8 +240,10 @@ def exact_dedup(
     digest_bits: int = 256,
     memtable: int = MEMTABLE,
     broadcast_ids: int = BROADCAST_IDS,
+    hot_texts: int = HOT_TEXTS,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per row of ``docs``: which row of its text stays.
+    """One row per row of ``docs``: which row of its text stays, with the columns to ``carry``.
 
     Returns key, keep_id, group_size, kept and text_sha256 (of the normalised
     text).  Null texts count as empty.  Of equal texts the smallest key stays;
@@ -247,7 +255,7 @@ def exact_dedup(
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    keyed = cut(digests(docs, key, text, digest_bits), "digests")
+    keyed = cut(digests(docs, key, text, digest_bits, carry), "digests")
     rows = keyed.count()
     shards = max(16, -(-rows // SHARD_ROWS))
     runs = cut(flush_runs(keyed, shards, memtable), "runs")
@@ -259,40 +267,42 @@ def exact_dedup(
     salts = F.when(hot, F.ceil(F.col("group_size") / HOT)).otherwise(1).cast("int")
     hot_rows = named.filter(hot)
     hot_count = hot_rows.count()
-    if hot_count and hot_count <= 10_000:
+    if hot_count <= hot_texts:
         marked = keyed.join(F.broadcast(hot_rows), F.col("digest") == F.col("_d"), "left").drop("_d")
         on_hot = marked.filter(F.col("group_size").isNotNull())
-        rest = marked.filter(F.col("group_size").isNull()).select("id", "sha", "digest")
+        rest = marked.filter(F.col("group_size").isNull()).select("id", "sha", "digest", *carry)
         rest = rest.join(named.filter(~hot), F.col("digest") == F.col("_d"), "left").drop("_d")
         joined = rest.unionByName(on_hot)
-    else:
-        joined = keyed.join(named, F.col("digest") == F.col("_d"), "left").drop("_d")
+    else:  # too many to send: every hit is there once a salt, and a row meets the one of its own
+        spread = named.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = keyed.withColumn("_salt", F.pmod(F.xxhash64("id", "sha", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+        joined = salted.join(spread, (F.col("digest") == F.col("_d")) & (F.col("_salt") == F.col("_s")), "left").drop("_d", "_s", "_salt")
     joined = cut(joined, "resolved")
     single = joined.filter(F.col("group_size").isNull()).select(
-        "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha"
+        "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", *carry
     )
     members = joined.filter(F.col("group_size").isNotNull())
-    bad = cut(_mismatches(docs, members, key, text, salts, broadcast_ids), "mismatches")
+    bad = cut(_mismatches(docs, members, key, text, salts, broadcast_ids, digest_bits // 8), "mismatches")
     if bad.isEmpty():
-        return _named(single.unionByName(_kept(members)), key)
+        return _named(single.unionByName(_kept(members, carry)), key, carry)
     # Digests that two texts share: their members are grouped by whole texts.
     wrong = bad.select("digest").distinct()
     good = members.join(wrong, "digest", "left_anti")
-    split = members.join(wrong, "digest", "left_semi").select("id", "sha")
+    split = members.join(wrong, "digest", "left_semi").select("id", "sha", *carry)
     groups = split.groupBy("sha").agg(
         F.min("id").alias("keep_id"), F.count("*").alias("group_size"), F.min(F.coalesce("id", F.lit(_NO_ID))).alias("_low")
     )
     split = split.join(groups, "sha")
     ties = split.groupBy("sha").agg(F.sum((F.coalesce("id", F.lit(_NO_ID)) == F.col("_low")).cast("long")).alias("ties"))
-    return _named(single.unionByName(_kept(good)).unionByName(_kept(split.drop("_low").join(ties, "sha"))), key)
+    return _named(single.unionByName(_kept(good, carry)).unionByName(_kept(split.drop("_low").join(ties, "sha"), carry)), key, carry)
 
 
-def _kept(members: DataFrame) -> DataFrame:
+def _kept(members: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     """Marks one row of each group; rows with the smallest key are numbered only where they tie."""
     at = F.col("id").eqNullSafe(F.col("keep_id"))
-    names = ["id", "keep_id", "group_size", "kept", "sha"]
+    names = ["id", "keep_id", "group_size", "kept", "sha", *carry]
     plain = members.filter(~at | (F.col("ties") == 1)).withColumn("kept", at).select(*names)
-    # Tied rows are equal in all columns: any one of them may stay.
+    # Tied rows are equal in id and text: any one of them may stay.
     tied = members.filter(at & (F.col("ties") > 1)).withColumn("_n", F.monotonically_increasing_id())
     tied = cut(tied, "tied")
     if tied.isEmpty():
@@ -302,12 +312,12 @@ def _kept(members: DataFrame) -> DataFrame:
     return plain.unionByName(tied.select(*names))
 
 
-def _named(rows: DataFrame, key: str) -> DataFrame:
-    return rows.select(F.col("id").alias(key), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
+def _named(rows: DataFrame, key: str, carry: tuple[str, ...]) -> DataFrame:
+    return rows.select(F.col("id").alias(key), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"), *carry)
 
 
 def _mismatches(
-    docs: DataFrame, members: DataFrame, key: str, text: str, salts, broadcast_ids: int
+    docs: DataFrame, members: DataFrame, key: str, text: str, salts, broadcast_ids: int, size: int
 ) -> DataFrame:
     """Members whose normalised bytes differ from those of the row that stays.
 
@@ -319,7 +329,8 @@ def _mismatches(
     ).distinct()
     wanted = ids.count()
     side = F.broadcast(ids) if wanted <= broadcast_ids // 8 else ids
-    read = docs.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(side, "_id")
+    source = docs.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    read = source.join(side, "_id")
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -334,7 +345,24 @@ def _mismatches(
     members_ = texts.filter(F.col("_id") != F.col("keep_id")).select(
         "_id", "digest", F.pmod("_id", "_salts").cast("int").alias("_salt"), "_bytes"
     )
-    stays = texts.filter(F.col("_id") == F.col("keep_id")).select(
+    stays = texts.filter(F.col("_id") == F.col("keep_id")).select("digest", "_salts", "_bytes")
+    bare = cut(members.filter(F.col("id").isNull()).select("digest", "keep_id", salts.alias("_salts")).distinct(), "bare")
+    if not bare.isEmpty():  # rows without an id are named by their digest, which is made again
+
+        def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = _normalised_column(batch.column(0))
+                marks = [hashlib.sha256(t).digest()[:size] for t in texts]
+                yield pa.record_batch([pa.array(marks, pa.binary()), pa.array(texts, pa.large_binary())], names=["digest", "_bytes"])
+
+        again = source.filter(F.col("_id").isNull()).select("_t").mapInArrow(digested, "digest binary, _bytes binary")
+        again = again.join(F.broadcast(bare) if bare.count() <= broadcast_ids // 8 else bare, "digest")
+        salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_salts")).cast("int").alias("_salt")
+        members_ = members_.unionByName(again.select(F.lit(None).cast("long").alias("_id"), "digest", salt, "_bytes"))
+        # Where no row has an id, the smallest text of the digest is what the others are compared with.
+        alone = again.filter(F.col("keep_id").isNull()).groupBy("digest").agg(F.max("_salts").alias("_salts"), F.min("_bytes").alias("_bytes"))
+        stays = stays.unionByName(alone)
+    stays = stays.select(
         F.col("digest").alias("_d"), F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_k"), F.col("_bytes").alias("_kept")
     ).dropDuplicates(["_d", "_k"])
     return (
