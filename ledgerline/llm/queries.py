@@ -142,16 +142,16 @@ g AS (
   SELECT f.*, a.tag AS atag, a.modified AS amodified, a.html AS body,
          CASE WHEN f.tag IS NOT NULL AND a.tag IS NOT NULL THEN f.tag = a.tag
               WHEN f.modified IS NOT NULL AND a.modified IS NOT NULL THEN f.modified = a.modified END AS same
-  FROM f JOIN c a ON a.page_id = f.found),
+  FROM f LEFT JOIN c a ON a.page_id = f.found),
 h AS (
-  SELECT *, CASE WHEN same IS NULL THEN 'unverified' WHEN same THEN 'resolved' ELSE 'mismatch' END AS resolution FROM g)
+  SELECT *, CASE WHEN found IS NULL THEN 'no response' WHEN same IS NULL THEN 'unverified' WHEN same THEN 'resolved' ELSE 'mismatch' END AS resolution, found IS NOT NULL AND coalesce(same, true) AS done FROM g)
 SELECT page_id * 2 AS record_id, u AS canonical_url, 'response' AS kind, NULL::BIGINT AS refers_to, 'full' AS resolution,
        200 AS status, page_id::VARCHAR AS date_header, 'text/html' AS type_header, sha256(html) AS payload_sha256 FROM c
 UNION ALL
-SELECT page_id * 2 + 1, u, 'revisit', CASE WHEN resolution <> 'mismatch' THEN found * 2 END, resolution,
-       CASE WHEN resolution <> 'mismatch' THEN 200 ELSE 304 END, (page_id + 1000)::VARCHAR,
-       CASE WHEN resolution <> 'mismatch' THEN 'text/html' ELSE 'text/plain' END,
-       CASE WHEN resolution <> 'mismatch' THEN sha256(body) END FROM h
+SELECT page_id * 2 + 1, u, 'revisit', CASE WHEN done THEN found * 2 END, resolution,
+       CASE WHEN done THEN 200 ELSE 304 END, (page_id + 1000)::VARCHAR,
+       CASE WHEN done THEN 'text/html' ELSE 'text/plain' END,
+       CASE WHEN done THEN sha256(body) END FROM h
 """,
     "op4_exact_dedup": f"""
 WITH t AS (SELECT doc_id, {_NORMAL} AS body FROM documents)

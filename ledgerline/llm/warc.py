@@ -103,7 +103,9 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         condition = condition & F.col(a).eqNullSafe(F.col(b))
     asked = whole.filter(is_revisit).join(facts, condition, "left").withColumn("resolution", F.coalesce("outcome", F.lit("no response")))
     asked = asked.withColumn("refers_to", F.when(F.col("resolution").isin("resolved", "unverified"), F.col("found_id")))
-    answers = records.filter(full).select(
+    # Only responses that a revisit refers to bring their payloads.
+    referred = asked.filter(F.col("refers_to").isNotNull()).select(F.col("refers_to").alias("_ref")).distinct()
+    answers = records.filter(full).join(referred, F.col("record_id") == F.col("_ref"), "left_semi").select(
         F.col("record_id").alias("_a"), F.col("status").alias("_status"), F.col("headers").alias("_headers"), F.col("payload").alias("_payload")
     ).dropDuplicates(["_a"])
     asked = asked.join(answers, F.col("refers_to") == F.col("_a"), "left")
