@@ -8,8 +8,9 @@ lengths), and goes to the bin with the best score among those where it fits
 under every constraint: the largest weighted dot product of demand and residual
 capacity, or the smallest norm of what would be left.
 
-Pieces are dealt to packing tasks by a hash of their document, so no task holds
-more than a bounded share; a task leaves a few bins partly empty at most.
+Pieces are dealt to packing tasks by their place in the written table, so that
+no task holds more than a bounded share, whatever ids repeat or are missing; a
+task leaves a few bins partly empty at most.
 """
 
 from __future__ import annotations
@@ -149,7 +150,7 @@ def best_fit(pieces: DataFrame, capacity: Capacity = Capacity(), task_pieces: in
 
     alone = kept.filter(F.col("length") >= capacity.tokens)
     alone = alone.withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1).withColumn("offset", F.lit(0).cast("long"))
-    task = F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(tasks)).cast("int")
+    task = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(tasks)).cast("int")
     dealt = kept.filter(F.col("length") < capacity.tokens).withColumn("_task", task).repartition(tasks, "_task")
     return alone.unionByName(dealt.mapInArrow(scan, schema))
 
