@@ -87,8 +87,9 @@ def mix(
     key: str = "doc_id",
     text: str = "text",
     source: str = "source",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """How often the mix takes each row of ``docs``.
+    """How often the mix takes each row of ``docs``, with the columns to ``carry``.
 
     Returns key, source, size (words of the text), source_size, target (of the
     row's source), repeats and taken (``size * repeats``), one row per row of
@@ -97,13 +98,15 @@ def mix(
     texts have size 0; a null source is a source of its own, the last; rows with
     equal keys are told apart by their size only, and rows equal in all of that
     (null keys too) follow in any order, which no total depends on.  Rows without
-    words are taken ``floor(target / words)`` times as well.  An empty table
+    words are taken ``floor(target / words)`` times as well.  Rows with a null key
+    are ordered by their text, so that they fall in all buckets.  An empty table
     gives an empty result; other columns are ignored.
     """
-    order = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("_key").cast("string")))
-    base = docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text "), F.coalesce(F.col(text), F.lit(""))))
+    order = F.md5(F.concat_ws("-", F.lit(str(seed)), name))
+    base = docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), order.alias("_order"), *carry)
     base = cut(
-        base.withColumn("_order", order).withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS)),
+        base.withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS)),
         "mix-sizes",
     )
     buckets = cut(base.groupBy("source", "_bucket").agg(F.sum("size").alias("words")), "mix-buckets")
@@ -146,17 +149,17 @@ def mix(
         "target",
         "repeats",
         (F.col("size") * F.col("repeats")).alias("taken"),
+        *carry,
     )
 
 
-def repeat_rows(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` with every row as often as ``mixed`` takes it; keys are unique.
+def repeat_rows(docs: DataFrame, mixed: DataFrame, on: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``docs`` with every row as often as ``mixed`` takes it; ``on`` names a row in both, null equals null.
 
-    Rows whose key is null cannot be matched and go.  Columns stay as they are.
+    Columns stay as they are.
     """
-    counts = mixed.filter("repeats > 0").select(F.col(key).alias("_key"), F.col("repeats").alias("_repeats"))
-    return (
-        docs.join(counts, docs[key] == F.col("_key"))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats"))))
-        .select(*[docs[c] for c in docs.columns])
-    )
+    counts = mixed.filter("repeats > 0").select(*[F.col(c).alias(f"_on_{c}") for c in on], F.col("repeats").alias("_repeats"))
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    return docs.join(counts, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(*docs.columns)
