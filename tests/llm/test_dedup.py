@@ -43,8 +43,26 @@ def test_exact(spark, bits, memtable):
 def test_exact_hot_groups(spark, monkeypatch):
     monkeypatch.setattr(e, "HOT", 10)
     rows = [(i, "hot" if i % 3 == 0 else f"t{i}") for i in range(400)]
-    for limit in (1_000_000, 8):
-        assert Counter(map(tuple, e.exact_dedup(frame(spark, rows), broadcast_ids=limit).collect())) == brute(rows)
+    for limit, hot in ((1_000_000, 100), (8, 100), (1_000_000, 0)):
+        assert Counter(map(tuple, e.exact_dedup(frame(spark, rows), broadcast_ids=limit, hot_texts=hot).collect())) == brute(rows)
+
+
+def test_exact_verifies_rows_without_ids(spark):
+    """Eight bits of a digest put many texts together; rows without an id are told apart as well."""
+    rows = [(None, f"text {i % 50}") for i in range(120)] + [(i, f"text {i}") for i in range(40, 60)] + [(None, None), (None, "")]
+    for bits in (8, 256):
+        assert Counter(map(tuple, e.exact_dedup(frame(spark, rows).repartition(3), digest_bits=bits).collect())) == brute(rows)
+
+
+def test_levels_of_many_runs(spark):
+    """More runs than merge at once: several levels."""
+    rows = [(i, f"text {i % 700}") for i in range(2000)]
+    keyed = e.digests(frame(spark, rows).repartition(4))
+    hits = e.compact(e.flush_runs(keyed, 2, memtable=40), 32, fan_in=3).collect()
+    want = {}
+    for i, t in rows:
+        want.setdefault(hashlib.sha256(t.encode()).digest(), []).append(i)
+    assert {bytes(h["digest"]): (h["keep_id"], h["group_size"], h["ties"]) for h in hits} == {d: (min(v), len(v), 1) for d, v in want.items() if len(v) > 1}
 
 
 def test_exact_empty(spark):
@@ -104,6 +122,28 @@ def test_near_odd_rows(spark):
     assert jaccard.similarity_classes(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_near_rows_without_keys_are_linked(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, base), (None, base + " tail"), (None, base + " tail"), (7, base + " end"), (None, "other " * 9), (None, " ".join(f"x{i}" for i in range(40))), (None, " ".join(f"x{i}" for i in range(41)))]
+    got = Counter(map(tuple, jaccard.similarity_classes(frame(spark, rows).repartition(3)).collect()))
+    assert got == Counter({(None, 7, 3, False): 3, (7, 7, 3, True): 1, (None, None, 0, True): 1, (None, None, 1, True): 1, (None, None, 1, False): 1})
+
+
+def test_sets_of_one_hash_are_told_apart(spark, monkeypatch):
+    real = jaccard._sets
+    monkeypatch.setattr(jaccard, "_sets", lambda *a: (lambda s, k, c: (s, k % np.uint64(3), c))(*real(*a)))
+    jaccard_rows = near_rows()
+    source = frame(spark, jaccard_rows)
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.similarity_classes(source).collect()} == near(jaccard_rows)
+
+
+def test_near_long_texts_and_clashing_names(spark):
+    long = " ".join(f"l{i}" for i in range(30_000))
+    rows = [(1, long, 1, 2, 3), (2, long + " more", 1, 2, 3), (3, "short", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node int, bands int, component int")
+    assert sorted(map(tuple, jaccard.similarity_classes(docs).collect())) == [(1, 1, 1, True), (2, 1, 1, False), (3, 3, 0, True)]
+
+
 def test_bands():
     bands, rows = jaccard.choose_bands(0.8, 0.999, 160)
     assert bands * rows <= 160 and 1 - (1 - 0.8**rows) ** bands >= 0.999

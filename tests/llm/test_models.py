@@ -71,7 +71,7 @@ def test_mix(spark):
 def test_repeats(spark):
     docs = spark.createDataFrame([(1, "a b", "s"), (2, "c", "s"), (None, "d", "s")], "doc_id long, text string, source string")
     counts = spark.createDataFrame([(1, 2), (2, 0), (None, 1)], "doc_id long, repeats int")
-    assert [tuple(r) for r in mixing.repeat_rows(docs, counts).collect()] == [(1, "a b", "s")] * 2
+    assert Counter(map(tuple, mixing.repeat_rows(docs, counts).collect())) == Counter({(1, "a b", "s"): 2, (None, "d", "s"): 1})
 
 
 # --------------------------------------------------------------------- warc
@@ -103,6 +103,33 @@ def test_revisits(spark):
     assert warc.resolve_revisits(records(spark, rows).limit(0)).count() == 0
 
 
+def test_revisits_at_one_time_and_twice(spark):
+    """At one time records are in order of their ids; equal rows are resolved each."""
+    def row(i, at, kind):
+        return (i, "http://a.org/", at, kind, 200 if kind == "response" else 304, None, None, None, f"p{i}" if kind == "response" else None)
+
+    rows = [row(2, 5, "response"), row(1, 5, "revisit"), row(3, 5, "revisit"), row(4, 5, "response"), row(5, 5, "revisit"), row(5, 5, "revisit"), row(None, 9, "revisit"), row(4, 5, "response")]
+    got = Counter((r["record_id"], r["kind"], r["refers_to"], r["payload"]) for r in warc.resolve_revisits(records(spark, rows)).collect())
+    assert got == Counter([
+        (2, "response", None, "p2"), (4, "response", None, "p4"), (4, "response", None, "p4"), (1, "revisit", None, None), (3, "revisit", 2, "p2"),
+        (5, "revisit", 4, "p4"), (5, "revisit", 4, "p4"), (None, "revisit", 4, "p4"),
+    ])
+
+
+def test_revisits_and_their_sql_on_pages_without_urls(spark, tmp_path):
+    import duckdb
+
+    from ledgerline.llm import queries
+
+    pages = [(1, "http://a.org/x", "one"), (2, None, "two"), (3, "https://www.a.org/x/?utm_a=1", "three"), (1500, "a.org/x", "four")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    rows = queries.op6_warc_revisits(spark, str(tmp_path))
+    columns = sorted(rows.columns)
+    want = duckdb.sql(queries.ORACLE_SQL["op6_warc_revisits"].replace("FROM pages)", f"FROM '{tmp_path}/pages.parquet/*.parquet')"))
+    at = [want.columns.index(c) for c in columns]
+    assert Counter(tuple(r[c] for c in columns) for r in rows.collect()) == Counter(tuple(r[i] for i in at) for r in want.fetchall())
+
+
 def test_hot_url_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(warc, "ROWS_PER_BLOCK", 7)
     rows = [(i, "http://hot.org/", i, "response" if i % 17 == 3 else "revisit", 200 if i % 17 == 3 else 304, None, None, None, str(i)) for i in range(120)]
@@ -310,9 +337,39 @@ def test_languages(spark):
     assert language_id.detect_languages(docs.limit(0)).count() == 0
 
 
-def test_every_byte_is_in_one_window():
-    import pyarrow as pa
+def plain_language(net, text):
+    """Mean probabilities of a text's bytes, window by window, one byte and one unit at a time."""
+    raw, n = text.encode(), net.hidden
+    total = np.zeros(len(net.p["b"]))
+    for low in range(0, len(raw), language_id.WINDOW):
+        part = raw[low : low + language_id.WINDOW]
+        logits = np.tile(net.p["b"].astype(float), (len(part), 1))
+        for d, order in (("f", range(len(part))), ("b", range(len(part) - 1, -1, -1))):
+            h = np.zeros(n)
+            for t in order:
+                gates = 1 / (1 + np.exp(-(net.p[f"{d}g"][part[t]] + h @ net.p[f"{d}ug"])))
+                new = np.tanh(net.p[f"{d}n"][part[t]] + gates[n:] * (h @ net.p[f"{d}un"]))
+                h = gates[:n] * h + (1 - gates[:n]) * new
+                logits[t] += h @ net.p[f"{d}w"]
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        total += (p / p.sum(1, keepdims=True)).sum(0)
+    return total / max(1, len(raw))
+
+
+def test_languages_against_brute_force(spark, monkeypatch):
+    """The query's scores are those of its network, read byte by byte."""
+    nets = []
+    fit = language_id.Network.fit
+    monkeypatch.setattr(language_id.Network, "fit", lambda net, *a: (nets.append(net), fit(net, *a))[1])
+    rows = [(i, ["aba bab abba", "okö kök koko"][i % 2] * (1 + i % 30), ["xx", "yy"][i % 2]) for i in range(40)] + [(99, "é" * 300, None)]
+    got = {r["doc_id"]: r for r in language_id.detect_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), steps=5).collect()}
+    (net,) = nets
+    for key, text, _ in rows:
+        want = plain_language(net, text)
+        assert got[key]["lang_pred"] == ["xx", "yy"][int(want.argmax())] and got[key]["score"] == pytest.approx(want.max(), abs=1e-4)
+
 
+def test_every_byte_is_in_one_window():
     data, offsets = string_bytes(pa.array(["", "a" * 5, None, "b" * 12]))
     x, sizes, owner = language_id.cut_windows(data, offsets, 4)
     assert owner.tolist() == [1, 1, 3, 3, 3] and sizes.tolist() == [4, 1, 4, 4, 4] and (x != 256).sum() == 17
@@ -340,6 +397,36 @@ def test_quality(spark):
     assert quality.score_quality(docs.limit(0), marks).count() == 0
 
 
+def test_quality_against_one_solve(spark):
+    """Partition sums, folds and calibration give what one solve over all rows gives."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join("".join(rng.choice(list("abcDEF1!"), int(rng.integers(2, 9)))) for _ in range(int(rng.integers(1, 60))))) for i in range(300)]
+    marks = [(i, int(rng.random() < 0.3 + 0.4 * (len(t) > 120))) for i, t in rows if i % 7]
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame(marks, "doc_id long, quality int")).collect()}
+    x = quality.statistics(*string_bytes(pa.array([t for _, t in rows]))).astype(float)
+    fit = [(i, q) for i, q in marks if fold(i, 4) not in (2, 3)]
+    at, y = [i for i, _ in fit], np.array([q for _, q in fit], float)
+    mean, scale = x[at].mean(0), np.sqrt(np.maximum((x[at] ** 2).mean(0) - x[at].mean(0) ** 2, 0)) + 1e-3
+    w, b = quality._projection(quality.STATISTICS, quality.FEATURES, quality.BANDWIDTH, 7)
+    z = np.concatenate([np.cos((x - mean) / scale @ w + b) * np.sqrt(2 / quality.FEATURES), np.ones((len(x), 1))], 1)
+    ridge = quality.RIDGE * len(at) * np.eye(z.shape[1]) / z.shape[1]
+    ridge[-1, -1] = 0
+    raw = z @ np.linalg.solve(z[at].T @ z[at] + ridge, z[at].T @ y)
+    held = sorted((round(raw[i] * 1000) / 1000, q) for i, q in marks if fold(i, 4) == 3)
+    places = sorted({p for p, _ in held})
+    pools = [[p * sum(q == p for q, _ in held), sum(k for q, k in held if q == p), sum(q == p for q, _ in held)] for p in places]
+    i = 0
+    while i + 1 < len(pools):  # a pool that isn't below the next joins it
+        if pools[i][1] / pools[i][2] >= pools[i + 1][1] / pools[i + 1][2]:
+            pools[i : i + 2] = [[a + c for a, c in zip(pools[i], pools[i + 1], strict=True)]]
+            i = max(0, i - 1)
+        else:
+            i += 1
+    want = np.interp(raw, [p[0] / p[2] for p in pools], [p[1] / p[2] for p in pools])
+    assert max(abs(got[i] - want[i]) for i, _ in rows) < 0.02
+    assert np.mean([abs(got[i] - want[i]) < 1e-6 for i, _ in rows]) > 0.95
+
+
 def test_isotonic_is_the_best_monotone_fit():
     at, value = quality.isotonic(np.array([0.3, 0.1, 0.2, 0.4]), np.array([1, 1, 1, 1]), np.array([0, 0, 1, 1]))
     assert value.tolist() == [0.0, 0.5, 1.0] and at.tolist() == pytest.approx([0.1, 0.25, 0.4])

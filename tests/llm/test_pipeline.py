@@ -42,3 +42,39 @@ def test_stages_against_plain_versions(spark, tmp_path):
     assert {(r["sequence_id"], r["offset"]) for r in pieces}.__len__() == len(pieces)
     assert Counter(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == repeats
     assert packing.Capacity().tokens == 2048
+
+
+def stages(spark, tmp_path, rows, labels=()):
+    folder = f"{tmp_path}/in"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs, out = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, folder).write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+        out.append(docs)
+    return out
+
+
+def test_rows_without_ids_and_repeated_ids_are_judged_each(spark, tmp_path):
+    def words(k, n=40):
+        return " ".join(f"w{k}_{i}" for i in range(n))
+
+    rows = [(3, words(0), "a"), (5, words(0), "a"), (5, words(1), "a"), (5, words(2), "a"), (None, words(3), "b"), (None, words(3), "b"), (None, words(4), None), (6, words(4) + " tail", "b"), (7, None, "b"), (None, "", "b")]
+    found = stages(spark, tmp_path, [(i, t, None, s, None) for i, t, s in rows])
+    kept = [Counter((r["doc_id"], r["text"]) for r in f.collect()) for f in found[:3]]
+    assert kept[0] == Counter((i, t) for i, t, _ in rows)  # without labels nothing is rejected
+    one = Counter({(3, words(0)): 1, (5, words(1)): 1, (5, words(2)): 1, (None, words(3)): 1, (None, words(4)): 1, (6, words(4) + " tail"): 1, (7, None): 1})
+    assert kept[1] == one
+    assert kept[2] == one - Counter({(None, words(4)): 1})
+    taken = Counter((r["doc_id"], r["text"]) for r in found[3].collect())
+    assert set(taken) <= set(kept[2]) and max(taken.values()) <= 2 and (None, words(3)) in taken
+    assert Counter(r["doc_id"] for r in found[4].collect()) == sum((Counter({i: n}) for (i, _), n in taken.items()), Counter())
+
+
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    assert [f.count() for f in stages(spark, tmp_path, [])] == [0] * 5
+    docs = spark.createDataFrame([(1, "a b c d e f", "en", "s", 1, 2), (2, "a b c d e f", "en", "s", 1, 2)], "doc_id long, text string, lang string, source string, node long, bands long")
+    for stage in (corpus_pipeline.exact_copies, corpus_pipeline.near_copies):
+        assert [tuple(r) for r in stage(spark, docs, "").collect()] == [(1, "a b c d e f", "en", "s", 1, 2)]
+    assert corpus_pipeline.mixture(spark, docs, "").columns == docs.columns
