@@ -59,10 +59,11 @@ def joined(declarations: DataFrame, members: DataFrame, entries: DataFrame, cano
 def positions(rows: DataFrame, order: list[Column]) -> DataFrame:
     """``rows`` with their position in a total order, from 1, without one task that has them all.
 
-    Rows are dealt to ranges of the order and written; a window numbers each
-    range, and the sizes of the ranges before it (a row a range) are added.
+    Rows are written, so that what bounds the ranges is not computed twice, dealt
+    to ranges of the order and written again; a window numbers each range, and the
+    sizes of the ranges before it (a row a range) are added.
     """
-    dealt = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    dealt = cut(cut(rows, "unplaced").repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = F.broadcast(sizes.select(F.col("_range").alias("_r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start")))

@@ -357,18 +357,56 @@ def _names(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_partkey") % 100).alias("group_id"), F.lit(True).alias("is_canonical"))
 
 
-@query()
+def _similarity_sql(terms: list[str]) -> str:
+    """s(term, name, sim): trigram word similarity of every distinct name, by all runs of its trigrams."""
+    values = ", ".join(f"('{t}')" for t in terms)
+    trigrams = "flatten(list_transform(string_split({0}, ' '), lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))"
+    return f"""n AS (SELECT DISTINCT p_name AS name FROM part), q AS (SELECT term, list_distinct({trigrams.format("term")}) AS own FROM (VALUES {values}) v(term)),
+t AS (SELECT name, {trigrams.format("lower(name)")} AS line FROM n),
+r AS (SELECT q.term, t.name, len(own) AS size, list_distinct(line[i:j]) AS run, own FROM q, t, unnest(range(1, len(line) + 1)) a(i), unnest(range(1, len(line) + 1)) b(j) WHERE i <= j),
+c AS (SELECT term, name, size, len(run) AS long, len(list_intersect(run, own)) AS common FROM r),
+s AS (SELECT term, name, max(common::DOUBLE / (size + long - common))::FLOAT AS sim FROM c GROUP BY ALL)"""
+
+
+def _matches_sql(least: float) -> str:
+    """m(term, group_id, id, name, sim, place): the best ten groups of each term."""
+    return f"""b AS (SELECT s.term, p_partkey % 100 AS group_id, p_partkey AS id, p_name AS name, sim FROM part JOIN s ON s.name = p_name WHERE sim >= {least}::FLOAT
+  QUALIFY row_number() OVER (PARTITION BY s.term, group_id ORDER BY sim DESC, id) = 1),
+m AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY sim DESC, group_id) AS place FROM b QUALIFY place <= 10)"""
+
+
+@query(f"WITH {_similarity_sql(['red widgit'])}, {_matches_sql(0.5)} SELECT id, name, group_id, true AS is_canonical, sim AS similarity FROM m")
 def text_search(spark: SparkSession, d: str) -> DataFrame:
     term = search.check_request(" red widgit ", 10, 0.5)
     return search.text_matches(_names(spark, d), term, 0.5, 10)
 
 
-@query()
+_SOUND = """upper(w[1]) || rpad(substr(replace(array_to_string(list_transform(list_filter(range(2, len(w) + 1), lambda i: codes[i] <> codes[i - 1]), lambda i: codes[i]), ''), '0', ''), 1, 3), 3, '0')"""
+
+
+@query(
+    f"""WITH words AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS w FROM part UNION SELECT unnest(['rad', 'wadget'])),
+coded AS (SELECT w, string_split(translate(upper(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230120022455012623010202'), '') AS codes FROM words),
+sounds AS (SELECT w, {_SOUND} AS sound FROM coded),
+asked AS (SELECT place, s.w, s.sound FROM (VALUES (0, 'rad'), (1, 'wadget')) v(place, w) JOIN sounds s ON s.w = v.w),
+spelled AS (SELECT p_partkey AS id, p_name AS name, unnest(list_distinct(string_split(lower(p_name), ' '))) AS w FROM part),
+best AS (SELECT id, name, place, min({{'d': levenshtein(s.w, a.w), 'w': s.w}}) AS m FROM spelled s JOIN sounds x ON x.w = s.w JOIN asked a ON a.sound = x.sound
+  WHERE levenshtein(s.w, a.w) <= 1 GROUP BY ALL),
+whole AS (SELECT id, name, sum(m.d)::INTEGER AS distance, string_agg(m.w, ' ' ORDER BY place) AS corrected FROM best GROUP BY ALL HAVING count(*) = 2)
+SELECT id, name, id % 100 AS group_id, true AS is_canonical, corrected, distance, CASE WHEN corrected = lower(name) THEN 1 END::FLOAT AS similarity FROM whole
+QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY distance, id, name) = 1"""
+)
 def phonetic_search(spark: SparkSession, d: str) -> DataFrame:
+    """Names have two words, so the words found are the whole name, and as similar as can be."""
     return search.phonetic_matches(_names(spark, d), "rad wadget")
 
 
-@query()
+@query(
+    f"""WITH {_similarity_sql(['red', 'blue', 'small'])}, {_matches_sql(0.3)},
+k AS (SELECT id, name AS label, sim AS similarity, CASE term WHEN 'red' THEN 0 WHEN 'blue' THEN 1 ELSE 2 END::INTEGER AS kind FROM m),
+u AS (SELECT *, row_number() OVER (PARTITION BY kind, similarity ORDER BY id) AS turn FROM k)
+SELECT id, label, similarity, kind, row_number() OVER (ORDER BY similarity DESC, kind = 2, turn, kind, id) AS position FROM u"""
+)
 def merged_search(spark: SparkSession, d: str) -> DataFrame:
     def top(word: str) -> DataFrame:
         return search.text_matches(_names(spark, d), word, 0.3, 10).select("id", F.col("name").alias("label"), "similarity")
