@@ -4,8 +4,10 @@ Vectors of one label start with the best neighbours inside bounded blocks, which
 seeded hyperplane codes sort near each other.  Each round joins every vector's
 neighbours (both ways) with each other and keeps the best, until few lists
 change.  A list whose every entry reaches the threshold is saturated: more links
-may lie beyond its end, in its own component or in another.  Saturated vectors
-are gathered around pivots, and cells of one label are joined wherever angles
+may lie beyond its end, in its own component or in another.  Saturated lists are
+enlarged, and their neighbourhoods joined again, twice over; a list can't hold
+the links of a group of thousands, though, so vectors still saturated then are
+gathered around pivots, and cells of one label are joined wherever angles
 between pivots and the cells' radii leave room for a link.  Members of the
 components that this makes are compared in blocks with exact cosines.  An audit compares a sample of queries
 from small and from large components with all rows in blocks; a mean recall below
@@ -30,6 +32,8 @@ THRESHOLD, MARGIN = 0.98, 0.01
 #: Entries of a list, of those the ones joined in a round, codes, and their bits.
 NEIGHBOURS, JOINED, CODES, BITS = 12, 8, 3, 14
 BLOCK, ROUNDS, SETTLED = 256, 4, 0.01
+#: How often saturated lists double.
+GROWTHS = 2
 AUDIT, RECALL, ATTEMPTS = 512, 0.98, 3
 #: Most that a cosine of half-precision vectors is off.
 ROUNDING = 0.002
@@ -170,16 +174,17 @@ def _merge(lists: DataFrame, k: int) -> DataFrame:
     return dealt.mapInArrow(scan, _LISTS + ", fresh long")
 
 
-def _descend(lists: DataFrame, vectors: DataFrame, dim: int, seed: int) -> DataFrame:
+def _descend(lists: DataFrame, vectors: DataFrame, dim: int, seed: int, joined: int = JOINED) -> DataFrame:
     """One round: neighbours of a vector, in both directions, meet each other."""
-    ahead = lists.select("node", F.posexplode(F.slice("ids", 1, JOINED)).alias("place", "v"))
+    ahead = lists.select("node", F.posexplode(F.slice("ids", 1, joined)).alias("place", "v"))
     back = ahead.select(F.col("v").alias("m"), F.col("node").alias("v"))
-    # A vector that many have as a neighbour meets about JOINED of them a round.
-    many = back.groupBy("m").agg(F.count("*").alias("n")).filter(F.col("n") > JOINED).withColumnRenamed("m", "_m")
+    # A vector that many have as a neighbour meets about ``joined`` of them a round.
+    many = back.groupBy("m").agg(F.count("*").alias("n")).filter(F.col("n") > joined).withColumnRenamed("m", "_m")
     back = back.join(many, F.col("m") == F.col("_m"), "left").filter(
-        F.col("n").isNull() | (F.pmod(F.xxhash64("m", "v", F.lit(seed)), F.col("n")) < JOINED)
+        F.col("n").isNull() | (F.pmod(F.xxhash64("m", "v", F.lit(seed)), F.col("n")) < joined)
     )
-    pairs = ahead.select(F.col("node").alias("m"), "v").union(back.select("m", "v")).union(vectors.select(F.col("node").alias("m"), F.col("node").alias("v"))).distinct()
+    met = ahead.select(F.col("node").alias("m"), "v").union(back.select("m", "v"))
+    pairs = met.union(met.select("m", F.col("m").alias("v"))).distinct()
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +193,7 @@ def _descend(lists: DataFrame, vectors: DataFrame, dim: int, seed: int) -> DataF
                 yield pa.record_batch([batch.column(0), pa.array([v.tobytes() for v in x])], names=["_v", "x"])
 
     halves = vectors.select("node", "vector").mapInArrow(small, "_v long, x binary")
-    met = pairs.join(halves, F.col("v") == F.col("_v")).select("m", "v", "x")
+    whole = pairs.join(halves, F.col("v") == F.col("_v")).select("m", "v", "x")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["m"], 4 << 20):
@@ -205,13 +210,13 @@ def _descend(lists: DataFrame, vectors: DataFrame, dim: int, seed: int) -> DataF
                     y = x[at]
                     s = np.matmul(y, y.transpose(0, 2, 1))
                     s[:, np.arange(size), np.arange(size)] = -2
-                    best = _best(s, min(JOINED, size - 1))
+                    best = _best(s, min(joined, size - 1))
                     width = best.shape[2]
                     n = at.size
                     ids = np.take_along_axis(np.broadcast_to(nodes[at][:, None, :], s.shape), best, 2)
                     yield _lists(nodes[at].ravel(), ids.ravel(), np.take_along_axis(s, best, 2).ravel(), np.arange(width, n * width + 1, width))
 
-    return met.repartition("m").sortWithinPartitions("m").mapInArrow(meet, _LISTS)
+    return whole.repartition("m").sortWithinPartitions("m").mapInArrow(meet, _LISTS)
 
 
 def _graph(vectors: DataFrame, total: int, k: int, codes: int, seed: int, dim: int) -> DataFrame:
@@ -227,6 +232,22 @@ def _graph(vectors: DataFrame, total: int, k: int, codes: int, seed: int, dim: i
     return lists
 
 
+def _enlarged(lists: DataFrame, vectors: DataFrame, k: int, threshold: float, seed: int, dim: int) -> DataFrame:
+    """``lists`` with the saturated ones grown to two and four times ``k`` where more neighbours reach the threshold.
+
+    Only neighbourhoods of saturated lists meet again, with all of their entries.
+    """
+    for number in range(GROWTHS):
+        full = cut(lists.filter((F.size("ids") >= k) & (F.array_min("sims") >= threshold - MARGIN)), "saturated")
+        if full.isEmpty():
+            break
+        k *= 2
+        found = _descend(full, vectors, dim, seed + number, k)
+        both = lists.select("node", "ids", "sims", F.lit(True).alias("old")).union(found.select("*", F.lit(False).alias("old")))
+        lists = cut(_merge(both, k), "enlarged")
+    return lists
+
+
 def _bridges(lists: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """(id, component) that join cells of saturated vectors which may hold links across.
 
@@ -379,6 +400,7 @@ def embedding_links(
     for attempt in range(ATTEMPTS):
         k, tables = neighbours << attempt, codes << attempt
         lists = _graph(classes, total, k, tables, seed + 100 * attempt, dim)
+        lists = _enlarged(lists, classes, k, threshold, seed + 100 * attempt + 50, dim)
         near = lists.select("node", F.explode(F.arrays_zip("ids", "sims")).alias("e"))
         near = near.select("node", F.col("e.ids").alias("other"), F.col("e.sims").alias("sim")).filter(F.col("sim") >= threshold - MARGIN)
         bridges = _bridges(lists, classes, threshold).toDF("node", "other")

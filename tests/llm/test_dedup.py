@@ -202,6 +202,16 @@ def test_embeddings_empty(spark):
     assert nn_descent.embedding_links(vectors(spark, [(1, [1.0], 0, "x")]).limit(0)).count() == 0
 
 
+def test_embeddings_without_ids_and_twice(spark):
+    """Rows without an id are linked and counted, and come last; rows that repeat count each."""
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(None, a, 0, "x"), (4, a, 0, "x"), (4, a, 0, "x"), (7, [1.0, 0.01, 0.0], 0, "x"), (None, b, 0, "x"), (None, b, 0, "x"), (9, None, 0, "x"), (None, None, 0, "x")]
+    got = Counter(map(tuple, nn_descent.embedding_links(vectors(spark, rows)).collect()))
+    assert got == Counter([
+        (None, 3, 4, False), (4, 3, 4, True), (4, 3, 4, True), (7, 3, 4, False), (None, 1, None, True), (None, 1, None, True), (9, 0, 9, True), (None, 0, None, True),
+    ])
+
+
 def unit(v):
     return v / np.linalg.norm(v)
 
@@ -220,6 +230,22 @@ def test_embeddings_bridged_groups_larger_than_a_list(spark):
     assert got == {i: (n, 0) for i, n in enumerate(want)}
 
 
+def test_saturated_lists_grow_and_others_do_not(spark):
+    """A group of 30 near vectors fills lists of 6; grown twice they hold 24, all of the group, while pairs keep theirs."""
+    rng = np.random.default_rng(6)
+    base = unit(rng.normal(size=24))
+    made = [unit(base + rng.normal(size=24) * 0.0008) for _ in range(30)] + [unit(c + rng.normal(size=24) * 0.0008) for c in rng.normal(size=(5, 24)) / np.sqrt(24) for _ in range(2)]
+    vectors_ = spark.createDataFrame([(i, 0, bytearray(np.array(v).tobytes()), 1) for i, v in enumerate(made)], "node long, label long, vector binary, size long")
+    lists = nn_descent._graph(vectors_, 40, 6, 3, 9, 24)
+    assert {len(r["ids"]) for r in lists.collect()} == {6}
+    grown = {r["node"]: r for r in nn_descent._enlarged(lists, vectors_, 6, 0.98, 59, 24).collect()}
+    for i in range(30):
+        assert len(grown[i]["ids"]) == 24 and set(grown[i]["ids"]) <= set(range(30)) - {i}
+    for i in range(30, 40):
+        near_ids = [j for j, c in zip(grown[i]["ids"], grown[i]["sims"], strict=True) if c >= 0.98]
+        assert near_ids == [30 + (i - 30 ^ 1)]
+
+
 def test_audit_sees_lost_small_groups_and_falls_back(spark, monkeypatch):
     """Pairs whose links are all lost weigh as much as one big group; lost links are then found exactly."""
     rng = np.random.default_rng(4)

@@ -1,6 +1,7 @@
 import os
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +129,20 @@ def test_packing_covers_every_document(spark):
     assert packing.pack(docs.limit(0), VOCABULARY).count() == 0
 
 
+def test_packing_of_clashing_names_and_equal_ids(spark):
+    """Columns of the operator's own names are ignored; equal and missing ids spread over tasks, each row packed."""
+    rows = [(None if i % 2 else 5, "a b c", 1, 2, 3, 4) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int, t int, length int, sequence_id int").repartition(2)
+    pieces = packing.cut_pieces(docs, VOCABULARY, 16)
+    got = packing.best_fit(pieces, packing.Capacity(tokens=16), task_pieces=30).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter({None: 150, 5: 150})
+    by_bin = {}
+    for r in got:
+        by_bin.setdefault(r["sequence_id"], []).append(r["offset"])
+    assert all(sorted(v) == list(range(0, 4 * len(v), 4)) and len(v) <= 4 for v in by_bin.values())
+    assert len(by_bin) <= 75 + 10 and len({k // 2 % 10 for k in by_bin}) > 5  # ten tasks, most of them used
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=120), st.sampled_from(["norm", "dot"]), st.one_of(st.none(), st.integers(1, 6)), st.one_of(st.none(), st.integers(10_000, 12_000)))
 def test_every_constraint_holds(lengths, score, documents, attention):
