@@ -8,14 +8,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ledgerline.functions.membership import LORDS_HOUSE
+
 NODES = (
     "member_id long, category_position int, category_id int, category_name string, sort_order int, node_position int, parent_position int, "
     "sibling_position int, source_id long, text string, created_when string, last_amended_when string, deleted_when string, is_correction boolean"
 )
 _COLUMNS = [c.split()[0] for c in NODES.split(", ")]
-#: Houses of Parliament, and categories of shareholdings.
-LORDS_HOUSE = 2
-SHAREHOLDING_CATEGORIES = [4, 12, 31, 1002, 1003, 1004, 1005]
 
 
 def register_rows(document: dict) -> list[dict]:
@@ -98,6 +97,19 @@ def merged_categories(nodes: DataFrame) -> DataFrame:
     )
 
 
+def merged_category_nodes(nodes: DataFrame) -> DataFrame:
+    """All nodes, each in the merged category of its source id and name.
+
+    ``category_position`` and ``sort_order`` become the smallest of the merged
+    ones; ``place`` numbers a merged category's nodes in source order.
+    """
+    key = ["member_id", "category_id", "category_name"]
+    same = Window.partitionBy(*key)
+    order = same.orderBy("category_position", "node_position")
+    out = nodes.withColumn("place", F.row_number().over(order).cast("long") - 1)
+    return out.withColumn("sort_order", F.min("sort_order").over(same)).withColumn("category_position", F.min("category_position").over(same))
+
+
 def nested(rows: DataFrame, parent: str, order: str, columns: list[str]) -> DataFrame:
     """One row per parent with its ordered children as a list of structs."""
     children = F.array_sort(F.collect_list(F.struct(order, *columns)))

@@ -10,7 +10,8 @@ from ledgerline.operators import checks, grouping, loading, registers, search
 from ledgerline.plans.model import CTES, model
 from ledgerline.plans.queries import NOW, TERM, _TERM, _classified, query, whole
 from ledgerline.functions.periods import period_window
-from ledgerline.operators.linkage import decision_counts, resolve
+from ledgerline.operators.linkage import attribute, decision_counts, resolve
+from ledgerline.operators.trees import merged_category_nodes
 from ledgerline.session import cut
 
 
@@ -419,3 +420,69 @@ def manifest_counts(spark: SparkSession, d: str) -> DataFrame:
     """Pair decisions of a resolution: all, accepted, to review."""
     classified, observations = _classified(spark, d)
     return decision_counts(resolve(cut(classified, "classified"), observations)[0])
+
+
+# --------------------------------------------------- attribution and labels
+
+_PAYMENTS = """SELECT o_orderkey AS payment_id, CAST(floor(o_orderkey / 100) AS BIGINT) AS member_id, o_orderkey AS declaration_id,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 20 = 13 THEN o_orderkey + 1 ELSE o_orderkey - 1 END AS parent_id,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey * 10 + 1 END AS donor, CASE WHEN o_orderkey % 3 <> 1 THEN o_orderkey * 10 + 2 END AS payer,
+  CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey * 10 + 3 END AS ultimate, CASE o_orderkey % 6 WHEN 0 THEN true WHEN 1 THEN false END AS different FROM {orders}"""
+_ATTRIBUTED = f"""WITH p AS ({_PAYMENTS.format(orders="orders")}),
+k AS (SELECT p.*, payment_id % 11 <> 0 AS ok, payment_id % 20 IN (13, 14) AS cycle, parent_id % 3 <> 1 AND parent_id % 4 <> 3 AND parent_id // 100 = member_id
+  AND parent_id IN (SELECT o_orderkey FROM orders) AS root, parent_id % 11 <> 0 AS root_ok FROM p),
+c AS (SELECT *, CASE WHEN ultimate IS NOT NULL THEN CASE WHEN ok THEN 'explicit_ultimate_payer' ELSE '!explicit_ultimate_payer_unavailable' END
+  WHEN different THEN '!different_ultimate_payer_unnamed'
+  WHEN NOT different THEN CASE WHEN cycle THEN '!parent_cycle' WHEN NOT coalesce(root, false) THEN '!parent_evidence_unavailable' WHEN root_ok THEN 'parent_payer' ELSE '!parent_payer_unavailable' END
+  WHEN donor IS NOT NULL THEN CASE WHEN ok THEN 'donor' ELSE '!donor_unavailable' END
+  WHEN payer IS NOT NULL THEN CASE WHEN ok THEN 'payer' ELSE '!payer_unavailable' END ELSE '!no_supported_attribution' END AS choice FROM k)
+SELECT payment_id, CASE choice WHEN 'explicit_ultimate_payer' THEN ultimate WHEN 'parent_payer' THEN parent_id * 10 + 2 WHEN 'donor' THEN donor WHEN 'payer' THEN payer END AS selected,
+  CASE WHEN choice[1] <> '!' THEN choice END AS basis, CASE WHEN choice[1] = '!' THEN choice[2:] END AS reason, CASE WHEN choice = 'parent_payer' THEN parent_id END AS parent,
+  ultimate IS NOT NULL AND coalesce(NOT different, false) AS issue FROM c"""
+
+
+@query(_ATTRIBUTED)
+def attributed_payments(spark: SparkSession, d: str) -> DataFrame:
+    """Who each payment is attributed to: named ultimate payers, parents' payers, donors, payers."""
+    payments = spark.sql(_PAYMENTS, orders=table(spark, d, "orders"))
+    sides = F.array(*(F.struct(F.lit(role).alias("role"), F.col(column).alias("obs_id")) for role, column in (("donor", "donor"), ("payer", "payer"), ("ultimate_payer", "ultimate"))))
+    seen = payments.select("member_id", "declaration_id", F.explode(sides).alias("o")).select("member_id", "declaration_id", "o.*").filter("obs_id is not null")
+    seen = seen.withColumn("name_normalized", F.when(F.col("declaration_id") % 11 != 0, "n")).withColumn("company", F.lit(None).cast("string"))
+    return attribute(payments, seen.withColumn("is_root", F.col("declaration_id") % 4 != 3))
+
+
+@query("SELECT p_partkey, regexp_replace(p_name, '(red|wid)', '[\\1]', 'g') AS marked FROM part")
+def highlighted_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names with the words of a search marked."""
+    pieces = labels.highlighted(F.col("p_name"), "red WID")
+    marked = F.array_join(F.transform(pieces, lambda x: F.when(x["matched"], F.concat(F.lit("["), x["text"], F.lit("]"))).otherwise(x["text"])), "")
+    return table(spark, d, "part").select("p_partkey", marked.alias("marked"))
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 5 WHEN 4 THEN 'missing' WHEN 3 THEN 'source-preview' ELSE 'labels' END AS kind, CASE p_partkey % 5 WHEN 0 THEN 'Acme ' || p_partkey || ' Ltd'
+  WHEN 1 THEN 'Acme ' || p_partkey || ' plc; Beta & Co LLP' WHEN 2 THEN 'Gamma (UK) Limited' WHEN 3 THEN 'some ' || p_name || ' shares' ELSE 'Interest text unavailable' END AS text FROM part"""
+)
+def shareholding_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Shareholdings as the companies that they list, or as a preview."""
+    kind, number = F.col("p_partkey") % 5, F.col("p_partkey").cast("string")
+    text = (
+        F.when(kind == 0, F.concat(F.lit("12.5 per cent holding in Acme "), number, F.lit(" Ltd")))
+        .when(kind == 1, F.concat(F.lit("Acme "), number, F.lit(" plc (mining), and Beta & Co LLP.")))
+        .when(kind == 2, F.lit("Gamma (UK) Limited")).when(kind == 3, F.concat(F.lit(" some "), F.col("p_name"), F.lit("  shares")))
+    )
+    return table(spark, d, "part").select("p_partkey", labels.shareholding_summary(text).alias("s")).select("p_partkey", "s.kind", "s.text")
+
+
+_CARDS = """SELECT conv_id AS member_id, CAST(turn % 4 AS INT) AS category_position, CAST(turn % 2 AS INT) AS category_id, CASE WHEN turn % 2 = 0 THEN 'A' END AS category_name,
+  CAST(10 - turn % 4 AS INT) AS sort_order, CAST(floor(turn / 4) AS INT) AS node_position FROM {conversations}"""
+
+
+@query(
+    f"""WITH n AS ({_CARDS.format(conversations="conversations")}) SELECT member_id, category_id, category_name, min(category_position) OVER w AS category_position, min(sort_order) OVER w AS sort_order,
+  node_position, row_number() OVER (PARTITION BY member_id, category_id, category_name ORDER BY category_position, node_position) - 1 AS place FROM n
+WINDOW w AS (PARTITION BY member_id, category_id, category_name)"""
+)
+def merged_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of categories of one source id and name as those of one category."""
+    return merged_category_nodes(spark.sql(_CARDS, conversations=table(spark, d, "conversations")))
