@@ -258,12 +258,12 @@ def alias_groups(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------ linkage
 
 # Names repeat and some are one letter off; their words are letters of a digest, so that prefixes are many.
-_WORD = "translate(md5(CAST(p_partkey % 690 AS VARCHAR(20))), '0123456789', 'ghijklmnop')"
+_WORD = "translate(md5(CAST(p_partkey % 1190 AS VARCHAR(20))), '0123456789', 'ghijklmnop')"
 _OBS = f"""SELECT p_partkey AS obs_id, 'donor' AS role, name AS name_raw, name AS name_normalized,
-  CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE concat(CAST(p_partkey % 690 % 40 + p_partkey % 2 AS VARCHAR(20)), ' ', lower(p_type), ' street') END AS address_normalized,
+  CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE concat(CAST(p_partkey % 1190 % 400 + p_partkey % 2 AS VARCHAR(20)), ' ', lower(p_type), ' street') END AS address_normalized,
   CASE WHEN p_partkey % 4 = 0 THEN 'unavailable' ELSE 'numbered_street' END AS address_quality,
   CASE WHEN p_partkey % 50 = 0 THEN concat('0000', CAST(1000 + p_partkey % 7 AS VARCHAR(20))) END AS company,
-  CASE WHEN p_partkey % 50 = 0 THEN 'Company' WHEN p_partkey % 690 % 3 = 0 THEN 'Individual' WHEN p_partkey % 7 = 1 THEN 'Company' END AS donor_kind
+  CASE WHEN p_partkey % 50 = 0 THEN 'Company' WHEN p_partkey % 1190 % 3 = 0 THEN 'Individual' WHEN p_partkey % 7 = 1 THEN 'Company' END AS donor_kind
 FROM (SELECT *, concat(substr({_WORD}, 1, 5), ' ', substr({_WORD}, 6, 5), CASE WHEN p_partkey % 10 = 3 THEN 'x' ELSE '' END) AS name FROM {{part}}) AS named"""
 _PAIRS = f"""WITH obs AS ({_OBS.format(part="part")}),
 prof AS (SELECT name_normalized AS name, address_normalized AS address, min(obs_id) AS profile_id, bool_or(company IS NULL) AS needs, count(*) AS members FROM obs GROUP BY ALL),

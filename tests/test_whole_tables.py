@@ -63,11 +63,11 @@ def part_observations(name):
     out = []
     for p in rows_of(name):
         key = p["p_partkey"]
-        word = hashlib.md5(str(key % 690).encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))
+        word = hashlib.md5(str(key % 1190).encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))
         text = f"{word[:5]} {word[5:10]}" + "x" * (key % 10 == 3)
-        address = None if key % 4 == 0 else f"{key % 690 % 40 + key % 2} {p['p_type'].lower()} street"
+        address = None if key % 4 == 0 else f"{key % 1190 % 400 + key % 2} {p['p_type'].lower()} street"
         company = f"0000{1000 + key % 7}" if key % 50 == 0 else None
-        kind = "Company" if company else "Individual" if key % 690 % 3 == 0 else "Company" if key % 7 == 1 else None
+        kind = "Company" if company else "Individual" if key % 1190 % 3 == 0 else "Company" if key % 7 == 1 else None
         out.append((key, text, address, company, kind))
     return out
 
