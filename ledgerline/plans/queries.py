@@ -288,7 +288,7 @@ def _observations(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     rows = cut(linkage.profiles(_observations(spark, d)), "profiles")
-    pairs = linkage.candidate_pairs(linkage.blocking_keys(rows))
+    pairs = linkage.candidate_pairs(linkage.blocking_keys(rows), None)
     return linkage.scored_pairs(rows, pairs.union(linkage.twins(rows)))
 
 
@@ -301,6 +301,12 @@ def scored_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).withColumn("probability", F.round("probability", 12)).drop("address_level")
 
 
+def _classes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classified pairs of classes of equal observations, the classes and their members."""
+    classes, members = linkage.evidence_classes(_observations(spark, d))
+    return cut(linkage.classify_classes(linkage.class_pairs(classes, _scored(spark, d)), classes), "classified"), classes, members
+
+
 def _classified(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     observations = _observations(spark, d)
     return linkage.classify(linkage.observation_pairs(observations, _scored(spark, d)), observations), observations
@@ -322,7 +328,8 @@ SELECT ob.l AS "left", ob.r AS "right", CASE
 FROM ob JOIN own x ON x.obs_id = ob.l JOIN own y ON y.obs_id = ob.r"""
 )
 def classified_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _classified(spark, d)[0].select("left", "right", "rule")
+    classified, _, members = _classes(spark, d)
+    return linkage.expand_pairs(classified, members)
 
 
 @query()
