@@ -8,11 +8,10 @@ from ledgerline.functions import labels, membership
 from ledgerline.functions.names import name_features
 from ledgerline.operators import checks, grouping, loading, registers, search
 from ledgerline.plans.model import CTES, model
-from ledgerline.plans.queries import NOW, TERM, _TERM, _classified, query, whole
+from ledgerline.plans.queries import NOW, TERM, _TERM, _classes, query, whole
 from ledgerline.functions.periods import period_window
-from ledgerline.operators.linkage import attribute, decision_counts, resolve
+from ledgerline.operators.linkage import attribute, class_decision_counts, resolve_classes
 from ledgerline.operators.trees import merged_category_nodes
-from ledgerline.session import cut
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -418,8 +417,7 @@ def wire_rows(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def manifest_counts(spark: SparkSession, d: str) -> DataFrame:
     """Pair decisions of a resolution: all, accepted, to review."""
-    classified, observations = _classified(spark, d)
-    return decision_counts(resolve(cut(classified, "classified"), observations)[0])
+    return class_decision_counts(resolve_classes(*_classes(spark, d))[0])
 
 
 # --------------------------------------------------- attribution and labels
