@@ -307,11 +307,6 @@ def _classes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
     return cut(linkage.classify_classes(linkage.class_pairs(classes, _scored(spark, d)), classes), "classified"), classes, members
 
 
-def _classified(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    observations = _observations(spark, d)
-    return linkage.classify(linkage.observation_pairs(observations, _scored(spark, d)), observations), observations
-
-
 @query(
     _PAIRS
     + """, own AS (SELECT o.*, p.profile_id, CASE WHEN lower(donor_kind) = 'individual' THEN 'person' WHEN lower(donor_kind) = 'company' THEN 'organisation' ELSE 'unknown' END AS ekind
@@ -335,9 +330,8 @@ def classified_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def resolved_identities(spark: SparkSession, d: str) -> DataFrame:
     """Every observation's identity and its basis."""
-    classified, observations = _classified(spark, d)
-    decided, identities = linkage.resolve(cut(classified, "classified"), observations)
-    return linkage.outcomes(observations, cut(decided, "decided"), cut(identities, "identities"), "run")
+    _, accepted, cells, identities = linkage.resolve_classes(*_classes(spark, d))
+    return linkage.class_outcomes(_observations(spark, d), identities, accepted, cells, "run")
 
 
 @query(
