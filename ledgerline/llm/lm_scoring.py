@@ -6,15 +6,14 @@ trained here in numpy, reads the last ``WINDOW`` ids and predicts the class of
 the next; the probability of an id is that of its class times its share of the
 class after the id before (backing off to the class before, then to all).
 
-All training texts count: ids, words and pairs of ids are summed over them in
-one pass, and the network is trained on windows of all of them by rounds of
-local steps.  In a round every scan task starts from the same parameters, makes
-Adam steps on its windows, and the tasks' parameters are averaged, weighted by
-windows.  A seeded hash deals the blocks of all texts to the rounds; a large
-corpus uses ``RATE`` of its blocks, wherever they are in a text, and a small one
-uses all of them several times, so steps grow in proportion to the input.  Only
-what starts the rounds comes from a bounded sample of texts: the classes of ids,
-which words count as frequent, and the first parameters.
+All training texts count: ids, their neighbours (which make the classes), words
+and pairs of ids are summed over them, and the network is trained on every
+window of all of them by rounds of local steps.  In a round every scan task
+starts from the same parameters, makes Adam steps on its windows, and the tasks'
+parameters are averaged, weighted by windows.  A seeded hash deals all blocks of
+all texts to the rounds; a small corpus uses them several times.  A bounded
+sample of texts chooses only where the rounds start from and which words are
+summed in scan tasks, which no count depends on.
 
 Texts are scored in windows that overlap by ``WINDOW - STRIDE`` ids: each id is
 scored once, with at least that much context, by masked attention over many
@@ -44,13 +43,15 @@ WINDOW, STRIDE = 48, 32
 WIDTH, HIDDEN, CLASSES = 16, 32, 128
 #: Ids with an input vector and a column of their own.
 OWN_IDS = 2000
-#: Texts that choose classes, frequent words and the first parameters; words whose
+#: Texts that choose frequent words and where training starts from; words whose
 #: counts are summed in scan tasks, and the longest of them in bytes.
 SAMPLE_TEXTS, FREQUENT, LONGEST = 4000, 200_000, 64
 WINDOWS_A_TEXT, FIRST_STEPS, BATCH = 40, 1000, 96
-#: Training: bytes of a block, the share of a large corpus' blocks that is used, the
-#: windows that a small corpus repeats itself to, the most repeats, and the rounds.
-BLOCK, RATE, LEAST_WINDOWS, MOST_REPEATS, ROUNDS = 2048, 1 / 8, 400_000, 16, 4
+#: Training: bytes of a block, the windows that a small corpus repeats itself to, the
+#: most repeats, and the rounds.
+BLOCK, LEAST_WINDOWS, MOST_REPEATS, ROUNDS = 2048, 400_000, 16, 4
+#: Ids that are clustered at most, those whose neighbourhood counts, and the fewest occurrences.
+CLUSTERED, NEIGHBOURS, LEAST_COUNT = 6000, 400, 5
 #: Strength of the priors of an id's share: of the class before, and of all.
 BACK_OFF, BACK_OFF_CLASS = 4.0, 40.0
 BATCH_ROWS = 500
@@ -261,19 +262,22 @@ class AttentionModel:
         p = self.p
         targets = windows[:, WINDOW - STRIDE + 1 :].ravel()
         rows = self.slot[np.where(windows[:, :WINDOW] < 0, len(self.slot) - 1, windows[:, :WINDOW])]
-        q, k, v, a, total, o, h, logits = self._forward(rows, self.tables())
+        tables = self.tables()
+        q, k, v, a, total, o, h, logits = self._forward(rows, tables)
         a /= total
         real = targets >= 0
         goal = self.group[np.maximum(targets, 0)]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1, keepdims=True)
+        if not tables[5]:
+            logits -= logits.max(1, keepdims=True)
         n = np.arange(len(goal))
+        own = logits[n, goal]
+        d = np.exp(logits, out=logits)
+        total = d.sum(1)
         many = max(1, int(real.sum()))
-        loss = float(np.sum((np.log(total[:, 0]) - logits[n, goal]) * real) / many)
-        d = e / total
-        d[n, goal] -= 1
-        d *= (real / many).astype(np.float32)[:, None]
+        loss = float(np.sum((np.log(total) - own) * real) / many)
+        weight = (real / many).astype(np.float32)
+        d *= (weight / total)[:, None]
+        d[n, goal] -= weight
         g = {"hc": h.T @ d, "c": d.sum(0)}
         d = (d @ p["hc"].T) * (1 - h * h)
         last = rows[:, WINDOW - STRIDE :]
@@ -289,7 +293,8 @@ class AttentionModel:
         do = (d @ p["oh"].T).reshape(o.shape)
         dv = np.matmul(a.transpose(0, 2, 1), do)
         da = np.matmul(do, v.transpose(0, 2, 1))
-        ds = a * (da - (da * a).sum(2, keepdims=True))
+        da -= np.einsum("nij,nij->ni", da, a)[:, :, None]
+        ds = np.multiply(da, a, out=da)
         seen = self.far >= 0
         g["near"] = np.bincount(self.far[seen], ds.sum(0)[seen], WINDOW).astype(np.float32)
         dq = np.matmul(ds, k) / np.float32(np.sqrt(WIDTH))
@@ -327,30 +332,23 @@ def first_fit(model: AttentionModel, windows: np.ndarray, steps: int, seed: int,
     return [adam(windows[rng.integers(0, len(windows), batch)], 0.02 * 0.2 ** (t / steps)) for t in range(steps)]
 
 
-def group_ids(windows: np.ndarray, size: int, spaced: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(class, input row) of every id, from the windows of the sample.
+def often_ids(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids that are clustered, ids that make their neighbourhoods), most frequent first."""
+    order = np.argsort(-counts, kind="stable")
+    return order[: min(CLUSTERED, int((counts >= LEAST_COUNT).sum()))], order[:NEIGHBOURS]
+
+
+def group_ids(counts: np.ndarray, often: np.ndarray, features: np.ndarray, spaced: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class, input row) of every id, from counts of ids and of neighbours.
 
-    Ids that occur often are clustered by their neighbours on both sides; the
-    others fall in eight classes by whether they start a word and by number.
+    ``often`` ids are clustered by their neighbours on both sides, a row of
+    ``features`` each; the others fall in eight classes by whether they start a
+    word and by number.
     """
-    windows = np.where(windows < 0, size - 1, windows)
-    ids = windows.ravel()
-    counts = np.bincount(ids, minlength=size)
-    order = np.argsort(-counts, kind="stable")
-    often = order[: min(6000, int((counts >= 5).sum()))]
+    size = len(counts)
     group = np.where(spaced, 0, 4) + np.arange(size) % 4
     if len(often) > CLASSES:
-        context = np.full(size, -1)
-        top = order[:400]
-        context[top] = np.arange(len(top))
-        row = np.full(size, -1)
-        row[often] = np.arange(len(often))
-        features = np.zeros((len(often), 2 * len(top)), np.float32)
-        left, right = windows[:, :-1].ravel(), windows[:, 1:].ravel()
-        for own, near, shift in ((right, left, 0), (left, right, len(top))):
-            ok = (row[own] >= 0) & (context[near] >= 0)
-            np.add.at(features, (row[own[ok]], context[near[ok]] + shift), 1)
-        features = np.sqrt(features)
+        features = np.sqrt(features.astype(np.float32))
         features /= np.linalg.norm(features, axis=1, keepdims=True) + 1e-6
         k = CLASSES - 8
         rng = np.random.default_rng(seed)
@@ -364,7 +362,8 @@ def group_ids(windows: np.ndarray, size: int, spaced: np.ndarray, seed: int) ->
         group[often] = 8 + label
     group = np.unique(group, return_inverse=True)[1]  # no class is empty
     slot = OWN_IDS + group
-    slot[order[:OWN_IDS]] = np.arange(min(OWN_IDS, size))
+    own = np.argsort(-counts, kind="stable")[:OWN_IDS]
+    slot[own] = np.arange(len(own))
     return group.astype(np.int64), slot.astype(np.int64)
 
 
@@ -474,20 +473,20 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([raw[a:b].decode() for a, b in spans], pa.string()), pa.array(n)], names=["word", "n"])
 
 
-def _corpus_counts(training: DataFrame, vocabulary: Vocabulary, words, slot: np.ndarray) -> DataFrame:
-    """(kind, key, n) over all training texts: 0 ids, 1 frequent words, 2 words and texts, 3 pairs of slots.
+def _corpus_counts(training: DataFrame, vocabulary: Vocabulary, words, tables: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Counts over all training texts: of ids, of frequent words, (words, texts); or, with ``tables``, of pairs.
 
-    A block's distinct words are encoded once and weighted; only pairs across
-    words are counted by occurrence.
+    A table maps an id and the one after it to a row and a column.  A block's
+    distinct words are encoded once and weighted; only pairs across words are
+    counted by occurrence.
     """
-    rows = int(slot.max()) + 1
+    shapes = [(int(a.max()) + 1, int(b.max()) + 1) for a, b in tables]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, model = words.value, vocabulary.model()
         ids, frequent = np.zeros(vocabulary.size, np.int64), np.zeros(len(known), np.int64)
-        pairs = np.zeros(rows * rows, np.int64)
+        pairs = [np.zeros(x * y, np.int64) for x, y in shapes]
         total = texts = 0
-        end = int(slot[vocabulary.end])
 
         def block(parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
             nonlocal total
@@ -502,22 +501,25 @@ def _corpus_counts(training: DataFrame, vocabulary: Vocabulary, words, slot: np.
             frequent[number[number >= 0]] += n[number >= 0]
             flat, sizes = known.ids(model, data, starts[first], ends[first], number)
             often = np.repeat(n, sizes)
-            ids[:] += np.bincount(flat, often, vocabulary.size).astype(np.int64)
-            slots = slot[flat]
+            if not pairs:
+                ids[:] += np.bincount(flat, often, vocabulary.size).astype(np.int64)
+                return
+            end = vocabulary.end
             stop = np.cumsum(sizes) - 1
             inner = np.ones(len(flat), bool)
             inner[stop] = False
             inner = np.flatnonzero(inner)
-            pairs[:] += np.bincount(slots[inner] * rows + slots[inner + 1], often[inner], rows * rows).astype(np.int64)
-            heads, tails = slots[stop - sizes + 1][place], slots[stop][place]
+            heads, tails = flat[stop - sizes + 1][place], flat[stop][place]
             some = np.diff(at) > 0
             left = np.empty(len(hashes), np.int64)
             left[1:] = tails[:-1]
             left[at[:-1][some]] = end
             last = np.where(some, tails[np.maximum(at[1:] - 1, 0)] if len(tails) else end, end)
-            cross = np.concatenate([left * rows + heads, last * rows + end])
-            key, n = np.unique(cross, return_counts=True)
-            pairs[key] += n
+            for (row, column), (x, y), counts in zip(tables, shapes, pairs, strict=True):
+                counts += np.bincount(row[flat[inner]] * y + column[flat[inner + 1]], often[inner], x * y).astype(np.int64)
+                cross = np.concatenate([row[left] * y + column[heads], row[last] * y + column[end]])
+                key, n = np.unique(cross, return_counts=True)
+                counts[key] += n
 
         held, size = [], 0
         for batch in small_batches(batches, "t"):
@@ -530,13 +532,26 @@ def _corpus_counts(training: DataFrame, vocabulary: Vocabulary, words, slot: np.
         if held:
             block(held)
         ids[vocabulary.end] += texts
-        for kind, n in ((0, ids), (1, frequent), (2, np.array([total, texts])), (3, pairs)):
+        for kind, n in enumerate(pairs or (ids, frequent, np.array([total, texts]))):
             some = np.flatnonzero(n)
             yield pa.record_batch(
                 [pa.array(np.full(len(some), kind, np.int32)), pa.array(some), pa.array(n[some])], names=["kind", "key", "n"]
             )
 
-    return training.mapInArrow(scan, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counted = training.mapInArrow(scan, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()
+    kind, index, n = (counted.column(c).to_numpy() for c in ("kind", "key", "n"))
+    out = [np.zeros(x * y) for x, y in shapes] or [np.zeros(vocabulary.size), np.zeros(len(words.value), np.int64), np.zeros(2, np.int64)]
+    for k, into in enumerate(out):
+        into[index[kind == k]] = n[kind == k]
+    return [into.reshape(shape) for into, shape in zip(out, shapes, strict=True)] if tables else out
+
+
+def _neighbours(training: DataFrame, vocabulary: Vocabulary, words, often: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """How often each of ``often`` follows and precedes each of ``top``, over all training texts."""
+    row, column = np.full(vocabulary.size, len(often)), np.full(vocabulary.size, len(top))
+    row[often], column[top] = np.arange(len(often)), np.arange(len(top))
+    before, after = _corpus_counts(training, vocabulary, words, [(column, row), (row, column)])
+    return np.concatenate([before[: len(top), : len(often)].T, after[: len(often), : len(top)]], 1)
 
 
 def _flatten(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -664,24 +679,19 @@ def train(training: DataFrame, rows: int, vocabulary: Vocabulary, sample_texts:
     ranks = vocabulary.model()
     words = spark.sparkContext.broadcast(FrequentWords(strings, ranks))
     spaced = np.array([ranks.decode_single_token_bytes(i)[:1] == b" " for i in range(vocabulary.size - 1)] + [False])
-    windows = _windows(sample, vocabulary, seed)
-    group, slot = group_ids(windows, vocabulary.size, spaced, seed)
-    counted = _corpus_counts(training.select("t"), vocabulary, words, slot).toArrow()
-    kind, index, n = (counted.column(c).to_numpy() for c in ("kind", "key", "n"))
-    width = int(slot.max()) + 1
-    ids, frequent, totals, pairs = np.zeros(vocabulary.size), np.zeros(len(strings), np.int64), np.zeros(2, np.int64), np.zeros(width * width)
-    for k, into in enumerate((ids, frequent, totals, pairs)):
-        into[index[kind == k]] = n[kind == k]
-    table, within = shares(slot, group, ids, pairs.reshape(width, width))
-    del counted, kind, index, n, pairs
-    model = AttentionModel(slot, group, table, within, _first_model(spark, windows, slot, group, first_steps, seed))
-    # A block of a large corpus is used with chance RATE; all of a small one, and again.
-    expected = max(1.0, ids.sum() / STRIDE)
-    rate = min(1.0, max(RATE, least_windows / expected))
-    repeats = int(min(MOST_REPEATS, max(1, round(least_windows / (rate * expected)))))
-    of = round(ROUNDS / rate)
+    texts = training.select("t")
+    ids, frequent, totals = _corpus_counts(texts, vocabulary, words, [])
+    often, top = often_ids(ids)
+    group, slot = group_ids(ids, often, _neighbours(texts, vocabulary, words, often, top), spaced, seed)
+    (pairs,) = _corpus_counts(texts, vocabulary, words, [(slot, slot)])
+    table, within = shares(slot, group, ids, pairs)
+    del pairs
+    start = _first_model(spark, _windows(sample, vocabulary, seed), slot, group, first_steps, seed)
+    model = AttentionModel(slot, group, table, within, start)
+    # Every block is in one of the rounds; a small corpus repeats its blocks there.
+    repeats = int(min(MOST_REPEATS, max(1, round(least_windows / max(1.0, ids.sum() / STRIDE)))))
     for number in range(ROUNDS if least_windows else 0):
-        model = _train_round(training, vocabulary, words, model, (number, number + 1), of, repeats, 0.008 * 0.5**number, seed)
+        model = _train_round(training, vocabulary, words, model, (number, number + 1), ROUNDS, repeats, 0.008 * 0.5**number, seed)
     return model, words, frequent, int(totals[0]), int(totals[1])
 
 
@@ -706,10 +716,10 @@ def score_texts(
     gives an empty result.
 
     ``score`` is the model's log10 probability of the text's ids.  Counts of ids,
-    of pairs of ids and of words cover all training texts, and training uses
+    of pairs of ids and of words cover all training texts, and training uses all
     blocks of all of them (see the module).  ``sample_texts`` bounds the texts
-    (by a hash of their key) that choose classes, frequent words and the first
-    parameters; ``first_steps`` and ``least_windows`` are 0 to train less in
+    (by a hash of their key) that choose frequent words and where training
+    starts from; ``first_steps`` and ``least_windows`` are 0 to train less in
     tests.
     """
     spark = docs.sparkSession

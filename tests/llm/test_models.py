@@ -430,3 +430,19 @@ def test_quality_against_one_solve(spark):
 def test_isotonic_is_the_best_monotone_fit():
     at, value = quality.isotonic(np.array([0.3, 0.1, 0.2, 0.4]), np.array([1, 1, 1, 1]), np.array([0, 0, 1, 1]))
     assert value.tolist() == [0.0, 0.5, 1.0] and at.tolist() == pytest.approx([0.1, 0.25, 0.4])
+
+
+def test_model_comes_from_all_training_texts(spark, monkeypatch):
+    """Classes don't depend on the sample, and the rounds use every block of a corpus of any size."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id as k", "text as t").cache()
+    few, many = (lm_scoring.train(docs, 200, vocabulary(), sample, 0, 0, 8)[0] for sample in (10, 4000))
+    assert (few.group == many.group).all() and (few.slot == many.slot).all() and few.group.max() > 8
+    used = []
+
+    def spy(training, vocabulary, words, model, part, of, *rest):
+        used.append((part, of))
+        return model
+
+    monkeypatch.setattr(lm_scoring, "_train_round", spy)
+    lm_scoring.train(docs, 200, vocabulary(), 10, 0, 1, 8)
+    assert {of for _, of in used} == {len(used)} and sorted(part for part, _ in used) == [(i, i + 1) for i in range(len(used))]
