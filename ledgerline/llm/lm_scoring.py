@@ -15,6 +15,11 @@ all texts to the rounds; a small corpus uses them several times.  A bounded
 sample of texts chooses only where the rounds start from and which words are
 summed in scan tasks, which no count depends on.
 
+Every text is read and encoded once: its ids and the numbers of its words are
+written, and counting, training and scoring read those.  Scores and gradients of
+windows come from onnxruntime where it is installed (``attention_graph``), else
+from numpy by the same formulas.
+
 Texts are scored in windows that overlap by ``WINDOW - STRIDE`` ids: each id is
 scored once, with at least that much context, by masked attention over many
 windows at a time.
@@ -36,6 +41,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ledgerline.llm import attention_graph
 from ledgerline.llm.texts import mix64, rank_encoder, small_batches, string_bytes, word_hashes, word_spans
 from ledgerline.session import cut
 
@@ -310,26 +316,31 @@ class Adam:
     """Moments of a model's parameters, and its steps."""
 
     def __init__(self, model: AttentionModel):
-        self.model, self.t = model, 0
-        self.m = {k: np.zeros_like(v) for k, v in model.p.items()}
-        self.s = {k: np.zeros_like(v) for k, v in model.p.items()}
-
-    def __call__(self, windows: np.ndarray, rate: float) -> float:
-        loss, g = self.model.step(windows)
+        self.t = 0
+        self.flat, shapes = _flatten(model.p), model.p
+        model.p = _unflatten(self.flat, shapes)  # views, which follow every step
+        self.m, self.s, self.room = (np.zeros_like(self.flat) for _ in range(3))
+        self.gradients = attention_graph.Gradients(model) if attention_graph.onnxruntime else lambda windows: model.step(windows)[1]
+
+    def __call__(self, windows: np.ndarray, rate: float) -> None:
+        g = _flatten(self.gradients(windows))
         self.t += 1
         rate *= min(1.0, self.t / 30)
-        for key, grad in g.items():
-            m, s = self.m[key], self.s[key]
-            m += 0.1 * (grad - m)
-            s += 0.01 * (grad * grad - s)
-            self.model.p[key] -= np.float32(rate / (1 - 0.9**self.t)) * m / (np.sqrt(s / np.float32(1 - 0.99**self.t)) + np.float32(1e-8))
-        return loss
+        m, s, room = self.m, self.s, self.room
+        m += np.multiply(np.subtract(g, m, out=room), np.float32(0.1), out=room)
+        s += np.multiply(np.subtract(np.multiply(g, g, out=room), s, out=room), np.float32(0.01), out=room)
+        np.sqrt(np.multiply(s, np.float32(1 / (1 - 0.99**self.t)), out=room), out=room)
+        room += np.float32(1e-8)
+        np.divide(m, room, out=room)
+        room *= np.float32(rate / (1 - 0.9**self.t))
+        self.flat -= room
 
 
-def first_fit(model: AttentionModel, windows: np.ndarray, steps: int, seed: int, batch: int = BATCH) -> list[float]:
+def first_fit(model: AttentionModel, windows: np.ndarray, steps: int, seed: int, batch: int = BATCH) -> None:
     """Steps on seeded batches of a sample's windows, at a falling rate."""
     rng, adam = np.random.default_rng(seed), Adam(model)
-    return [adam(windows[rng.integers(0, len(windows), batch)], 0.02 * 0.2 ** (t / steps)) for t in range(steps)]
+    for t in range(steps):
+        adam(windows[rng.integers(0, len(windows), batch)], 0.02 * 0.2 ** (t / steps))
 
 
 def often_ids(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -395,9 +406,9 @@ def shares(slot: np.ndarray, group: np.ndarray, counts: np.ndarray, pairs: np.nd
     return out, within
 
 
-def score_ids(model: AttentionModel, flat: np.ndarray, sizes: np.ndarray, end: int, at_once: int = 96) -> np.ndarray:
-    """log10 probability of every id; texts follow each other, ``sizes`` ids each."""
-    tables = model.tables()
+def score_ids(model: AttentionModel, flat: np.ndarray, sizes: np.ndarray, end: int, at_once: int = 96, scorer: attention_graph.Scorer | None = None) -> np.ndarray:
+    """log10 probability of every id; texts follow each other, ``sizes`` ids each; a ``scorer`` is the model's."""
+    tables = None if scorer else model.tables()
     windows = -(-sizes // STRIDE)
     # Every text as WINDOW starts, its ids, and filling up to whole strides.
     room = WINDOW + windows * STRIDE
@@ -411,12 +422,19 @@ def score_ids(model: AttentionModel, flat: np.ndarray, sizes: np.ndarray, end: i
     out = np.empty(len(flat), np.float32)
     done = 0
     span, ahead = np.arange(WINDOW), np.arange(WINDOW - STRIDE + 1, WINDOW + 1)
+    rows, goals = (model.slot[line], model.group[line]) if scorer else (line, line)
     for low in range(0, len(owner), at_once):
         part = slice(low, low + at_once)
-        got = model.log_probability(line[begin[part, None] + span], line[begin[part, None] + ahead], tables)
+        at = begin[part, None]
+        got = scorer(rows[at + span], goals[at + ahead]) if scorer else model.log_probability(line[at + span], line[at + ahead], tables)
         real = got[number[part, None] * STRIDE + np.arange(STRIDE) < sizes[owner[part], None]]
         out[done : done + len(real)] = real
         done += len(real)
+    if scorer:
+        last = np.full(len(flat), end)
+        last[1:] = flat[:-1]
+        last[before[sizes > 0]] = end
+        out += model.share[model.slot[last], model.slot[flat]] + model.within[flat]
     return out.astype(np.float64) / np.log(10)
 
 
@@ -473,84 +491,137 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([raw[a:b].decode() for a, b in spans], pa.string()), pa.array(n)], names=["word", "n"])
 
 
-def _corpus_counts(training: DataFrame, vocabulary: Vocabulary, words, tables: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """Counts over all training texts: of ids, of frequent words, (words, texts); or, with ``tables``, of pairs.
+def _id_type(vocabulary: Vocabulary) -> type:
+    return np.uint16 if vocabulary.size <= 1 << 16 else np.uint32
+
+
+def _blobs(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Bytes of the numbers of each text."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * np.int32(flat.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def _numbers(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all texts in a row, n + 1 offsets) of what ``_blobs`` made."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[at[0] : at[-1]].view(kind), (at - at[0]) // np.dtype(kind).itemsize
+
+
+def _encoded(docs: DataFrame, vocabulary: Vocabulary, words) -> DataFrame:
+    """Texts with their ids and words, and the tasks' counts over training texts, in one table written once.
 
-    A table maps an id and the one after it to a row and a column.  A block's
-    distinct words are encoded once and weighted; only pairs across words are
-    counted by occurrence.
+    A text (kind -1) has its key and n, the words and one end; ``ids`` of the
+    vocabulary with an end; ``numbers`` of its frequent words; its other words
+    by hash, with times.  A count n of kind 0 is of an id, of kind 1 of a
+    frequent word, of kind 2 of words (key 0) and texts (key 1).
     """
-    shapes = [(int(a.max()) + 1, int(b.max()) + 1) for a, b in tables]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, model = words.value, vocabulary.model()
-        ids, frequent = np.zeros(vocabulary.size, np.int64), np.zeros(len(known), np.int64)
-        pairs = [np.zeros(x * y, np.int64) for x, y in shapes]
-        total = texts = 0
-
-        def block(parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
-            nonlocal total
-            data = np.concatenate([p[0] for p in parts])
-            shift = np.cumsum([0, *(len(p[0]) for p in parts)])
-            offsets = np.concatenate([[0], *(p[1][1:] + s for p, s in zip(parts, shift[:-1], strict=True))]).astype(np.int64)
-            starts, ends, _ = word_spans(data, offsets)
-            hashes, at = word_hashes(data, offsets)
-            total += len(hashes)
-            own, first, place, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-            number = known.find(own)
-            frequent[number[number >= 0]] += n[number >= 0]
-            flat, sizes = known.ids(model, data, starts[first], ends[first], number)
-            often = np.repeat(n, sizes)
-            if not pairs:
-                ids[:] += np.bincount(flat, often, vocabulary.size).astype(np.int64)
-                return
-            end = vocabulary.end
-            stop = np.cumsum(sizes) - 1
-            inner = np.ones(len(flat), bool)
-            inner[stop] = False
-            inner = np.flatnonzero(inner)
-            heads, tails = flat[stop - sizes + 1][place], flat[stop][place]
-            some = np.diff(at) > 0
-            left = np.empty(len(hashes), np.int64)
-            left[1:] = tails[:-1]
-            left[at[:-1][some]] = end
-            last = np.where(some, tails[np.maximum(at[1:] - 1, 0)] if len(tails) else end, end)
-            for (row, column), (x, y), counts in zip(tables, shapes, pairs, strict=True):
-                counts += np.bincount(row[flat[inner]] * y + column[flat[inner + 1]], often[inner], x * y).astype(np.int64)
-                cross = np.concatenate([row[left] * y + column[heads], row[last] * y + column[end]])
-                key, n = np.unique(cross, return_counts=True)
-                counts[key] += n
-
-        held, size = [], 0
+        ids, frequent, totals = np.zeros(vocabulary.size, np.int64), np.zeros(len(known), np.int64), np.zeros(2, np.int64)
+        row = TaskContext.get().partitionId() << 34
         for batch in small_batches(batches, "t"):
-            held.append(lowered(batch.column(0)))
-            texts += batch.num_rows
-            size += len(held[-1][0])
-            if size >= 8 << 20:
-                block(held)
-                held, size = [], 0
-        if held:
-            block(held)
-        ids[vocabulary.end] += texts
-        for kind, n in enumerate(pairs or (ids, frequent, np.array([total, texts]))):
+            many = batch.num_rows
+            learnt = batch.column(2).to_numpy(zero_copy_only=False)
+            flat, sizes, (hashes, at, number) = text_ids(known, model, vocabulary.end, *lowered(batch.column(1)))
+            n_words = np.diff(at)
+            owner = np.repeat(np.arange(many), n_words)
+            easy = number >= 0
+            ids += np.bincount(flat[np.repeat(learnt, sizes)], minlength=vocabulary.size)
+            frequent += np.bincount(number[easy & learnt[owner]], minlength=len(known))
+            totals += [n_words[learnt].sum(), learnt.sum()]
+            rare, of = hashes[~easy], owner[~easy]
+            order = np.lexsort((rare, of))
+            rare, of = rare[order], of[order]
+            new = np.ones(len(rare), bool)
+            new[1:] = (rare[1:] != rare[:-1]) | (of[1:] != of[:-1])
+            first = np.flatnonzero(new)
+            times = np.diff(np.append(first, len(rare))).astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(of[first], minlength=many))]).astype(np.int32)
+            columns = [
+                pa.array(np.full(many, -1, np.int32)), batch.column(0), pa.array(n_words + 1), pa.array(row + np.arange(many)), batch.column(2),
+                _blobs(flat.astype(_id_type(vocabulary)), sizes), _blobs(number[easy].astype(np.uint32), np.bincount(owner[easy], minlength=many)),
+                pa.ListArray.from_arrays(ends, pa.array(rare[first].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(times)),
+            ]
+            row += many
+            yield pa.record_batch(columns, names=names)
+        for kind, n in enumerate((ids, frequent, totals)):
+            some = np.flatnonzero(n)
+            columns = [pa.array(np.full(len(some), kind, np.int32)), pa.array(some), pa.array(n[some])]
+            yield pa.record_batch([*columns, *(pa.nulls(len(some), t) for t in types)], names=names)
+
+    names = ["kind", "key", "n", "row", "train", "ids", "numbers", "words", "times"]
+    types = [pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    schema = "kind int, key long, n long, row long, train boolean, ids binary, numbers binary, words array<long>, times array<int>"
+    return cut(docs.select("k", "t", "train").mapInArrow(scan, schema), "encoded", "zstd")
+
+
+def _totals(encoded: DataFrame, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """Counts over all training texts: of ids, of frequent words, (words, texts)."""
+    counted = encoded.filter("kind >= 0").groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()
+    kind, index, n = (counted.column(c).to_numpy() for c in ("kind", "key", "n"))
+    out = [np.zeros(size, np.int64) for size in sizes]
+    for k, into in enumerate(out):
+        into[index[kind == k]] = n[kind == k]
+    return out
+
+
+def _id_blocks(batches: Iterator[pa.RecordBatch], kind: type, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(texts, their ids in a row, n + 1 offsets), ``most`` ids or one text at most; ids are the last column."""
+    for batch in batches:
+        flat, at = _numbers(batch.column(batch.num_columns - 1), kind)
+        low = 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(at, at[low] + most, "right")) - 1)
+            yield batch.slice(low, high - low), flat[at[low] : at[high]], at[low : high + 1] - at[low]
+            low = high
+
+
+def _pair_counts(texts: DataFrame, vocabulary: Vocabulary, tables: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Counts of pairs of an id and the one after it over all ``texts``' ids; a text begins after an end.
+
+    A table maps the two ids to a row and a column.
+    """
+    shapes = [(int(a.max()) + 1, int(b.max()) + 1) for a, b in tables]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = [np.zeros(x * y, np.int64) for x, y in shapes]
+        held, size = [np.array([vocabulary.end])], 0  # every text ends with the id that the next one begins after
+
+        def count() -> None:
+            flat = np.concatenate(held)
+            for (row, column), counts in zip(tables, pairs, strict=True):
+                y = int(column.max()) + 1
+                counts += np.bincount(row[flat[:-1]] * y + column[flat[1:]], minlength=len(counts))
+            held[:] = [flat[-1:]]
+
+        for _, flat, _ in _id_blocks(batches, _id_type(vocabulary), 1 << 20):
+            held.append(flat)
+            size += len(flat)
+            if size >= 1 << 21:
+                count()
+                size = 0
+        count()
+        for kind, n in enumerate(pairs):
             some = np.flatnonzero(n)
-            yield pa.record_batch(
-                [pa.array(np.full(len(some), kind, np.int32)), pa.array(some), pa.array(n[some])], names=["kind", "key", "n"]
-            )
+            yield pa.record_batch([pa.array(np.full(len(some), kind, np.int32)), pa.array(some), pa.array(n[some])], names=["kind", "key", "n"])
 
-    counted = training.mapInArrow(scan, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()
+    counted = texts.select("ids").mapInArrow(scan, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()
     kind, index, n = (counted.column(c).to_numpy() for c in ("kind", "key", "n"))
-    out = [np.zeros(x * y) for x, y in shapes] or [np.zeros(vocabulary.size), np.zeros(len(words.value), np.int64), np.zeros(2, np.int64)]
+    out = [np.zeros(x * y) for x, y in shapes]
     for k, into in enumerate(out):
         into[index[kind == k]] = n[kind == k]
-    return [into.reshape(shape) for into, shape in zip(out, shapes, strict=True)] if tables else out
+    return [into.reshape(shape) for into, shape in zip(out, shapes, strict=True)]
 
 
-def _neighbours(training: DataFrame, vocabulary: Vocabulary, words, often: np.ndarray, top: np.ndarray) -> np.ndarray:
-    """How often each of ``often`` follows and precedes each of ``top``, over all training texts."""
+def _neighbours(texts: DataFrame, vocabulary: Vocabulary, often: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """How often each of ``often`` follows and precedes each of ``top``, over all ``texts``."""
     row, column = np.full(vocabulary.size, len(often)), np.full(vocabulary.size, len(top))
     row[often], column[top] = np.arange(len(often)), np.arange(len(top))
-    before, after = _corpus_counts(training, vocabulary, words, [(column, row), (row, column)])
+    before, after = _pair_counts(texts, vocabulary, [(column, row), (row, column)])
     return np.concatenate([before[: len(top), : len(often)].T, after[: len(often), : len(top)]], 1)
 
 
@@ -561,46 +632,48 @@ def _flatten(p: dict[str, np.ndarray]) -> np.ndarray:
 def _unflatten(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k in sorted(like):
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32, copy=False)
         at += like[k].size
     return out
 
 
-def _picked_runs(keys: np.ndarray, data: np.ndarray, offsets: np.ndarray, part: tuple[int, int], of: int, seed: int) -> tuple:
-    """Blocks of BLOCK bytes whose hash modulo ``of`` is in ``part``: (bytes, offsets, begins, ends).
+def _picked_runs(keys: np.ndarray, data: np.ndarray, offsets: np.ndarray, part: tuple[int, int], of: int, seed: int, context: int = 0) -> tuple:
+    """Blocks of BLOCK bytes whose hash modulo ``of`` is in ``part``: (data, offsets, begins, ends).
 
-    A word belongs to the block in which it starts.
+    Of bytes, a word belongs to the block in which it starts.  Of ids, each is
+    one of its own, and ``context`` ids before a block come with it.
     """
-    sizes = np.diff(offsets)
-    blocks = np.maximum(1, -(-sizes // BLOCK))
-    owner = np.repeat(np.arange(len(sizes)), blocks)
+    if data.dtype == np.uint8:
+        (starts, _, at), size = word_spans(data, offsets), BLOCK
+    else:
+        starts, at, size = np.arange(len(data)), offsets, BLOCK // data.itemsize
+    blocks = np.maximum(1, -(-np.diff(offsets) // size))
+    owner = np.repeat(np.arange(len(blocks)), blocks)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     mixed = mix64(mix64(keys[owner] + np.uint64(seed)) + number.astype(np.uint64)) % np.uint64(of)
     take = np.flatnonzero((mixed >= part[0]) & (mixed < part[1]))
     owner, number = owner[take], number[take]
-    starts, _, at = word_spans(data, offsets)
-    low, high = offsets[owner] + number * BLOCK, offsets[owner] + (number + 1) * BLOCK
+    low, high = offsets[owner] + number * size, offsets[owner] + (number + 1) * size
     a, b = np.searchsorted(starts, low), np.minimum(np.searchsorted(starts, high), at[owner + 1])
     bounds = np.append(starts, len(data))
-    begin = np.where(a < b, bounds[a], offsets[owner])
+    begin = np.where(a < b, np.maximum(bounds[a] - context, offsets[owner]), offsets[owner])
     stop = np.where(a < b, np.minimum(bounds[b], offsets[owner + 1]), begin)
     pieces = [data[x:y] for x, y in zip(begin.tolist(), stop.tolist(), strict=True)]
-    out = np.concatenate([np.zeros(0, np.uint8), *pieces])
+    out = np.concatenate([data[:0], *pieces])
     return out, np.concatenate([[0], np.cumsum(stop - begin)]).astype(np.int64), a == at[owner], b == at[owner + 1]
 
 
 def _train_round(
-    training: DataFrame, vocabulary: Vocabulary, words, model: AttentionModel, part: tuple[int, int], of: int, repeats: int, rate: float, seed: int
+    texts: DataFrame, vocabulary: Vocabulary, seed: int, model: AttentionModel, part: tuple[int, int], of: int, repeats: int, rate: float
 ) -> AttentionModel:
     """The average of the parameters that the scan tasks reach from ``model``'s, weighted by windows.
 
-    Tasks' parameters (some 400 KB each) are summed by at most 64 tasks first.
+    ``texts`` are keys and ids.  Tasks' parameters (some 400 KB each) are summed by at most 64 tasks first.
     """
-    spark = training.sparkSession
+    spark = texts.sparkSession
     shared = spark.sparkContext.broadcast((model.slot, model.group, model.p))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, encoder = words.value, vocabulary.model()
         slot, group, p = shared.value
         own = AttentionModel(slot, group, None, None, {k: v.copy() for k, v in p.items()})
         adam, rng = Adam(own), np.random.default_rng(seed)
@@ -617,14 +690,10 @@ def _train_round(
                     adam(windows[order[low : low + BATCH]], rate)
             held.clear()
 
-        for batch in small_batches(batches, "t"):
+        for batch, flat, offsets in _id_blocks(batches, _id_type(vocabulary), 1 << 20):
             keys = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            data, offsets, begins, ends = _picked_runs(keys, *lowered(batch.column(1)), part, of, seed)
-            if not len(begins):
-                continue
-            flat, sizes, _ = text_ids(known, encoder, vocabulary.end, data, offsets)
-            runs = np.split(flat, np.cumsum(sizes)[:-1])
-            held += [windows_of(r[:-1], bool(x), bool(y), vocabulary.end) for r, x, y in zip(runs, begins, ends, strict=True)]
+            ids, offsets, begins, _ = _picked_runs(keys, flat, offsets, part, of, seed, WINDOW - STRIDE + 1)
+            held += [windows_of(ids[a:b], x, False, vocabulary.end) for a, b, x in zip(offsets[:-1], offsets[1:], begins.tolist(), strict=True)]
             if sum(map(len, held)) >= 1 << 15:
                 learn()
         if held:
@@ -641,7 +710,7 @@ def _train_round(
         if n:
             yield pa.record_batch([pa.array([n]), pa.array([summed.tobytes()], pa.binary())], names=["n", "p"])
 
-    parts = training.mapInArrow(scan, "n long, p binary").repartition(64).mapInArrow(total, "n long, p binary").toArrow()
+    parts = texts.select("key", "ids").mapInArrow(scan, "n long, p binary").repartition(64).mapInArrow(total, "n long, p binary").toArrow()
     shared.unpersist()
     n = sum(parts.column("n").to_pylist())
     if not n:
@@ -670,20 +739,26 @@ def _first_model(spark, sample: np.ndarray, slot: np.ndarray, group: np.ndarray,
 
 
 def train(training: DataFrame, rows: int, vocabulary: Vocabulary, sample_texts: int, first_steps: int, least_windows: int, seed: int) -> tuple:
-    """(model, broadcast frequent words, their counts, words in training, training texts)."""
+    """(model, counts of frequent words, words in training, training texts, the encoded texts).
+
+    Where ``training`` has a column ``train``, texts without it are encoded
+    like the others and nothing is learnt from them.
+    """
     spark = training.sparkSession
+    docs = training if "train" in training.columns else training.withColumn("train", F.lit(True))
     share = min(1.0, sample_texts / max(1, rows))
-    sample = training.filter(F.pmod(F.xxhash64(F.col("k"), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = docs.filter(F.col("train") & (F.pmod(F.xxhash64(F.col("k"), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))).select("k", "t")
     common = sample.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     strings = common.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").toArrow().column(0).to_pylist()
     ranks = vocabulary.model()
     words = spark.sparkContext.broadcast(FrequentWords(strings, ranks))
     spaced = np.array([ranks.decode_single_token_bytes(i)[:1] == b" " for i in range(vocabulary.size - 1)] + [False])
-    texts = training.select("t")
-    ids, frequent, totals = _corpus_counts(texts, vocabulary, words, [])
+    encoded = _encoded(docs, vocabulary, words)
+    ids, frequent, totals = _totals(encoded, (vocabulary.size, len(words.value), 2))
+    texts = encoded.filter("kind = -1 and train")
     often, top = often_ids(ids)
-    group, slot = group_ids(ids, often, _neighbours(texts, vocabulary, words, often, top), spaced, seed)
-    (pairs,) = _corpus_counts(texts, vocabulary, words, [(slot, slot)])
+    group, slot = group_ids(ids, often, _neighbours(texts, vocabulary, often, top), spaced, seed)
+    (pairs,) = _pair_counts(texts, vocabulary, [(slot, slot)])
     table, within = shares(slot, group, ids, pairs)
     del pairs
     start = _first_model(spark, _windows(sample, vocabulary, seed), slot, group, first_steps, seed)
@@ -691,8 +766,8 @@ def train(training: DataFrame, rows: int, vocabulary: Vocabulary, sample_texts:
     # Every block is in one of the rounds; a small corpus repeats its blocks there.
     repeats = int(min(MOST_REPEATS, max(1, round(least_windows / max(1.0, ids.sum() / STRIDE)))))
     for number in range(ROUNDS if least_windows else 0):
-        model = _train_round(training, vocabulary, words, model, (number, number + 1), ROUNDS, repeats, 0.008 * 0.5**number, seed)
-    return model, words, frequent, int(totals[0]), int(totals[1])
+        model = _train_round(texts, vocabulary, seed, model, (number, number + 1), ROUNDS, repeats, 0.008 * 0.5**number)
+    return model, frequent, int(totals[0]), int(totals[1]), encoded
 
 
 def score_texts(
@@ -725,43 +800,28 @@ def score_texts(
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     picked = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    training = picked.filter(_is_training(F.col("k")))
-    model, words, frequent, n_words, n_texts = train(training, docs.count(), vocabulary, sample_texts, first_steps, least_windows, seed)
+    picked = picked.withColumn("train", _is_training(F.col("k")))
+    model, frequent, n_words, n_texts, encoded = train(picked, docs.count(), vocabulary, sample_texts, first_steps, least_windows, seed)
     shared = spark.sparkContext.broadcast((model, np.log10(frequent + 0.5), frequent > 0))
     train_tokens = n_words + n_texts
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row a text: sums over its frequent words, its score, and its other words by hash, with times."""
-        known, encoder = words.value, vocabulary.model()
+        """A row a text: sums over its frequent words, and its score."""
         net, logs, counted = shared.value
-        row = TaskContext.get().partitionId() << 34
-        for batch in small_batches(batches, "t"):
+        scorer = attention_graph.Scorer(net) if attention_graph.onnxruntime else None
+        for batch, flat, at in _id_blocks(batches, _id_type(vocabulary), 1 << 19):
+            scores = np.add.reduceat(score_ids(net, flat, np.diff(at), vocabulary.end, attention_graph.AT_ONCE if scorer else 96, scorer), at[:-1])
             many = batch.num_rows
-            flat, sizes, (hashes, at, number) = text_ids(known, encoder, vocabulary.end, *lowered(batch.column(1)))
-            cuts = np.cumsum(sizes) - sizes
-            scores = np.add.reduceat(score_ids(net, flat, sizes, vocabulary.end), cuts)
-            owner = np.repeat(np.arange(many), np.diff(at))
-            easy = number >= 0
-            sums = np.bincount(owner[easy], logs[number[easy]], many)
-            n_known = np.bincount(owner[easy], counted[number[easy]], many).astype(np.int64)
-            rare, of = hashes[~easy], owner[~easy]
-            order = np.lexsort((rare, of))
-            rare, of = rare[order], of[order]
-            new = np.ones(len(rare), bool)
-            new[1:] = (rare[1:] != rare[:-1]) | (of[1:] != of[:-1])
-            first = np.flatnonzero(new)
-            times = np.diff(np.append(first, len(rare))).astype(np.int32)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(of[first], minlength=many))]).astype(np.int32)
-            columns = [
-                batch.column(0), pa.array(row + np.arange(many)), batch.column(2), pa.array(np.diff(at) + 1), pa.array(n_known), pa.array(sums), pa.array(scores),
-                pa.ListArray.from_arrays(ends, pa.array(rare[first].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(times)),
-            ]
-            row += many
-            yield pa.record_batch(columns, names=["k", "row", "train", "n_tokens", "known", "logs", "score", "words", "times"])
-
-    schema = "k long, row long, train boolean, n_tokens long, known long, logs double, score double, words array<long>, times array<int>"
-    # Written once, so that a row's number is what it is, whichever task wrote it.
-    texts = cut(picked.withColumn("train", _is_training(F.col("k"))).mapInArrow(score, schema), "scored")
+            number, ends = _numbers(batch.column(4), np.uint32)
+            owner = np.repeat(np.arange(many), np.diff(ends))
+            sums = np.bincount(owner, logs[number], many)
+            n_known = np.bincount(owner, counted[number], many).astype(np.int64)
+            columns = [*batch.columns[:4], pa.array(n_known), pa.array(sums), pa.array(scores)]
+            yield pa.record_batch(columns, names=["k", "row", "train", "n_tokens", "known", "logs", "score"])
+
+    texts = encoded.filter("kind = -1")
+    of_texts = texts.select("key", "row", "train", "n", "numbers", "ids")
+    scored = of_texts.mapInArrow(score, "k long, row long, train boolean, n_tokens long, known long, logs double, score double")
     rare = texts.select("row", "train", F.inline(F.arrays_zip("words", "times")))
     each = Window.partitionBy("words")
     rare = rare.select(
@@ -775,7 +835,7 @@ def score_texts(
     by_row = cut(by_row, "rare")
     distinct = by_row.agg(F.sum("new")).first()[0] or 0
     distinct += int((frequent > 0).sum()) + int(n_texts > 0)
-    whole = texts.drop("words", "times").join(by_row, F.col("row") == F.col("_row"), "left")
+    whole = scored.join(by_row, F.col("row") == F.col("_row"), "left")
     end_log, scale = float(np.log10(n_texts + 0.5)), float(np.log10(train_tokens + 0.5 * (distinct + 1)))
     return whole.select(
         F.col("k").alias(key),

@@ -52,11 +52,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def cut(df: DataFrame, label: str = "table") -> DataFrame:
+def cut(df: DataFrame, label: str = "table", compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the scratch folder and read it back: lineage ends here."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

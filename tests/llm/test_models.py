@@ -446,3 +446,46 @@ def test_model_comes_from_all_training_texts(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "_train_round", spy)
     lm_scoring.train(docs, 200, vocabulary(), 10, 0, 1, 8)
     assert {of for _, of in used} == {len(used)} and sorted(part for part, _ in used) == [(i, i + 1) for i in range(len(used))]
+
+
+def test_graphs_do_what_numpy_does():
+    """Scores and gradients of the onnxruntime graphs, over several chunks and with windows that end early."""
+    pytest.importorskip("onnxruntime")
+    rng = np.random.default_rng(0)
+    size = 200
+    model = small_model(size)
+    model.p["near"][:] = rng.normal(size=lm_scoring.WINDOW)
+    windows = rng.integers(0, size, (70, lm_scoring.WINDOW + 1))
+    windows[3, -5:] = -1
+    got, want = lm_scoring.attention_graph.Gradients(model)(windows), model.step(windows)[1]
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-3, atol=1e-6) for k in want)
+    texts = [np.append(rng.integers(0, size - 1, n), size - 1) for n in (0, 1, 31, 32, 33, 1500)]
+    flat, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
+    scorer = lm_scoring.attention_graph.Scorer(model)
+    assert np.allclose(lm_scoring.score_ids(model, flat, sizes, size - 1, 32, scorer), lm_scoring.score_ids(model, flat, sizes, size - 1), atol=1e-4)
+
+
+def test_rounds_train_on_every_id_once():
+    """Blocks of encoded texts lose no id at their borders."""
+    sizes = np.array([1, 20, 1024, 1025, 5000])
+    flat, offsets = np.arange(sizes.sum()).astype(np.uint16), np.concatenate([[0], np.cumsum(sizes)])
+    goals = Counter()
+    for number in range(4):
+        ids, at, begins, _ = lm_scoring._picked_runs(np.arange(5).astype(np.uint64), flat, offsets, (number, number + 1), 4, 8, lm_scoring.WINDOW - lm_scoring.STRIDE + 1)
+        for a, b, x in zip(at[:-1], at[1:], begins.tolist(), strict=True):
+            targets = lm_scoring.windows_of(ids[a:b], x, False, 9999)[:, lm_scoring.WINDOW - lm_scoring.STRIDE + 1 :]
+            goals.update(targets[targets >= 0].tolist())
+    assert goals == Counter(flat.tolist())
+
+
+def test_texts_are_encoded_once(spark):
+    """The ids that training and scoring read are those of every text, held out or not; counts are of the others."""
+    ranks = vocabulary()
+    docs = spark.createDataFrame([(i, t, i % 3 > 0) for i, t in TEXTS[:64] if i is not None], "k long, t string, train boolean").repartition(3)
+    encoded = lm_scoring.train(docs, 63, ranks, 4000, 0, 0, 8)[4]
+    encoder = ranks.model()
+    want = {k: [i for w in words((t or "").translate(LOW)) for i in encoder.encode_ordinary(" " + w)] + [ranks.end] for k, t in TEXTS[:64] if k is not None}
+    rows = encoded.filter("kind = -1").collect()
+    assert {r["key"]: np.frombuffer(r["ids"], np.uint16).tolist() for r in rows} == want
+    counts = Counter(i for r in rows if r["train"] for i in want[r["key"]])
+    assert {r["key"]: r["n"] for r in encoded.filter("kind = 0").groupBy("key").sum("n").withColumnRenamed("sum(n)", "n").collect()} == counts
